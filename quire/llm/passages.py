@@ -57,27 +57,33 @@ def _minimizers(seeds: np.ndarray, per: int) -> np.ndarray:
     return runs.argmin(axis=1) + np.arange(len(runs))
 
 
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()  # bytes split at the six ASCII spaces alone
+
+
+def _hashes(words: list[bytes], memory: _Words) -> np.ndarray:
+    return np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+
+
 def _read(batch, memory: _Words):
-    """(doc_id, words, hashes) of each row."""
-    for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-        words = (text or "").encode().split()  # bytes split at the six ASCII spaces alone
-        yield doc, words, np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
+    """(doc_id, hashes, marks) of each row that has an id and, where the batch has marks, some of them. Copies are left out."""
+    marks = batch.column("marks").to_pylist() if "marks" in batch.schema.names else [True] * batch.num_rows
+    for doc, copy, text, kept in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text").to_pylist(), marks):
+        if doc is not None and kept and not copy:
+            yield doc, _hashes(_split(text), memory), kept
 
 
 def _pair(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for each window: a long and an int."""
-    return _windows(hashes, length).view(np.int64), (_windows(hashes, length, 1) >> np.uint64(33)).astype(np.int32)
+    """80 bits for each window: a long and a short."""
+    return _windows(hashes, length).view(np.int64), (_windows(hashes, length, 1) >> np.uint64(49)).astype(np.int16)
 
 
 def _alive(hashes: np.ndarray, length: int, marks) -> np.ndarray:
-    """Which windows of length words are among marks (hash, check)."""
-    if not marks:
-        return np.zeros(max(0, len(hashes) - length + 1), bool)
-    a, b = _pair(hashes, length)
-    return np.isin(a, np.array([m["hash"] for m in marks], np.int64)) & np.isin(b, np.array([m["check"] for m in marks], np.int32))
+    """Which windows of length words are among marks (their hashes)."""
+    return np.isin(_windows(hashes, length).view(np.int64), np.array(marks, np.int64))
 
 
-SPOT = "hash long, check int, doc_id long, apart long, known boolean"
+SPOT = "hash long, check short, doc_id long, apart long, known boolean"
 
 
 def _spots(chunks):
@@ -89,7 +95,7 @@ def _spots(chunks):
     """
     import pyarrow as pa
 
-    h, c, d = (np.concatenate([x[i] for x in chunks]) if chunks else np.zeros(0, t) for i, t in enumerate((np.int64, np.int32, np.int64)))
+    h, c, d = (np.concatenate([x[i] for x in chunks]) if chunks else np.zeros(0, t) for i, t in enumerate((np.int64, np.int16, np.int64)))
     order = np.lexsort((d, c, h))
     h, c, d = h[order], c[order], d[order]
     first = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, bool)
@@ -107,19 +113,19 @@ def _chunk(a: np.ndarray, b: np.ndarray, doc: int):
 
 
 def _first_level(window: int, seed: int):
-    """Spots of the minimizing seeds: of the windows of seed words in each window, that of the least hash."""
+    """Spots of the minimizing seeds: of the windows of seed words in each window, that of the least hash.
+
+    48 bits tell seeds apart; two that share them only make windows that the next level drops.
+    """
 
     def run(batches):
         memory = _Words()
         for batch in batches:
             chunks = []
-            for doc, _, hashes in _read(batch, memory):
-                if doc is None or len(hashes) < window:
-                    continue
-                level = _windows(hashes, seed)
+            for doc, hashes, _ in _read(batch, memory):
+                level = _windows(hashes, seed) >> np.uint64(16)
                 at = np.unique(_minimizers(level, window - seed + 1))
-                a = level[at].view(np.int64)
-                chunks.append(_chunk(a, np.zeros(len(a), np.int32), doc))
+                chunks.append(_chunk(level[at].view(np.int64), np.zeros(len(at), np.int16), doc))
             yield _spots(chunks)
 
     return run
@@ -132,13 +138,10 @@ def _second_level(window: int, seed: int):
         memory = _Words()
         for batch in batches:
             chunks = []
-            marks = batch.column("marks").to_pylist()
-            for (doc, _, hashes), kept in zip(_read(batch, memory), marks):
-                if doc is None or not kept:
-                    continue
-                level = _windows(hashes, seed).view(np.int64)
-                at = _minimizers(level.view(np.uint64), window - seed + 1)
-                alive = np.isin(level[at], np.array([m["hash"] for m in kept], np.int64))
+            for doc, hashes, kept in _read(batch, memory):
+                level = _windows(hashes, seed) >> np.uint64(16)
+                at = _minimizers(level, window - seed + 1)
+                alive = np.isin(level[at].view(np.int64), np.array(kept, np.int64))
                 a, b = _pair(hashes, window)
                 chunks.append(_chunk(a[alive], b[alive], doc))
             yield _spots(chunks)
@@ -153,9 +156,8 @@ def _doubled(length: int):
         memory = _Words()
         for batch in batches:
             chunks = []
-            marks = batch.column("marks").to_pylist()
-            for (doc, _, hashes), kept in zip(_read(batch, memory), marks):
-                if doc is None or not kept or len(hashes) < 2 * length:
+            for doc, hashes, kept in _read(batch, memory):
+                if len(hashes) < 2 * length:
                     continue
                 alive = _alive(hashes, length, kept)
                 alive = alive[:-length] & alive[length:]
@@ -182,17 +184,29 @@ def _later(spots: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, spots: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with marks: the windows of spots that the document has, null for none.
+    """docs (doc_id, text, copy) with marks: the hashes of windows of spots that the document has, null for none.
 
     Marks belong to a doc_id, so rows that share one may get each other's: whether a smaller document
     has a window does not depend on the row. A document has no more marks than words.
     """
-    marks = spots.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "check")).alias("marks"))
-    return docs.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks")
+    marks = spots.groupBy("doc_id").agg(F.collect_list("hash").alias("marks"))
+    return docs.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "marks")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text, copy): copy is true for a row whose whole text a smaller doc_id has.
+
+    A copy's windows are all repeated, and its smallest original has them too, so copies stay out of the levels. Only
+    hashes of texts (128 bits) meet; groups are counted where they are read, and the join back is between written
+    tables, which adaptive execution broadcasts or splits where one text has very many copies.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = scratch.keep(docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64(F.lit(1), "text").alias("k1")))
+    first = ids.groupBy("k", "k1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    copies = ids.join(scratch.keep(first), ["k", "k1"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+    copies = scratch.keep(copies)
+    rows = docs.join(copies.hint("shuffle_hash"), "doc_id", "left")
+    return rows.select("doc_id", "text", F.coalesce(F.array_contains("ks", F.xxhash64("text")), F.lit(False)).alias("copy"))
 
 
 def _windows_at(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -208,19 +222,18 @@ def _cover(window: int):
         memory = _Words()
         for batch in batches:
             n_words, n_removed, texts = [], [], []
-            for (_, words, hashes), marks in zip(_read(batch, memory), batch.column("marks").to_pylist()):
-                if marks:
-                    at = np.flatnonzero(_alive(hashes, window, marks))
+            for text, copy, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "copy", "marks"))):
+                words = kept = _split(text)
+                if copy and len(words) >= window:
+                    kept = []
+                elif marks and not copy:
+                    at = np.flatnonzero(_alive(_hashes(words, memory), window, marks))
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
-                    covered = np.cumsum(edge)[:-1] > 0
-                    n_removed.append(int(covered.sum()))
-                    kept = [w for w, x in zip(words, covered.tolist()) if not x]
-                else:
-                    n_removed.append(0)
-                    kept = words
+                    kept = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
                 n_words.append(len(words))
+                n_removed.append(len(words) - len(kept))
                 texts.append(b" ".join(kept))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
@@ -240,10 +253,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     doc_id don't count against each other. No rows give no rows. Only doc_id and text are read.
 
     Levels: of each window the seed (7 words) with the least hash; the windows around seeds that
-    several documents have; of those, the ones of a smaller document. Windows are told apart by 96 bits of hash.
-    Texts are shuffled once and that shuffle is used by both joins; a task holds one batch.
+    several documents have; of those, the ones of a smaller document. Windows are told apart by 80 bits of hash.
+    Whole copies are known beforehand. Texts are shuffled once, by id, and all levels read that shuffle; a task
+    holds one batch.
     """
-    texts = _texts(docs)
+    texts = _texts(docs, Scratch(docs.sparkSession))
     spots = _later(_windows_at(texts, window, seed))
     return _marked(texts, spots).mapInArrow(_cover(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
@@ -255,14 +269,14 @@ def longest_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     between two levels count as the lower one. Rules for nulls and repeated rows as in remove_repeats.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = _texts(docs)
-    alive = scratch.keep(_shared(_windows_at(texts, window, seed)).select("doc_id", "hash", "check"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("copy"))
+    alive = scratch.keep(_shared(_windows_at(plain, window, seed)).select("doc_id", "hash"))
     length, found = window, None
     while not alive.isEmpty():
         level = alive.select("doc_id", F.lit(length).cast("long").alias("length")).distinct()
         found = level if found is None else found.union(level)
-        spots = _marked(texts, alive).where("marks IS NOT NULL").mapInArrow(_doubled(length), SPOT)
-        alive = scratch.keep(_shared(spots).select("doc_id", "hash", "check"))
+        spots = _marked(plain, alive).where("marks IS NOT NULL").mapInArrow(_doubled(length), SPOT)
+        alive = scratch.keep(_shared(spots).select("doc_id", "hash"))
         length *= 2
     if found is None:
         return alive.select("doc_id", F.lit(length).cast("long").alias("length"))
