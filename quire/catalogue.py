@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES, forms, functions, graph, images, layout, pages, search, text
+
+__all__ = ["ORACLES", "QUERIES"]
+_MODULES = (forms, functions, graph, images, layout, pages, search, text)
