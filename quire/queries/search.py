@@ -1 +1,102 @@
-"""Queries."""
+"""Search, redaction targets and regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import search
+from ..sources.tables import letters, letters_sql, page_texts, table
+from . import query
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five words of each benchmark item as literal targets."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target"), F.substring_index("text", " ", 5).alias("needle"))
+
+
+_TARGETS_SQL = "tg AS (SELECT item_id AS target, array_to_string(string_split(text, ' ')[1:5], ' ') AS needle FROM benchmark)"
+_STARTS_SQL = """
+hit AS (SELECT doc_id, target, needle, string_split(text, needle) AS p FROM documents JOIN tg ON contains(text, needle)),
+m AS (
+  SELECT doc_id, target, CAST(k * length(needle) + list_sum(list_transform(p[1 : k + 1], lambda x: length(x))) AS INTEGER) AS start, CAST(length(needle) AS INTEGER) AS length
+  FROM (SELECT *, unnest(range(0, len(p) - 1)) AS k FROM hit)
+)"""
+
+
+@query(f"WITH {_TARGETS_SQL}, {_STARTS_SQL} SELECT doc_id, target, start, length FROM m")
+def literal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.literal_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), _targets(spark, sf_dir), "doc_id")
+
+
+@query(r"""
+SELECT doc_id, i AS nth, matched FROM (
+  SELECT doc_id, unnest(a) AS matched, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]{3}[-. ]?[0-9]{4}') AS a FROM documents))
+""")
+def regex_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.posexplode(F.regexp_extract_all("text", F.lit(r"[0-9]{3}[-. ]?[0-9]{4}"), F.lit(0))).alias("nth", "matched")
+    return table(spark, sf_dir, "documents").select("doc_id", found)
+
+
+@query(f"""WITH {letters_sql()}, {_TARGETS_SQL},
+pt AS (SELECT doc_id, page, string_agg(c, '' ORDER BY i) AS text FROM l GROUP BY doc_id, page),
+hit AS (SELECT doc_id, page, target, needle, string_split(text, needle) AS p FROM pt JOIN tg ON contains(text, needle)),
+m AS (
+  SELECT doc_id, page, target, length(needle) AS n, CAST(k * length(needle) + list_sum(list_transform(p[1 : k + 1], lambda x: length(x))) AS INTEGER) AS start
+  FROM (SELECT *, unnest(range(0, len(p) - 1)) AS k FROM hit)
+)
+SELECT m.doc_id, m.page, target, start, round(min(x), 4) AS l, round(min(y), 4) AS b, round(max(x) + 6, 4) AS r, round(max(y) + 10, 4) AS t
+FROM m JOIN l ON m.doc_id = l.doc_id AND m.page = l.page AND l.i >= start AND l.i < start + n GROUP BY m.doc_id, m.page, target, start""")
+def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = page_texts(docs).select(F.struct("doc_id", "page").alias("at"), F.col("page_text").alias("text"))
+    found = search.literal_matches(texts, _targets(spark, sf_dir), "at").select("at.doc_id", "at.page", "target", "start", "length")
+    wanted = letters(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi"))
+    boxes = search.match_boxes(wanted, found, ["doc_id", "page"])
+    return boxes.select("doc_id", "page", "target", "start", *[F.round(c, 4).alias(c) for c in ("l", "b", "r", "t")])
+
+
+_SURFACES = {"email": r"[a-z0-9._]+@[a-z0-9.]+", "number": r"[0-9]{5,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "notice": r"[Ll]icen[sc]e"}
+
+
+@query("SELECT surface, CAST(sum(n) AS BIGINT) AS matches, CAST(count(*) AS BIGINT) AS documents FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS surface, len(regexp_extract_all(text, '{v}')) AS n FROM documents" for k, v in _SURFACES.items()) + ") WHERE n > 0 GROUP BY surface")
+def redaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches by surface, counted where the text is read; only counts are shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    counts = F.explode(F.create_map(*[x for k, v in _SURFACES.items() for x in (F.lit(k), F.regexp_count("text", F.lit(v)))])).alias("surface", "n")
+    return docs.select(counts).where("n > 0").groupBy("surface").agg(F.sum("n").cast("long").alias("matches"), F.count(F.lit(1)).alias("documents"))
+
+
+_BOX = "l_partkey % {m} AS page, {id} AS id, CAST({x} AS DOUBLE) AS l, CAST({y} AS DOUBLE) AS b, CAST({x} + {w} AS DOUBLE) AS r, CAST({y} + {h} AS DOUBLE) AS t"
+_ID = "l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey"
+_REGIONS = "SELECT p_partkey % 97 AS page, p_partkey AS id, CAST(p_retailprice % 500 AS DOUBLE) AS l, CAST(p_size * 10 AS DOUBLE) AS b, CAST(p_retailprice % 500 + p_size AS DOUBLE) AS r, CAST(p_size * 10 + 25 AS DOUBLE) AS t FROM part"
+_MARKS = f"SELECT DISTINCT l_partkey % 97 AS page, {_ID} AS id, CAST(l_extendedprice % 500 AS DOUBLE) AS l, CAST(l_quantity * 10 AS DOUBLE) AS b, CAST(l_extendedprice % 500 + 2 AS DOUBLE) AS r, CAST(l_quantity * 10 + 8 AS DOUBLE) AS t FROM lineitem"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part, item = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    regions = part.selectExpr("p_partkey % 97 AS page", "p_partkey AS id", "p_retailprice % 500 AS l", "cast(p_size * 10 as double) AS b", "p_retailprice % 500 + p_size AS r", "cast(p_size * 10 + 25 as double) AS t")
+    marks = item.selectExpr("l_partkey % 97 AS page", f"{_ID} AS id", "l_extendedprice % 500 AS l", "l_quantity * 10 AS b", "l_extendedprice % 500 + 2 AS r", "l_quantity * 10 + 8 AS t").distinct()
+    return regions, marks
+
+
+@query(f"WITH p AS ({_REGIONS}), q AS ({_MARKS}) SELECT p.page, p.id AS left_id, q.id AS right_id FROM p JOIN q ON p.page = q.page AND p.l < q.r AND q.l < p.r AND p.b < q.t AND q.b < p.t")
+def region_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, marks = _boxes(spark, sf_dir)
+    return search.overlap_join(regions, marks, "page", 50.0)
+
+
+@query(f"""WITH q AS ({_REGIONS}),
+f AS (SELECT page, l, r, max(r) OVER (PARTITION BY page ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM q),
+k AS (SELECT page, l, r, sum(CASE WHEN reach IS NULL OR l >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT page, round(min(l), 6) AS l, round(max(r), 6) AS r FROM k GROUP BY page, k""")
+def region_closure_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, _ = _boxes(spark, sf_dir)
+    return search.closure_1d(regions, ["page"]).select("page", F.round("l", 6).alias("l"), F.round("r", 6).alias("r"))
+
+
+@query()
+def region_closure_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, _ = _boxes(spark, sf_dir)
+    return search.closure_2d(regions, "page")
