@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ DEPTH = 64
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a reliable checkpoint where the session names a folder, else as it is."""
+    """df with its lineage cut by a reliable checkpoint, in the folder that the session names or, where none is named, a temporary one."""
     sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
+    return df.checkpoint()
 
 
 def flatten(nodes: DataFrame, inherit: list[str], depth: int = DEPTH) -> DataFrame:

@@ -1 +1,121 @@
-"""Queries."""
+"""Scalar functions over lineitem, events and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import blend, postscript, shapes, strings
+from ..sources.tables import table
+from . import query
+
+_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_KEYS = ", ".join(_KEY)
+
+
+def _items(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*_KEY, *[F.round(c, 6).alias(n) if n[0] != "_" else c.alias(n[1:]) for n, c in columns.items()])
+
+
+@query(f"""SELECT {_KEYS},
+  round(CASE WHEN l_discount = 0 THEN 0 ELSE l_quantity / l_discount END, 6) AS a,
+  round(sqrt(greatest(l_quantity - 20, 0)) + sin(radians(l_quantity * 7)) * cos(radians(l_quantity)), 6) AS b,
+  round(CASE WHEN degrees(atan2(l_tax - 0.04, l_discount - 0.05)) < 0 THEN degrees(atan2(l_tax - 0.04, l_discount - 0.05)) + 360 ELSE degrees(atan2(l_tax - 0.04, l_discount - 0.05)) END, 6) AS c,
+  CAST(CASE WHEN l_quantity > 25 AND l_tax < 0.05 THEN floor(0.5 - l_quantity / 4) ELSE l_linenumber % 3 END AS DOUBLE) AS d,
+  CAST((CAST(l_quantity AS BIGINT) & 12) * 4 AS DOUBLE) AS e
+FROM lineitem""")
+def ps_calculator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d, t, n = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_linenumber")
+
+    def one(program, *inputs):
+        return postscript.calculate(program, *inputs)[0]
+
+    return _items(
+        spark, sf_dir,
+        a=one("{ div }", q, d),
+        b=one("{ dup 20 sub sqrt exch dup 7 mul sin exch cos mul add }", q),
+        c=one("{ exch 0.04 sub exch 0.05 sub atan }", t, d),
+        d=one("{ 3 copy pop 0.05 lt exch 25 gt and { pop pop 4 div neg round } { exch pop exch pop 3 mod } ifelse }", q, t, n),
+        e=one("{ 12 and 2 bitshift }", q),
+    )
+
+
+@query(f"SELECT {_KEYS}, round(0.1 + power(l_discount * 10, 1.7) * (0.9 - 0.1), 6) AS r, round(1 + power(l_discount * 10, 1.7) * (0.25 - 1), 6) AS g FROM lineitem")
+def fn_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, g = shapes.exponential(F.col("l_discount") * 10, [0.1, 1.0], [0.9, 0.25], 1.7, (0.0, 2.0))
+    return _items(spark, sf_dir, r=r, g=g)
+
+
+@query(f"""SELECT {_KEYS}, round(CASE WHEN x < 0.25 THEN power((x - 0) * 1 / 0.25, 2) WHEN x < 0.75 THEN 1 + (1 + (x - 0.25) * (0 - 1) / 0.5) * (0.2 - 1) ELSE 0.2 + ((x - 0.75) * 1 / 0.25) * 0.3 END, 6) AS y
+FROM (SELECT *, least(greatest(l_tax * 12.5, 0), 1) AS x FROM lineitem)""")
+def fn_stitching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [lambda x: F.pow(x, F.lit(2.0)), lambda x: 1.0 + x * (0.2 - 1.0), lambda x: 0.2 + x * 0.3]
+    return _items(spark, sf_dir, y=shapes.stitched(F.col("l_tax") * 12.5, parts, [0.25, 0.75], [(0, 1), (1, 0), (0, 1)]))
+
+
+@query("""SELECT vec_id, round(CASE WHEN e >= 63 THEN embedding[64] ELSE embedding[CAST(floor(e) AS INTEGER) + 1] * (1 - (e - floor(e))) + embedding[CAST(floor(e) AS INTEGER) + 2] * (e - floor(e)) END, 5) AS y
+FROM (SELECT *, CAST(vec_id % 100 AS DOUBLE) / 99 * 63 AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings))""")
+def fn_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.expr("cast(vec_id % 100 as double)") / 99
+    y = shapes.sampled([x], F.col("embedding"), [64], [(0.0, 1.0)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(y, 5).alias("y"))
+
+
+_B, _S = "CAST(floor(l_discount * 2550) AS INTEGER)", "CAST(floor(l_tax * 3187.5) AS INTEGER)"
+
+
+def _sql_blend(text: str) -> str:
+    import re
+
+    text = re.sub(r"\bif\(", "IF(", text).replace(" div ", " // ")
+    return text
+
+
+@query(f"WITH x AS (SELECT *, {_B} AS b, {_S} AS s FROM lineitem) SELECT {_KEYS}, " + ", ".join(f"CAST({_sql_blend(t)} AS INTEGER) AS {n.lower()}" for n, t in blend.SEPARABLE.items()) + " FROM x")
+def blend_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(*_KEY, F.floor(F.col("l_discount") * 2550).cast("int").alias("b"), F.floor(F.col("l_tax") * 3187.5).cast("int").alias("s"))
+    return rows.select(*_KEY, *[blend.separable(n, "b", "s").alias(n.lower()) for n in blend.SEPARABLE])
+
+
+@query(f"""WITH x AS (SELECT *, l_discount * 10 AS r, l_tax * 12.5 AS g, l_quantity / 50 AS b, l_extendedprice / 104998 AS lum FROM lineitem),
+m AS (SELECT *, r + (lum - (0.3 * r + 0.59 * g + 0.11 * b)) AS r1, g + (lum - (0.3 * r + 0.59 * g + 0.11 * b)) AS g1, b + (lum - (0.3 * r + 0.59 * g + 0.11 * b)) AS b1 FROM x),
+n AS (SELECT *, least(r1, g1, b1) AS lo, greatest(r1, g1, b1) AS hi, 0.3 * r1 + 0.59 * g1 + 0.11 * b1 AS l1 FROM m)
+SELECT {_KEYS}, """ + ", ".join(f"round(CASE WHEN hi > 1 AND NOT lo < 0 THEN l1 + ({c}1 - l1) * (1 - l1) / (hi - l1) WHEN lo < 0 THEN l1 + ({c}1 - l1) * l1 / (l1 - lo) ELSE {c}1 END, 6) AS {c}" for c in "rgb") + " FROM n")
+def blend_nonseparable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hue and saturation of one colour at the luminosity of another."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*_KEY, "l_discount * 10 AS r", "l_tax * 12.5D AS g", "l_quantity / 50 AS b", "l_extendedprice / 104998 AS lum")
+    return rows.select(*_KEY, *[F.round(c, 6).alias(n) for n, c in zip("rgb", blend.with_luminosity(["r", "g", "b"], "lum"))])
+
+
+@query(f"SELECT {_KEYS}, CAST(floor({_B} * (1 - l_quantity / 50) + {_S} * (l_quantity / 50) + 0.5) AS INTEGER) AS c FROM lineitem")
+def composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, s = F.floor(F.col("l_discount") * 2550), F.floor(F.col("l_tax") * 3187.5)
+    return table(spark, sf_dir, "lineitem").select(*_KEY, blend.composite(b, s, F.col("l_quantity") / 50).alias("c"))
+
+
+@query(f"SELECT {_KEYS}, round((l_quantity * 2 + l_tax * 0.5 + 3) * 1.5 + 7, 6) AS x, round((l_quantity * 0.25 + l_tax * 4 + 1) * 0.5 - 2, 6) AS y FROM lineitem")
+def matrix_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = shapes.multiply([2.0, 0.25, 0.5, 4.0, 3.0, 1.0], [1.5, 0.0, 0.0, 0.5, 7.0, -2.0])
+    x, y = shapes.transform([F.lit(v) for v in m], F.col("l_quantity"), F.col("l_tax"))
+    return _items(spark, sf_dir, x=x, y=y)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 10 = 9 THEN NULL
+  ELSE to_timestamp(epoch(date_trunc('second', CASE WHEN event_id % 3 = 0 THEN date_trunc('day', ts) WHEN event_id % 3 = 1 THEN ts ELSE ts - INTERVAL 90 MINUTE END))) AT TIME ZONE 'UTC' END AS at FROM events""")
+def pdf_date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' times written as documents write dates: days alone, in UTC, with an offset, or without a year."""
+    day, full = F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "yyyyMMddHHmmss")
+    text = F.when(F.expr("event_id % 10 = 9"), "D:19").when(F.expr("event_id % 3 = 0"), F.concat(F.lit("D:"), day)).when(F.expr("event_id % 3 = 1"), F.concat(F.lit("D:"), full, F.lit("Z"))).otherwise(F.concat(full, F.lit("+01'30'")))
+    return table(spark, sf_dir, "events").select("event_id", strings.document_date(text).alias("at"))
+
+
+@query("SELECT event_id, CAST(CASE WHEN event_id % 7 = 0 THEN 3900 ELSE (event_id * 37) & 3900 END AS INTEGER) AS bits FROM events")
+def permission_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr("if(event_id % 7 = 0, null, cast(event_id * 37 as int))")
+    return table(spark, sf_dir, "events").select("event_id", strings.permissions(raw).alias("bits"))
+
+
+@query("SELECT event_id, (event_id & 2) = 0 AND (event_id & 4) <> 0 AS printed, (event_id & 2) = 0 AND (event_id & 32) = 0 AS viewed FROM events")
+def annotation_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.col("event_id").cast("int")
+    return table(spark, sf_dir, "events").select("event_id", strings.annotation_visible(flags, True).alias("printed"), strings.annotation_visible(flags, False).alias("viewed"))

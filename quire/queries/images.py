@@ -1 +1,146 @@
-"""Queries."""
+"""Image planning over lineitem (placements of parts) and part (images)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans import images
+from ..sources.tables import table
+from . import query
+
+_PLACED_SQL = """pl AS (
+  SELECT l_partkey AS image, l_linenumber AS page, l_orderkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
+    CASE WHEN l_quantity % 17 = 0 AND l_partkey % 5 = 0 THEN NULL ELSE floor(l_extendedprice / 50) * 72 / (sqrt(l_quantity * l_quantity + (l_tax * 100) * (l_tax * 100)) * 1) END AS dx,
+    CASE WHEN l_quantity % 17 = 0 AND l_partkey % 5 = 0 THEN NULL ELSE floor(l_extendedprice / 80) * 72 / (sqrt((l_discount * 10) * (l_discount * 10) + l_quantity * l_quantity) * 1) END AS dy,
+    l_partkey % 7 = 0 OR (l_partkey % 11 = 0 AND l_returnflag = 'A') AS tiling FROM lineitem
+)"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.when((F.col("l_quantity") % 17 == 0) & (F.col("l_partkey") % 5 == 0), F.lit(0.0)).otherwise(F.col("l_quantity"))
+    zero = q == 0
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(
+        F.col("l_partkey").alias("image"), F.col("l_linenumber").alias("page"), "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+        images.dpi(F.floor(F.col("l_extendedprice") / 50), q, F.when(zero, 0.0).otherwise(F.col("l_tax") * 100), F.lit(1.0)).alias("dx"),
+        images.dpi(F.floor(F.col("l_extendedprice") / 80), F.when(zero, 0.0).otherwise(F.col("l_discount") * 10), q, F.lit(1.0)).alias("dy"),
+        F.expr("l_partkey % 7 = 0 OR (l_partkey % 11 = 0 AND l_returnflag = 'A')").alias("tiling"),
+    )
+
+
+@query(f"WITH {_PLACED_SQL} SELECT image, page, l_orderkey, l_suppkey, round(dx, 6) AS dx, round(dy, 6) AS dy FROM pl")
+def effective_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).select("image", "page", "l_orderkey", "l_suppkey", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+_SUMMARY_SQL = f"""{_PLACED_SQL}, sm AS (
+  SELECT image, min(dx) AS dpi_x, min(dy) AS dpi_y,
+    first(page ORDER BY least(dx, dy) NULLS LAST, l_orderkey, page, l_suppkey) FILTER (WHERE dx IS NOT NULL AND dy IS NOT NULL) AS page,
+    CASE WHEN bool_or(dx IS NULL OR dy IS NULL) OR (bool_or(tiling) AND bool_or(NOT tiling)) THEN 'Unmeasured' WHEN bool_or(tiling) THEN 'TilingPatternOnly' ELSE 'Measured' END AS kind
+  FROM pl GROUP BY image
+)"""
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.placement_summary(_placed(spark, sf_dir), "image", ["l_orderkey", "page", "l_suppkey"])
+
+
+@query(f"WITH {_SUMMARY_SQL} SELECT image, round(dpi_x, 6) AS dpi_x, round(dpi_y, 6) AS dpi_y, page, kind FROM sm")
+def placement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summary(spark, sf_dir).select("image", F.round("dpi_x", 6).alias("dpi_x"), F.round("dpi_y", 6).alias("dpi_y"), "page", "kind")
+
+
+_CLASS_SQL = f"""{_SUMMARY_SQL}, cl AS (
+  SELECT p_partkey AS image, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'Mask' WHEN kind <> 'Measured' THEN kind WHEN least(dpi_x, dpi_y) > 500 * 1.5 THEN 'Downsample' ELSE 'Keep' END AS action,
+    dpi_x, dpi_y, p_size * 40 AS w, p_size * 25 AS h, p_brand, p_retailprice FROM part JOIN sm ON p_partkey = image
+)"""
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), "p_type", "p_brand", "p_retailprice", (F.col("p_size") * 40).alias("w"), (F.col("p_size") * 25).alias("h"))
+    rows = part.join(_summary(spark, sf_dir), "image")
+    action = (
+        F.when(F.col("p_type").startswith("ECONOMY"), "Mask").when(F.col("kind") != "Measured", F.col("kind"))
+        .when(images.triggered(F.col("dpi_x"), F.col("dpi_y"), 500), "Downsample").otherwise("Keep")
+    )
+    return rows.withColumn("action", action)
+
+
+@query(f"WITH {_CLASS_SQL} SELECT image, action FROM cl")
+def classify_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classes(spark, sf_dir).select("image", "action")
+
+
+@query(f"WITH {_CLASS_SQL} SELECT image, CAST(greatest(1, least(w, floor(w * CAST(500 AS DOUBLE) / dpi_x + 0.5))) AS BIGINT) AS w, CAST(greatest(1, least(h, floor(h * CAST(500 AS DOUBLE) / dpi_y + 0.5))) AS BIGINT) AS h FROM cl WHERE action = 'Downsample'")
+def target_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _classes(spark, sf_dir).where("action = 'Downsample'")
+    return rows.select("image", images.target_size(F.col("w"), F.col("dpi_x"), 500.0).alias("w"), images.target_size(F.col("h"), F.col("dpi_y"), 500.0).alias("h"))
+
+
+@query(f"""WITH {_CLASS_SQL}
+SELECT m AS mask, max(w) AS w, max(h) AS h, round(min(dpi_x), 6) AS dpi_x, round(min(dpi_y), 6) AS dpi_y FROM (SELECT *, image % 100 AS m FROM cl WHERE action IN ('Keep', 'Downsample')) GROUP BY m""")
+def soft_mask_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask follows the largest of the images that use it, at the least DPI."""
+    rows = _classes(spark, sf_dir).where("action IN ('Keep', 'Downsample')").withColumn("mask", F.expr("image % 100"))
+    return rows.groupBy("mask").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.round(F.min("dpi_x"), 6).alias("dpi_x"), F.round(F.min("dpi_y"), 6).alias("dpi_y"))
+
+
+@query("""WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)
+SELECT p_brand, unnest(CASE WHEN n <= 3 THEN range(0, n) ELSE [(1 * n) // 6, (3 * n) // 6, (5 * n) // 6] END) AS place FROM g""")
+def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return groups.select("p_brand", F.explode(images.spread(F.col("n"), 3)).alias("place"))
+
+
+_RR_SQL = """g AS (SELECT p_brand, count(*) AS n, sum(p_retailprice) AS bytes, min(p_partkey) AS first_ FROM part WHERE p_size > 47 GROUP BY p_brand),
+o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, first_) AS k FROM g),
+t AS (SELECT k, r, row_number() OVER (ORDER BY r, k) AS q FROM (SELECT k, unnest(range(0, least(n, 3))) AS r FROM o)),
+d AS (SELECT k, count(*) AS taken FROM t WHERE q <= 16 GROUP BY k)"""
+
+
+@query(f"WITH {_RR_SQL} SELECT p_brand, n, coalesce(taken, 0) AS taken FROM o LEFT JOIN d USING (k)")
+def round_robin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "part").where("p_size > 47").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_retailprice").alias("bytes"), F.min("p_partkey").alias("first_"))
+    return images.round_robin(groups, [F.col("bytes").desc(), F.col("first_")], "n").select("p_brand", "n", "taken")
+
+
+@query("""WITH RECURSIVE s AS (
+  SELECT l_suppkey, l_extendedprice AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS k, l_orderkey AS id FROM lineitem WHERE l_quantity > 40
+), f AS (
+  SELECT l_suppkey, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS total, 0 AS n, CAST([] AS BIGINT[]) AS ids FROM (SELECT DISTINCT l_suppkey FROM s)
+  UNION ALL
+  SELECT f.l_suppkey, s.k, CASE WHEN n < 32 AND total + size <= 400000 THEN total + size ELSE total END, CASE WHEN n < 32 AND total + size <= 400000 THEN n + 1 ELSE n END,
+    CASE WHEN n < 32 AND total + size <= 400000 THEN list_append(ids, id) ELSE ids END
+  FROM f JOIN s ON s.l_suppkey = f.l_suppkey AND s.k = f.k + 1
+)
+SELECT l_suppkey, array_to_string(arg_max(ids, k), ',') AS picked FROM f GROUP BY l_suppkey""")
+def budget_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_suppkey", F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_extendedprice", (-F.col("l_extendedprice")).alias("_neg"), "l_orderkey")
+    picked = images.budget_pick(items, "l_suppkey", ["_neg", "l_orderkey", "l_linenumber", "l_partkey"], "l_extendedprice", 400_000)
+    return picked.select("l_suppkey", F.array_join(F.col("picked").cast("array<string>"), ",").alias("picked"))
+
+
+@query("""SELECT p_brand, count(*) AS images, round(sum(p_retailprice), 4) AS "before",
+  round(least(sum(p_retailprice), coalesce(sum(p_size * 1000) * (sum(CASE WHEN p_partkey % 9 = 0 THEN p_retailprice * 0.6 END) / sum(CASE WHEN p_partkey % 9 = 0 THEN p_size * 1000 END)), sum(p_retailprice))), 4) AS "after"
+FROM part GROUP BY p_brand""")
+def estimate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "part").select("p_brand", "p_retailprice", (F.col("p_size") * 1000).alias("pixels"), (F.col("p_partkey") % 9 == 0).alias("sampled"), (F.col("p_retailprice") * 0.6).alias("out"))
+    out = images.estimate(items, "p_brand", "pixels", "p_retailprice", "sampled", "out")
+    return out.select("p_brand", "images", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_partkey % 4 = 0 THEN p_size * 40 * CAST(72 AS DOUBLE) / 96 ELSE p_size * 40 * CAST(72 AS DOUBLE) / (100 + p_partkey % 200) END, 6) AS width FROM part")
+def images_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page width of an image: pixels * 72 / DPI, 96 where it states none."""
+    own = F.when(F.col("p_partkey") % 4 != 0, 100 + F.col("p_partkey") % 200)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_size") * 40 * 72.0 / F.coalesce(own, F.lit(96)), 6).alias("width"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN a + 20 < b THEN b - a - 20 + (length(CAST(b AS VARCHAR)) - length(CAST(a AS VARCHAR))) ELSE 0 END AS BIGINT) AS saved FROM (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) AS b, CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) AS a FROM lineitem)")
+def digit_delta_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes saved by a replacement that is smaller even with its filter entry (20), with the change of the length's own digits."""
+    b, a = F.floor("l_extendedprice"), F.floor(F.expr("l_extendedprice * (1 - l_discount)"))
+    digits = F.length(b.cast("string")) - F.length(a.cast("string"))
+    saved = F.when(a + 20 < b, b - a - 20 + digits).otherwise(0).cast("long").alias("saved")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", saved)
