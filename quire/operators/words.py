@@ -23,7 +23,9 @@ def breaks(prev: str, cur: str) -> str:
 
 
 def blank(letter: str) -> str:
-    return f"coalesce(trim(translate({letter}.value, '\\t\\r\\n\\u000c\\u00a0', '     ')), '') = ''"
+    white = "'', ' ', '\\t', '\\r', '\\n', '\\u000c', '\\u00a0'"
+    long = f"trim(translate({letter}.value, '\\t\\r\\n\\u000c\\u00a0', '     ')) = ''"
+    return f"({letter}.value IS NULL OR {letter}.value IN ({white}) OR (length({letter}.value) > 1 AND {long}))"
 
 
 def _corner(f: str, pick: str, axis: str) -> str:
@@ -36,30 +38,36 @@ def _corner(f: str, pick: str, axis: str) -> str:
 BOX = f"'l', {_corner('min', 'least', 'x')}, 'b', {_corner('min', 'least', 'y')}, 'r', {_corner('max', 'greatest', 'x')}, 't', {_corner('max', 'greatest', 'y')}"
 
 
-def words(letters: str = "letters") -> Column:
+def marks(letters: str = "letters") -> Column:
+    """array<int> for each letter: 2 blank, 1 first of a word, 0 goes on with the word."""
+    a = letters
+    return F.expr(f"transform({a}, (c, i) -> if({blank('c')}, 2, if(i = 0 OR {blank(f'{a}[i - 1]')} OR {breaks(f'{a}[i - 1]', 'c')}, 1, 0)))")
+
+
+def words(letters: str = "letters", marked: str = "marks", boxes: bool = True) -> Column:
     """array<struct<word, first, last, text, n_letters, l, b, r, t, size, dx, dy, mcid>> of a page's letters, in content order.
 
     A blank letter (null, empty or white space) ends a word and belongs to none. Two neighbours part where their
     directions differ, one lies off the other's line, or the gap is wide; fonts don't count. Size, direction and
     mcid are the first letter's; first and last are letter places. No letters give no words; null gives null.
+    Without boxes only word, first, last, text and n_letters are made. marked names the column of marks().
     """
-    a = letters
+    a, m = letters, marked
     places = f"if(size({a}) > 0, sequence(0, size({a}) - 1), cast(array() as array<int>))"
-    begin = f"filter({places}, i -> NOT {blank(f'{a}[i]')} AND (i = 0 OR {blank(f'{a}[i - 1]')} OR {breaks(f'{a}[i - 1]', f'{a}[i]')}))"
-    end = f"filter({places}, i -> NOT {blank(f'{a}[i]')} AND (i = size({a}) - 1 OR {blank(f'{a}[i + 1]')} OR {breaks(f'{a}[i]', f'{a}[i + 1]')}))"
+    begin = f"filter({places}, i -> {m}[i] = 1)"
+    end = f"filter({places}, i -> {m}[i] <> 2 AND (i = size({a}) - 1 OR {m}[i + 1] <> 0))"
     cut = f"zip_with({begin}, {end}, (b, e) -> named_struct('b', b, 'e', e, 'part', slice({a}, b + 1, e - b + 1)))"
     head = "z.part[0]"
-    one = (
-        "named_struct('word', k, 'first', z.b, 'last', z.e, 'text', array_join(transform(z.part, a -> a.value), ''), 'n_letters', z.e - z.b + 1, "
-        + BOX.replace("part", "z.part")
-        + f", 'size', {head}.size, 'dx', {head}.dx, 'dy', {head}.dy, 'mcid', {head}.mcid)"
-    )
-    return F.expr(f"transform({cut}, (z, k) -> {one})")
+    one = "'word', k, 'first', z.b, 'last', z.e, 'text', array_join(transform(z.part, a -> a.value), ''), 'n_letters', z.e - z.b + 1"
+    if boxes:
+        one += ", " + BOX.replace("part", "z.part") + f", 'size', {head}.size, 'dx', {head}.dx, 'dy', {head}.dy, 'mcid', {head}.mcid"
+    return F.expr(f"transform({cut}, (z, k) -> named_struct({one}))")
 
 
-def page_words(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page, letters) with words instead of letters."""
-    return settled(pages, words=words("letters")).select("doc_id", "page", "words")
+def page_words(pages: DataFrame, boxes: bool = True) -> DataFrame:
+    """pages (doc_id, page, letters) with words instead of letters. Nothing is shuffled."""
+    marked = settled(pages, marks=marks("letters"))
+    return settled(marked, words=words("letters", "marks", boxes)).select("doc_id", "page", "words")
 
 
 def word_rows(pages: DataFrame) -> DataFrame:

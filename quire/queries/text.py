@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lines, words
-from ..sources.tables import letters, letters_sql, table
+from ..sources.tables import letters, letters_sql, spread, table
 from . import query
 
 #: Words of the flat letters: w(doc_id, page, word, text, n_letters, l, b, r, t).
@@ -25,13 +25,13 @@ g AS (
 )"""
 
 
-def _pages(spark: SparkSession, sf_dir: str, leading: float = 12.0) -> DataFrame:
-    return words.page_words(letters(table(spark, sf_dir, "documents"), leading))
+def _pages(spark: SparkSession, sf_dir: str, leading: float = 12.0, boxes: bool = True) -> DataFrame:
+    return words.page_words(letters(table(spark, sf_dir, "documents"), leading), boxes)
 
 
 @query(f"WITH {letters_sql()}, {WORDS_SQL} SELECT doc_id, page, word, text, n_letters FROM w")
 def word_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.word_rows(_pages(spark, sf_dir)).select("doc_id", "page", "word", "text", "n_letters")
+    return words.word_rows(_pages(spark, sf_dir, boxes=False)).select("doc_id", "page", "word", "text", "n_letters")
 
 
 @query(f"WITH {letters_sql()}, {WORDS_SQL} SELECT doc_id, page, word, round(l, 4) AS l, round(b, 4) AS b, round(r, 4) AS r, round(t, 4) AS t FROM w")
@@ -72,7 +72,7 @@ def dominant_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of 60 words of a document each, two a row: even ones in a column at 40, odd ones in one at 320 if the document's id is even."""
     docs = table(spark, sf_dir, "documents")
-    ws = docs.select("doc_id", F.expr(r"filter(split(text, '[^\\x21-\\x7E]+'), x -> x <> '')").alias("ws")).where("size(ws) > 0")
+    ws = spread(docs).select("doc_id", F.expr(r"filter(split(text, '[^\\x21-\\x7E]+'), x -> x <> '')").alias("ws")).where("size(ws) > 0")
     pages = ws.select("doc_id", F.explode(F.expr("sequence(0, (size(ws) - 1) div 60)")).alias("page"), "ws").select("doc_id", "page", F.expr("slice(ws, page * 60 + 1, 60)").alias("ws"))
     box = (
         "named_struct('word', i, 'first', 0, 'last', 0, 'text', w, 'n_letters', length(w),"

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is read from fewer files than those (one row group is one task); a large input is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * n) if len(df.inputFiles()) < n else df
+
+
 def settled(df: DataFrame, **columns) -> DataFrame:
     """df with columns that the optimizer computes once a row: it does not merge what stands on either side of a generator.
 
@@ -46,7 +52,7 @@ def letters(docs: DataFrame, leading: float = LEADING) -> DataFrame:
     x = f"{LEFT}D + {ADVANCE}D * (i % {COLUMNS}) + (ascii(c) % 5) * 0.4D + if(i % {COLUMNS} > 0 AND get(cs, i - 1) IN ('.', ','), 3.2D, 0.0D)"
     y = f"{TOP}D - {leading}D * (i div {COLUMNS})"
     one = f"named_struct('value', c, 'x', {x}, 'y', {y}, 'adv', {ADVANCE}D, 'size', {SIZE}D, 'dx', 1.0D, 'dy', 0.0D, 'mcid', cast(null as int))"
-    pages = settled(page_texts(docs), cs=F.split("page_text", ""))
+    pages = settled(page_texts(spread(docs.select("doc_id", "text"))), cs=F.split("page_text", ""))
     return settled(pages, letters=F.expr(f"transform(cs, (c, i) -> {one})")).select("doc_id", "page", "letters")
 
 
