@@ -82,23 +82,23 @@ def place(rows: DataFrame, sizes: DataFrame, scratch: Scratch, weights=WEIGHTS,
     sums = sums.select("source", "_b", F.coalesce(start, F.lit(0)).alias("_start"))
     goal = targets(sizes, weights, share, passes).withColumnRenamed("source", "_s")
     sums = sums.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s")
-    sums = scratch.keep(sums)
-    rows = rows.withColumns({"_key": key, "_bucket": F.substring(key, 1, digits)})
-    within = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "mix_size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    at = F.col("_start") + F.col("_before")
-    firsts = [F.lit(p) * F.col("source_size") + at for p in range(passes)]
-    takes = [F.greatest(F.lit(0), F.least(F.col("mix_size"), F.round("target").cast("long") - x)).cast("long") for x in firsts]
-    a = F.col("tilt")
+    sums = scratch.keep(sums.select(*[F.col(c).alias(f"_mix{c if c[0] == '_' else '_' + c}") for c in ("_s", "_b", "_start", "source_size", "tilt", "target")]))
+    rows = rows.withColumns({"_mix_key": key, "_mix_bucket": F.substring(key, 1, digits)})
+    within = W.partitionBy("source", "_mix_bucket").orderBy("_mix_key", "doc_id", "mix_size").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_mix_before", F.coalesce(F.sum("mix_size").over(within), F.lit(0)))
+    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_bucket") == F.col("_mix_b")))
+    at = F.col("_mix_start") + F.col("_mix_before")
+    firsts = [F.lit(p) * F.col("_mix_source_size") + at for p in range(passes)]
+    takes = [F.greatest(F.lit(0), F.least(F.col("mix_size"), F.round("_mix_target").cast("long") - x)).cast("long") for x in firsts]
+    a = F.col("_mix_tilt")
     positions = []
     for first, take in zip(firsts, takes):
-        given = F.try_divide(first, F.col("target"))
+        given = F.try_divide(first, F.col("_mix_target"))
         curve = (a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * given)) / F.nullif(2 * a, F.lit(0.0))
         positions.append(F.when(take > 0, F.when(a == 0, given).otherwise(curve)))
     return rows.withColumns(
-        {"mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_takes": F.array(*takes), "mix_positions": F.array(*positions)}
-    ).drop("_key", "_bucket", "_before", "_s", "_b", "_start", "source_size", "weight", "tilt", "target")
+        {"mix_source_size": F.col("_mix_source_size"), "mix_target": F.col("_mix_target"), "mix_takes": F.array(*takes), "mix_positions": F.array(*positions)}
+    ).drop(*[f"_mix_{c}" for c in ("key", "bucket", "before", "s", "b", "start", "source_size", "tilt", "target")])
 
 
 def measured(docs: DataFrame, scratch: Scratch) -> DataFrame:
