@@ -110,7 +110,8 @@ class Tagger:
         h = self.h
         scale = np.concatenate([np.full(3 * h, 0.25), np.ones(h)])[:, None]
         shift = np.concatenate([np.full(3 * h, 0.5), np.zeros(h)])[:, None]
-        w = {f"x{d}": (self.p[f"x{d}"] * scale + shift).astype(F32) for d in "fb"}
+        pad = np.concatenate([np.full(3 * h, -1e6), np.zeros(h)])[:, None]  # one symbol more shuts all gates: the state is 0 as at a start
+        w = {f"x{d}": np.hstack([self.p[f"x{d}"] * scale + shift, pad]).astype(F32) for d in "fb"}
         w |= {f"u{d}": (self.p[f"u{d}"] * scale).astype(F32) for d in "fb"} | {f"e{d}": self.p[f"e{d}"].astype(F32) for d in "fb"}
         return w | {q: self.p[q].astype(F32) for q in ("bias", "trans", "start")} | {"h": h, "k": self.k}
 
@@ -145,9 +146,11 @@ def emissions(w: dict, x: np.ndarray) -> np.ndarray:
     return e
 
 
-def decode(w: dict, x: np.ndarray) -> dict[int, np.ndarray]:
+def decode(w: dict, x: np.ndarray, lengths: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """The best tags of each column of x (t, n) that has a tag other than 0; the other columns are all 0.
 
+    Columns end at lengths; what follows must be the symbol after the last and changes nothing before it.
+
     A column is left at 0 without a search only if no other path can win: at each place every other
     tag trails by more than any two transitions can give back.
     """
@@ -165,7 +168,13 @@ def decode(w: dict, x: np.ndarray) -> dict[int, np.ndarray]:
         for s in range(1, t):
             paths = best[:, None] + tr[:, :, None]
             back[s] = paths.argmax(axis=0)
-            best = paths.max(axis=0) + sub[s]
+            then = paths.max(axis=0) + sub[s]
+            if lengths is None:
+                best = then
+            else:
+                over = s >= lengths[some]
+                best = np.where(over, best, then)
+                back[s] = np.where(over, np.arange(k, dtype=np.int8)[:, None], back[s])
         tags = np.zeros((t, n), np.int8)
         tags[-1] = best.argmax(axis=0)
         for s in range(t - 1, 0, -1):

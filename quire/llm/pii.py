@@ -192,10 +192,10 @@ def tag(weights: dict, texts: list[str]) -> list[np.ndarray | None]:
     out: list[np.ndarray | None] = [None] * len(texts)
     for s in range(0, len(spots), AT_ONCE):
         some = spots[s : s + AT_ONCE]
-        x = np.zeros((some[-1][0], len(some)), np.uint8)
+        x = np.full((some[-1][0], len(some)), SYMBOLS, np.uint8)
         for j, (n, i, a) in enumerate(some):
             x[:n, j] = codes[i][a : a + n]
-        for j, tags in decode(weights, x).items():
+        for j, tags in decode(weights, x, np.array([n for n, _, _ in some])).items():
             n, i, a = some[j]
             if out[i] is None:
                 out[i] = np.zeros(len(codes[i]), np.int8)
