@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import ORACLES, QUERIES, forms, functions, graph, images, layout, pages, search, text
+from .queries import ORACLES, QUERIES, content, forms, functions, graph, images, layout, pages, references, search, text
 
 __all__ = ["ORACLES", "QUERIES"]
-_MODULES = (forms, functions, graph, images, layout, pages, search, text)
+_MODULES = (content, forms, functions, graph, images, layout, pages, references, search, text)

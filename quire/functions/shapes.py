@@ -64,3 +64,8 @@ def multiply(m: list, n: list) -> list:
 
 def transform(m: list, x: Column, y: Column) -> tuple[Column, Column]:
     return x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]
+
+
+def fixed_times(x: Column, y: Column) -> Column:
+    """The product of two numbers in 16.16 fixed point, rounded half up."""
+    return F.shiftright(x * y + 32768, 16)

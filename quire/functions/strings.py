@@ -62,3 +62,40 @@ def field_kind(kind: Column, flags: Column) -> Column:
     button = F.when(bit(17), "PushButton").when(bit(16), "RadioButton").otherwise("CheckBox")
     choice = F.when(bit(18), "ComboBox").otherwise("ListBox")
     return F.when(kind == "Tx", "Text").when(kind == "Sig", "Signature").when(kind == "Btn", button).when(kind == "Ch", choice).otherwise("Unknown")
+
+
+#: Filters that only spell bytes as text, and the family of each other.
+ASCII_FILTERS = ("ASCIIHexDecode", "AHx", "ASCII85Decode", "A85")
+FAMILIES = {
+    "FlateDecode": "Flate", "Fl": "Flate", "LZWDecode": "Lzw", "LZW": "Lzw", "RunLengthDecode": "RunLength", "RL": "RunLength", "DCTDecode": "Jpeg", "DCT": "Jpeg",
+    "JPXDecode": "Jpeg2000", "CCITTFaxDecode": "Fax", "CCF": "Fax", "JBIG2Decode": "Jbig2",
+}
+
+
+def encoding_family(filters: Column) -> Column:
+    """The family of the last filter that isn't ASCII: Raw if there is none, Other if it is unknown."""
+    last = F.get(F.reverse(F.filter(filters, lambda f: ~f.isin(*ASCII_FILTERS))), F.lit(0))
+    named = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
+    return F.when(last.isNull(), "Raw").otherwise(F.coalesce(F.try_element_at(named, last), F.lit("Other")))
+
+
+def text_string(raw: Column) -> Column:
+    """Bytes of a text string: UTF-16BE or UTF-8 behind their byte order marks, else Latin-1."""
+    mark = F.hex(F.substring(raw, 1, 3))
+    wide = F.decode(F.substring(raw, 3, 2**31 - 1), "UTF-16BE")
+    return F.when(mark.startswith("FEFF"), wide).when(mark == "EFBBBF", F.decode(F.substring(raw, 4, 2**31 - 1), "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
+
+
+def dictionary_digest(keys: list[str]) -> Column:
+    """SHA-256 of a dictionary's entries in order of their keys; null if a value is."""
+    return F.sha2(F.concat(*[x for i, k in enumerate(sorted(keys)) for x in (F.lit(f"{';' if i else ''}{k}="), F.col(k))]).cast("binary"), 256)
+
+
+#: Code points by script: Latin, Greek, Cyrillic, Hebrew to Arabic, Kana and Han; all else is common.
+SCRIPTS = (r"A-Za-z\x{00C0}-\x{024F}", r"\x{0370}-\x{03FF}", r"\x{0400}-\x{04FF}", r"\x{0590}-\x{08FF}", r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}")
+
+
+def script_runs(text: Column) -> Column:
+    """The maximal runs of one script, in order."""
+    pattern = "|".join(f"[{s}]+" for s in SCRIPTS) + f"|[^{''.join(SCRIPTS)}]+"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Levels of a tree that are walked.
 DEPTH = 64
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -17,7 +18,13 @@ def _kept(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    inferred = conf.get(CONSTRAINTS)
+    conf.set(CONSTRAINTS, "false")  # a checkpoint keeps its plan's constraints, and a union over one that names columns since gone fails
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(CONSTRAINTS, inferred)
 
 
 def flatten(nodes: DataFrame, inherit: list[str], depth: int = DEPTH) -> DataFrame:

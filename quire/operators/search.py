@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Needles that are broadcast at a time.
+NEEDLES = 10_000
+#: Matches that a search may give before it is an error.
+MATCHES = 10_000
+
 
 def literal_starts(text: str, needle: str) -> str:
     """SQL: array<int>, where needle starts in text, from the left and without overlap. An empty needle matches nothing.
@@ -23,10 +30,12 @@ def literal_starts(text: str, needle: str) -> str:
 def literal_matches(texts: DataFrame, needles: DataFrame, key: str) -> DataFrame:
     """(key, target, start, length): matches of every needle (target, needle) in every text (key, text).
 
-    Needles are few and short (a redaction's targets), and are broadcast; a text that doesn't contain a needle is dropped before it is split.
+    Needles (a redaction's targets) are counted and broadcast in blocks of about NEEDLES; a text that doesn't contain a needle is dropped before it is split.
     Needles must not hold the characters \\E.
     """
-    pairs = texts.join(F.broadcast(needles), F.expr("needle <> '' AND contains(text, needle)"))
+    blocks = -(-needles.count() // NEEDLES) or 1
+    parts = [needles.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [needles]
+    pairs = reduce(DataFrame.union, [texts.join(F.broadcast(p), F.expr("needle <> '' AND contains(text, needle)")) for p in parts])
     found = pairs.select(key, "target", F.length("needle").alias("length"), F.explode(F.expr(literal_starts("text", "needle"))).alias("start"))
     return found.select(key, "target", "start", "length")
 
@@ -100,3 +109,19 @@ def closure_2d(boxes: DataFrame, key: str) -> DataFrame:
 
     kind = dict(boxes.dtypes)[key]
     return boxes.select(key, "l", "b", "r", "t").groupBy(key).applyInPandas(sweep, f"{key} {kind}, l double, b double, r double, t double")
+
+
+def capped(matches: DataFrame, key: str, most: int = MATCHES) -> DataFrame:
+    """matches, or an error as it runs if a key has more than most."""
+    n = F.count(F.lit(1)).over(W.partitionBy(key))
+    checked = F.when(n > most, F.raise_error(F.lit("more matches than allowed")).cast("boolean")).otherwise(True)
+    return matches.withColumn("_ok", checked).where("_ok").drop("_ok")
+
+
+def scrub(surfaces: dict[str, DataFrame], pattern: str, by: str) -> DataFrame:
+    """(surface, id, scrubbed, value): values (id, value) of all surfaces with matches of pattern replaced, and how many there were."""
+    parts = [
+        d.select(F.lit(s).alias("surface"), "id", F.regexp_count("value", F.lit(pattern)).alias("scrubbed"), F.regexp_replace("value", pattern, by).alias("value"))
+        for s, d in surfaces.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
