@@ -7,17 +7,21 @@ relational. Files that are broken or encrypted give the objects and pages that c
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import codecs
+from .fonts import Font
 
 _WHITE, _DELIM = b"\0\t\n\f\r ", b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
 _SPACE = re.compile(rb"(?:[\0\t\n\f\r ]|%[^\r\n]*)*")
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj\b")
 DEPTH = 64
+#: Forms within forms that are drawn.
+NESTED = 16
 
 
 class Name(str):
@@ -164,7 +168,10 @@ class File:
         parms = self.value(stream.get("DecodeParms")) or []
         filters = [str(self.value(f)) for f in (filters if isinstance(filters, list) else [filters])]
         parms = [self.value(p) or {} for p in (parms if isinstance(parms, list) else [parms])]
-        return codecs.decode_chain(raw, filters, parms)
+        try:
+            return codecs.decode_chain(raw, filters, parms)
+        except (KeyError, ValueError, IndexError, zlib.error):
+            return b""  # an unknown filter, or bytes that it can't read
 
     def pages(self) -> Iterator[dict]:
         """Leaves of the page tree in order, with what they inherit; of a tree that can't be walked, all pages by number."""
@@ -198,84 +205,138 @@ def _times(m, n):
 _UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def page_letters(file: File, page: dict) -> list[tuple]:
-    """(value, x, y, adv, size, dx, dy, mcid) of the letters that a page shows, in the order of its content."""
-    parts = file.value(page.get("Contents"))
-    bodies = [file.body(x) for x in map(file.value, parts if isinstance(parts, list) else [parts]) if isinstance(x, dict) and "_at" in x]
-    fonts = {k: file.value(v) or {} for k, v in (file.value((file.value(page.get("Resources")) or {}).get("Font")) or {}).items()}
-    out: list[tuple] = []
-    ctm, stack, tm, line = _UNIT, [], _UNIT, _UNIT
-    state = {"font": {}, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
-    marked: list = []
-
-    def show(raw: bytes):
-        nonlocal tm
-        font, size, th = state["font"], state["size"], state["Tz"]
-        widths, first = file.value(font.get("Widths")) or [], file.value(font.get("FirstChar")) or 0
-        for c in raw:
-            w = file.value(widths[c - first]) if 0 <= c - first < len(widths) else 500
-            step = (float(w or 0) / 1000 * size + state["Tc"] + (state["Tw"] if c == 32 else 0)) * th
-            full = _times(_times((size * th, 0, 0, size, 0, state["Ts"]), tm), ctm)
-            scale = (full[0] ** 2 + full[1] ** 2) ** 0.5 or 1.0
-            whole = _times(tm, ctm)
-            adv = step * (whole[0] ** 2 + whole[1] ** 2) ** 0.5
-            out.append((bytes((c,)).decode("cp1252", "replace"), full[4], full[5], adv, (full[2] ** 2 + full[3] ** 2) ** 0.5, full[0] / scale, full[1] / scale, next((m for m in reversed(marked) if m is not None), None)))
-            tm = _times((1, 0, 0, 1, step, 0), tm)
-
-    def move(x, y):
-        nonlocal tm, line
-        tm = line = _times((1, 0, 0, 1, x, y), line)
-
-    data, at, args = b"\n".join(bodies), 0, []
-    while at < len(data):
-        x, at = tokens(data, at)
-        if not isinstance(x, Word):
-            args.append(x)
-            continue
-        try:
-            if x == "q":
-                stack.append((ctm, dict(state)))
-            elif x == "Q" and stack:
-                ctm, state = stack.pop()
-            elif x == "cm":
-                ctm = _times(tuple(map(float, args[-6:])), ctm)
-            elif x == "BT":
-                tm = line = _UNIT
-            elif x == "Tf":
-                state |= {"font": fonts.get(args[-2], {}), "size": float(args[-1])}
-            elif x in ("Tc", "Tw", "TL", "Ts"):
-                state[x] = float(args[-1])
-            elif x == "Tz":
-                state["Tz"] = float(args[-1]) / 100
-            elif x in ("Td", "TD"):
-                if x == "TD":
-                    state["TL"] = -float(args[-1])
-                move(float(args[-2]), float(args[-1]))
-            elif x == "Tm":
-                tm = line = tuple(map(float, args[-6:]))
-            elif x == "T*":
-                move(0, -state["TL"])
-            elif x == "Tj":
-                show(args[-1])
-            elif x in ("'", '"'):
-                if x == '"':
-                    state |= {"Tw": float(args[-3]), "Tc": float(args[-2])}
-                move(0, -state["TL"])
-                show(args[-1])
-            elif x == "TJ":
-                for part in args[-1]:
-                    if isinstance(part, bytes):
-                        show(part)
-                    else:
-                        tm = _times((1, 0, 0, 1, -float(part) / 1000 * state["size"] * state["Tz"], 0), tm)
-            elif x in ("BDC", "BMC"):
-                marked.append(args[-1].get("MCID") if x == "BDC" and isinstance(args[-1], dict) else None)
-            elif x == "EMC" and marked:
-                marked.pop()
-        except (IndexError, TypeError, ValueError):
-            pass  # an operator with wrong operands does nothing
-        args = []
-    return out
+def _matrix(x, file: File) -> tuple:
+    m = [file.value(v) for v in x] if isinstance(x, list) else []
+    return tuple(map(float, m)) if len(m) == 6 and all(isinstance(v, (int, float)) for v in m) else _UNIT
+
+
+_INLINE_END = re.compile(rb"[\0\t\n\f\r ]EI(?=[\0\t\n\f\r ]|$)")
+
+
+class Content:
+    """What a page shows, in the order of its content, with the forms that it calls.
+
+    letters: (value, x, y, adv, size, dx, dy, mcid). placements: (object or null if inline, matrix, width and height in pixels).
+    """
+
+    def __init__(self, file: File, page: dict):
+        self.file, self.letters, self.placements = file, [], []
+        self.fonts: dict[int, Font] = {}
+        self.marked: list = []
+        self.open: set[int] = set()
+        parts = file.value(page.get("Contents"))
+        bodies = [file.body(x) for x in map(file.value, parts if isinstance(parts, list) else [parts]) if isinstance(x, dict) and "_at" in x]
+        self.run(b"\n".join(bodies), file.value(page.get("Resources")) or {}, _UNIT, 0)
+
+    def font(self, resources: dict, name: str) -> Font | None:
+        fonts = self.file.value(resources.get("Font"))
+        found = self.file.value(fonts.get(name)) if isinstance(fonts, dict) else None
+        if not isinstance(found, dict):
+            return None
+        if id(found) not in self.fonts:
+            self.fonts[id(found)] = Font(self.file, found, tokens)
+        return self.fonts[id(found)]
+
+    def call(self, resources: dict, name: str, ctm: tuple, depth: int) -> None:
+        objects = self.file.value(resources.get("XObject"))
+        ref = objects.get(name) if isinstance(objects, dict) else None
+        x = self.file.value(ref)
+        if not isinstance(x, dict) or "_at" not in x:
+            return
+        if x.get("Subtype") == "Image":
+            self.placements.append((ref[0] if isinstance(ref, Ref) else None, ctm, self.file.value(x.get("Width")), self.file.value(x.get("Height"))))
+        elif x.get("Subtype") == "Form" and depth < NESTED and id(x) not in self.open:  # a form within itself isn't drawn
+            own = self.file.value(x.get("Resources"))
+            self.open.add(id(x))
+            self.run(self.file.body(x), own if isinstance(own, dict) else resources, _times(_matrix(self.file.value(x.get("Matrix")), self.file), ctm), depth + 1)
+            self.open.discard(id(x))
+
+    def run(self, data: bytes, resources: dict, ctm: tuple, depth: int) -> None:
+        file, marked, stack, tm, line = self.file, self.marked, [], _UNIT, _UNIT
+        state = {"font": None, "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
+
+        def show(raw: bytes):
+            nonlocal tm
+            size, th = state["size"], state["Tz"]
+            if not isinstance(raw, bytes) or state["font"] is None:
+                return
+            for value, width, space in state["font"].decode(raw):
+                step = (width * size + state["Tc"] + (state["Tw"] if space else 0)) * th
+                full = _times(_times((size * th, 0, 0, size, 0, state["Ts"]), tm), ctm)
+                scale = (full[0] ** 2 + full[1] ** 2) ** 0.5 or 1.0
+                whole = _times(tm, ctm)
+                adv = step * (whole[0] ** 2 + whole[1] ** 2) ** 0.5
+                if all(abs(v) < float("inf") for v in (*full, adv)):  # false for NaN, too: such a letter moves the next and isn't shown
+                    mcid = next((m for m in reversed(marked) if m is not None), None)
+                    self.letters.append((value, full[4], full[5], adv, (full[2] ** 2 + full[3] ** 2) ** 0.5, full[0] / scale, full[1] / scale, mcid))
+                tm = _times((1, 0, 0, 1, step, 0), tm)
+
+        def move(x, y):
+            nonlocal tm, line
+            tm = line = _times((1, 0, 0, 1, x, y), line)
+
+        at, args = 0, []
+        while at < len(data):
+            x, at = tokens(data, at)
+            if not isinstance(x, Word):
+                args.append(x)
+                continue
+            try:
+                if x == "q":
+                    stack.append((ctm, dict(state)))
+                elif x == "Q" and stack:
+                    ctm, state = stack.pop()
+                elif x == "cm":
+                    ctm = _times(tuple(map(float, args[-6:])), ctm)
+                elif x == "BT":
+                    tm = line = _UNIT
+                elif x == "Tf":
+                    state |= {"font": self.font(resources, args[-2]), "size": float(args[-1])}
+                elif x in ("Tc", "Tw", "TL", "Ts"):
+                    state[x] = float(args[-1])
+                elif x == "Tz":
+                    state["Tz"] = float(args[-1]) / 100
+                elif x in ("Td", "TD"):
+                    if x == "TD":
+                        state["TL"] = -float(args[-1])
+                    move(float(args[-2]), float(args[-1]))
+                elif x == "Tm":
+                    tm = line = tuple(map(float, args[-6:]))
+                elif x == "T*":
+                    move(0, -state["TL"])
+                elif x == "Tj":
+                    show(args[-1])
+                elif x in ("'", '"'):
+                    if x == '"':
+                        state |= {"Tw": float(args[-3]), "Tc": float(args[-2])}
+                    move(0, -state["TL"])
+                    show(args[-1])
+                elif x == "TJ":
+                    for part in args[-1]:
+                        if isinstance(part, bytes):
+                            show(part)
+                        else:
+                            tm = _times((1, 0, 0, 1, -float(part) / 1000 * state["size"] * state["Tz"], 0), tm)
+                elif x in ("BDC", "BMC"):
+                    listed = file.value(resources.get("Properties"))
+                    about = args[-1] if x == "BDC" else None
+                    if isinstance(about, Name) and isinstance(listed, dict):
+                        about = file.value(listed.get(about))
+                    marked.append(file.value(about.get("MCID")) if isinstance(about, dict) else None)
+                elif x == "EMC" and marked:
+                    marked.pop()
+                elif x == "Do":
+                    self.call(resources, args[-1], ctm, depth)
+                elif x == "ID":
+                    told = dict(zip(args[::2], args[1::2]))
+                    self.placements.append((None, ctm, told.get("W", told.get("Width")), told.get("H", told.get("Height"))))
+                    end = _INLINE_END.search(data, at)
+                    at = end.end() if end else len(data)
+                elif x == "BI":
+                    pass
+            except (IndexError, TypeError, ValueError, AttributeError):
+                pass  # an operator with wrong operands does nothing
+            args = []
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -283,23 +344,31 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def objects(files: DataFrame) -> DataFrame:
-    """(path, obj, gen, kind, type, packed): a row for each object of each file, the last of repeated numbers."""
+def per_file(files: DataFrame, schema: str, read) -> DataFrame:
+    """The rows that read(File) gives for each file, behind its path. A file's rows leave before the next file is read."""
 
     def run(batches):
         import pandas as pd
 
+        names = [c.split()[0] for c in re.sub(r"<[^>]*>", "", schema).split(", ")]
         for batch in batches:
-            rows = []
             for path, data in zip(batch.path, batch.content):
-                f = File(bytes(data))
-                for n in [*f.found, *f.packed]:
-                    x = f.get(n)
-                    kind = "stream" if isinstance(x, dict) and "_at" in x else "dictionary" if isinstance(x, dict) else "array" if isinstance(x, list) else "other"
-                    rows.append((path, n, f.found.get(n, (0, 0))[1], kind, str(x["Type"]) if isinstance(x, dict) and "Type" in x else None, n in f.packed))
-            yield pd.DataFrame(rows, columns=["path", "obj", "gen", "kind", "type", "packed"])
+                rows = [(path, *r) for r in read(File(bytes(data)))]
+                yield pd.DataFrame(dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}, columns=names, dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def objects(files: DataFrame) -> DataFrame:
+    """(path, obj, gen, kind, type, packed): a row for each object of each file, the last of repeated numbers."""
+
+    def read(f: File):
+        for n in [*f.found, *f.packed]:
+            x = f.get(n)
+            kind = "stream" if isinstance(x, dict) and "_at" in x else "dictionary" if isinstance(x, dict) else "array" if isinstance(x, list) else "other"
+            yield n, f.found.get(n, (0, 0))[1], kind, str(x["Type"]) if isinstance(x, dict) and "Type" in x else None, n in f.packed
 
-    return files.mapInPandas(run, "path string, obj long, gen int, kind string, type string, packed boolean")
+    return per_file(files, "path string, obj long, gen int, kind string, type string, packed boolean", read)
 
 
 LETTERS = "path string, page int, letters array<struct<value: string, x: double, y: double, adv: double, size: double, dx: double, dy: double, mcid: int>>"
@@ -307,15 +376,22 @@ LETTERS = "path string, page int, letters array<struct<value: string, x: double,
 
 def letters(files: DataFrame) -> DataFrame:
     """(path, page, letters): a row for each page of each file, ready for words.page_words."""
+    names = ("value", "x", "y", "adv", "size", "dx", "dy", "mcid")
 
-    def run(batches):
-        import pandas as pd
+    def read(f: File):
+        for i, p in enumerate(f.pages()):
+            yield i, [dict(zip(names, x)) for x in Content(f, p).letters]
 
-        names = ("value", "x", "y", "adv", "size", "dx", "dy", "mcid")
-        for batch in batches:
-            for path, data in zip(batch.path, batch.content):
-                f = File(bytes(data))
-                rows = [(path, i, [dict(zip(names, x)) for x in page_letters(f, p)]) for i, p in enumerate(f.pages())]
-                yield pd.DataFrame(rows, columns=["path", "page", "letters"])
+    return per_file(files, LETTERS, read)
+
+
+def placements(files: DataFrame) -> DataFrame:
+    """(path, page, seq, obj, a, b, c, d, e, f, width, height): every drawing of an image, through forms too; obj is null for an inline one."""
+
+    def read(f: File):
+        whole = lambda x: x if isinstance(x, int) and not isinstance(x, bool) else None
+        for i, p in enumerate(f.pages()):
+            for k, (obj, m, w, h) in enumerate(Content(f, p).placements):
+                yield i, k, obj, *map(float, m), whole(f.value(w)), whole(f.value(h))
 
-    return files.mapInPandas(run, LETTERS)
+    return per_file(files, "path string, page int, seq int, obj long, a double, b double, c double, d double, e double, f double, width int, height int", read)
