@@ -19,6 +19,12 @@ SAMPLE = 4096
 CHUNK = 4096
 #: Estimated cost of a probe row against that of a compared pair.
 ROW_COST = 1500.0
+#: Odd factors that make other hashes of one.
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Bins of a sketch, a power of two; one byte each.
+BINS = 512
+#: Rows of a group whose sketches one task compares; larger groups are split into pairs of chunks.
+SKETCHES = 32768
 
 
 # --- fingerprints -----------------------------------------------------------------------------
@@ -55,33 +61,74 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     return majority(shingle_hashes(text, n))
 
 
-def signature(text: str | None, n: int) -> bytes:
-    """256 majority bits over the n-word shingles: four fingerprints from as many mixings of each hash."""
-    h = shingle_hashes(text, n)
-    out = b""
-    for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
-        x = (h ^ (h >> np.uint64(32))) * np.uint64(k)
-        out += majority(x ^ (x >> np.uint64(29))).to_bytes(8, "little")
-    return out
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles."""
+    x = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(MIXERS[k])
+    return x ^ (x >> np.uint64(29))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte for each of BINS: 0 if no hash falls into the bin, else 1 to 255 from the smallest that does."""
+    out = np.zeros(BINS, np.uint8)
+    if len(hashes):
+        low = np.sort(hashes)
+        at = (low >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        out[at[first]] = low[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
 
 
-def _fingerprinted(docs: DataFrame, n: int, sig_n: int | None = None) -> DataFrame:
-    """(doc_id, fp, sig) of documents; sig is empty without sig_n."""
+def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of the sets behind rows of sketches; 1 for two empty ones.
+
+    Of bins that either set fills, those where the smallest hashes agree. The standard error is at most
+    0.018 at 0.8 (long texts), and less for texts of few shingles.
+    """
+    same = ((x == y) & (x > 0)).sum(axis=1)
+    filled = ((x > 0) | (y > 0)).sum(axis=1)
+    return np.where(filled > 0, same / np.maximum(filled, 1), 1.0)
+
+
+def _fingerprinted(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, fp, sig) of documents: fingerprints of n-word shingles, and no signature."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            fps = np.array([fingerprint(x, n) for x in texts], np.uint64).view(np.int64)
-            sigs = [b"" if sig_n is None else signature(x, sig_n) for x in texts]
+            fps = np.array([fingerprint(x, n) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(fps), pa.array(sigs, pa.binary())], names=["doc_id", "fp", "sig"]
+                [batch.column("doc_id").cast(pa.int64()), pa.array(fps), pa.array([b""] * len(fps), pa.binary())], names=["doc_id", "fp", "sig"]
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, sig binary")
 
 
+def _profiled(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, fp2, sig, sketch) of documents.
+
+    fp and fp2 are fingerprints of two-word shingles, which a changed word disturbs less, by two hashes; sig is two
+    fingerprints, and sketch the sketch, of five-word shingles.
+    """
+
+    def profile(text):
+        pairs, fives = shingle_hashes(text, 2), shingle_hashes(text, 5)
+        sig = b"".join(majority(mixed(fives, k)).to_bytes(8, "little") for k in (0, 1))
+        return majority(pairs), majority(mixed(pairs, 2)), sig, sketch(fives)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            fp, fp2, sig, drawn = zip(*map(profile, batch.column("text").to_pylist())) if batch.num_rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, fp2)], pa.array(sig, pa.binary()), pa.array(drawn, pa.binary())],
+                names=["doc_id", "fp", "fp2", "sig", "sketch"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, sig binary, sketch binary")
+
+
 # --- plan: groups of bits and their thresholds ----------------------------------------------------
 
 
@@ -187,18 +234,25 @@ def links(classes: DataFrame, radius: int, scratch: Scratch, sig_bits: int | Non
                     yield _rows(pa, k, own, batch, False)
 
     rows = scratch.keep(classes.select("fp", "sig", "node").mapInArrow(probe, ROW))
-    sizes = rows.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n"), F.max("probe").alias("probed"))
-    large = scratch.keep(sizes.where(F.col("n") > chunk).select("block", "value", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
+    cut = _chunked(rows, ["block", "value"], F.xxhash64("fp", "probe", F.lit(7)), chunk, scratch)
+    return cut.mapInArrow(_by_group(["block", "value", "i", "j"], _near(radius, sig_bits)), "a long, b long").distinct()
+
+
+def _chunked(rows: DataFrame, keys: list[str], spread, chunk: int, scratch: Scratch) -> DataFrame:
+    """rows with i and j, sorted by keys, i, j within partitions that hold whole (keys, i, j) groups.
+
+    A group of more than chunk rows is cut into chunks by the hash spread, and each chunk goes to its pairs with all.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = scratch.keep(sizes.where(F.col("n") > chunk).select(*keys, F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
     if large.isEmpty():
         cut = rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
     else:
-        spread = rows.join(large, ["block", "value"], "left").withColumn("_c", F.coalesce("chunks", F.lit(1)))
-        spread = spread.withColumn("_i", F.pmod(F.xxhash64("fp", "probe", F.lit(7)), F.col("_c")).cast("int"))
+        parted = rows.join(large, keys, "left").withColumn("_c", F.coalesce("chunks", F.lit(1)))
+        parted = parted.withColumn("_i", F.pmod(spread, F.col("_c")).cast("int"))
         to = F.explode(F.expr("transform(sequence(0, _c - 1), x -> struct(least(_i, x) AS i, greatest(_i, x) AS j))"))
-        cut = spread.select(*rows.columns, to.alias("_p")).select(*rows.columns, "_p.i", "_p.j")
-    keys = ["block", "value", "i", "j"]
-    cut = cut.repartition(*keys).sortWithinPartitions(*keys)
-    return cut.mapInArrow(_compare(radius, sig_bits), "a long, b long").distinct()
+        cut = parted.select(*rows.columns, to.alias("_p")).select(*rows.columns, "_p.i", "_p.j")
+    return cut.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
 
 def _rows(pa, k, value, batch, probe):
@@ -209,7 +263,9 @@ def _rows(pa, k, value, batch, probe):
     )
 
 
-def _compare(radius: int, sig_bits: int | None):
+def _by_group(keys: list[str], prepare):
+    """An Arrow function over rows sorted by keys: edges (a, b) of each group, from prepare(table)(first row, end)."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -217,7 +273,7 @@ def _compare(radius: int, sig_bits: int | None):
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
-            k = _last_start(held)
+            k = int(_starts(held, keys)[-1]) if held.num_rows else 0
             if k:  # all but the last group, which may go on
                 yield from out(held.slice(0, k))
                 held = held.slice(k).combine_chunks()
@@ -227,19 +283,33 @@ def _compare(radius: int, sig_bits: int | None):
     def out(t):
         import pyarrow as pa
 
-        a, b = buckets(t)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def buckets(t):
-        fps = t.column("fp").to_numpy().view(np.uint64)
-        node = t.column("node").to_numpy()
-        starts = np.append(_starts(t), t.num_rows)
-        found = [np.zeros((2, 0), np.int64)]
+        edges, found = prepare(t), [np.zeros((2, 0), np.int64)]
+        starts = np.append(_starts(t, keys), t.num_rows)
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if e - s < 2 or (node[s:e] == node[s]).all():
-                continue
+            if e - s > 1 and (pair := edges(s, e)) is not None:
+                found.append(pair)
+        a, b = np.concatenate(found, axis=1)
+        if (apart := a != b).any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[apart]), pa.array(b[apart])], names=["a", "b"])
+
+    return run
+
+
+def _starts(t, keys: list[str]) -> np.ndarray:
+    columns = np.stack([t.column(c).to_numpy().astype(np.int64) for c in keys])
+    return np.flatnonzero(np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)))
+
+
+def _near(radius: int, sig_bits: int | None):
+    """Edges of a bucket's forest: fingerprints within radius bits and, with sig_bits, signatures within so many."""
+
+    def prepare(t):
+        fps, node = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()
+
+        def edges(s, e):
             x, v = fps[s:e], node[s:e]
+            if (v == v[0]).all():
+                return None
             sig = None
             if sig_bits is not None:
                 sig = np.frombuffer(b"".join(t.column("sig").slice(s, e - s).to_pylist()), np.uint64).reshape(e - s, -1)
@@ -257,34 +327,50 @@ def _compare(radius: int, sig_bits: int | None):
                     p, q = p[close], q[close]
                 forest(labels, p, q)
             other = labels != np.arange(e - s)
-            found.append(np.stack([v[other], v[labels[other]]]))
-        a, b = np.concatenate(found, axis=1)
-        return a[a != b], b[a != b]
+            return np.stack([v[other], v[labels[other]]])
 
-    return run
+        return edges
 
+    return prepare
 
-def _starts(t) -> np.ndarray:
-    keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "i", "j")])
-    return np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
 
+def _similar(least: float):
+    """Edges of a group's forest: sketches of an estimated similarity of least or more. Pairs joined already aren't compared."""
 
-def _last_start(t) -> int:
-    return int(_starts(t)[-1])
+    def prepare(t):
+        node, drawn = t.column("node").to_numpy(), t.column("sketch")
 
+        def edges(s, e):
+            n, v = e - s, node[s:e]
+            x = np.frombuffer(b"".join(drawn.slice(s, n).to_pylist()), np.uint8).reshape(n, BINS)
+            labels, step = np.arange(n), max(1, min(256, (1 << 20) // n))
+            for r in range(0, n, step):
+                p, q = np.nonzero(labels[r : r + step, None] != labels[None, r:])
+                p, q = p + r, q + r
+                p, q = p[p < q], q[p < q]
+                for i in range(0, len(p), 16384):
+                    a, b = p[i : i + 16384], q[i : i + 16384]
+                    apart = labels[a] != labels[b]
+                    a, b = a[apart], b[apart]
+                    close = similarity(x[a], x[b]) >= least
+                    forest(labels, a[close], b[close])
+            other = labels != np.arange(n)
+            return np.stack([v[other], v[labels[other]]])
+
+        return edges
+
+    return prepare
 
-def groups(rows: DataFrame, radius: int, scratch: Scratch, sig_bits: int | None = None) -> DataFrame:
-    """(fp, sig, component): every fingerprint (and signature) of rows (doc_id, fp, sig) with the smallest doc_id reachable.
+
+def groups(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """(fp, component): every fingerprint of rows (doc_id, fp, sig) with the smallest doc_id reachable.
 
     Equal rows meet first, as one class under their smallest id. Rows without an id are not members of
     a class; a fingerprint that they alone have has a null component.
     """
     classes = scratch.keep(rows.groupBy("fp", "sig").agg(F.min("doc_id").alias("node")))
-    edges = links(classes.where("node IS NOT NULL"), radius, scratch, sig_bits)
-    joined = components(edges, scratch)
-    return scratch.keep(
-        classes.join(joined, "node", "left").select("fp", "sig", F.coalesce("component", "node").alias("component"))
-    )
+    joined = components(links(classes.where("node IS NOT NULL"), radius, scratch), scratch)
+    return scratch.keep(classes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -299,7 +385,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(_fingerprinted(docs, 3))
-    found = groups(rows, radius, scratch).select("fp", F.col("component").alias("component_id"))
+    found = groups(rows, radius, scratch).withColumnRenamed("component", "component_id")
     return rows.join(found, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -307,26 +393,34 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     )
 
 
-#: Near copies among documents: five-word shingles of an estimated Jaccard similarity of 0.8 or more. The cosine of
-#: two such sets of equal size is 2 * 0.8 / 1.8, and so many of 256 signature bits are expected to differ.
+#: Near copies among documents: five-word shingles of a Jaccard similarity of 0.8 or more.
 SIMILARITY = 0.8
-SIG_BITS = round(256 * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
-#: Bits of the probed fingerprint (of two-word shingles, which a changed word disturbs less) that may differ.
+#: Bits of a probed fingerprint of two-word shingles that may differ.
 PROBE_RADIUS = 8
+#: Bits of the 128 of a candidate's signature that may differ. The cosine of two sets of equal size and similarity 0.8 is
+#: 1.6 / 1.8, so that 19.4 bits differ, with a deviation of 4.1; of unrelated texts 64.
+SIG_BITS = 32
 
 
-def keep_one(docs: DataFrame, radius: int = PROBE_RADIUS, sig_bits: int = SIG_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = PROBE_RADIUS, sig_bits: int = SIG_BITS, least: float = SIMILARITY) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Documents link if their fingerprints of two-word shingles differ in at most radius bits (the probe) and
-    their 256-bit signatures of five-word shingles in at most sig_bits (the check, an estimate of
-    similarity 0.8). Of rows with the smallest id of a group one stays, as all are one document.
-    Rows without an id stay. Rows with a text of no word are one group.
+    Candidates differ in at most radius bits of either of two fingerprints of two-word shingles (the probes), and
+    in at most sig_bits of a 128-bit signature of five-word shingles; what they reach is a loose group. Within each,
+    documents link if the sketches of their sets of five-word shingles give a similarity of least or more (the
+    verification), and a group is what links reach. Of rows with the smallest id of a group one stays, as all are
+    one document. Rows without an id stay. Rows with a text of no word are one group.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(_fingerprinted(docs, 2, 5))
-    found = groups(rows, radius, scratch, sig_bits)
-    kept = rows.join(found, ["fp", "sig"]).where("doc_id = component").select(F.col("doc_id").alias("_id")).distinct()
+    rows = scratch.keep(_profiled(docs).where("doc_id IS NOT NULL"))
+    classes = scratch.keep(rows.groupBy("fp", "fp2", "sig").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch")))
+    edges = [links(classes.select(F.col(c).alias("fp"), "sig", "node"), radius, scratch, sig_bits) for c in ("fp", "fp2")]
+    loose = components(edges[0].union(edges[1]), scratch)
+    members = classes.select("node", "sketch").join(loose, "node")
+    cut = _chunked(scratch.keep(members), ["component"], F.xxhash64("node"), SKETCHES, scratch)
+    near = cut.mapInArrow(_by_group(["component", "i", "j"], _similar(least)), "a long, b long")
+    dropped = components(near, scratch).where("node <> component").select("node")
+    kept = classes.select("node").join(dropped, "node", "left_anti").select(F.col("node").alias("_id"))
     named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
