@@ -263,3 +263,40 @@ def test_kept_text_of_a_copy_is_empty(spark):
     rows = [(1, PASSAGE), (2, PASSAGE), (3, "two words"), (4, "two words")]
     got = {r.doc_id: hashlib.sha256(r.kept_text.encode()).hexdigest() for r in passages.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[2] == hashlib.sha256(b"").hexdigest() and got[3] == got[4] == hashlib.sha256(b"two words").hexdigest()
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(5)
+    for n, share in ((40, 0.8), (400, 0.8), (400, 0.5), (20000, 0.8)):
+        both = rng.integers(0, 2**64, round(n * share), dtype=np.uint64)
+        own = [rng.integers(0, 2**64, (n - len(both)) // 2, dtype=np.uint64) for _ in range(2)]
+        x, y = (np.frombuffer(simhash.sketch(np.concatenate([both, o, both[:3]])), np.uint8)[None] for o in own)
+        assert abs(simhash.similarity(x, y)[0] - len(both) / (len(both) + sum(map(len, own)))) < 0.06, (n, share)
+    none = np.frombuffer(simhash.sketch(np.zeros(0, np.uint64)), np.uint8)[None]
+    assert simhash.similarity(none, none)[0] == 1.0 and simhash.similarity(none, x)[0] == 0.0
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = []
+    for base in range(12):
+        words = [f"w{base}x{i}" for i in rng.integers(0, 10**6, 120)]
+        texts.append(" ".join(words))
+        for changed in (1, 2, 12):
+            other = list(words)
+            for at in rng.choice(np.arange(5, 115), changed, replace=False):
+                other[at] = f"new{at}"
+            texts.append(" ".join(other))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    labels = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((labels[i], labels[j]))
+                labels = [low if x == high else x for x in labels]
+    want = sorted(set(labels))
+    assert 12 <= len(want) < len(texts)
+    for chunk in (32768, 2):
+        monkeypatch.setattr(simhash, "SKETCHES", chunk)
+        assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want, chunk
