@@ -164,6 +164,18 @@ def png_apply(data: bytes, columns: int, kind: int) -> bytes:
     return bytes(out)
 
 
+def tiff_undo(data: bytes, columns: int, colors: int = 1, bits: int = 8) -> bytes:
+    """Rows of differences from the sample to the left, of 8 or 16 bits; other depths are left as they are."""
+    import numpy as np
+
+    size = columns * colors * bits // 8
+    if bits not in (8, 16) or not size:
+        return data
+    whole = len(data) // size * size
+    rows = np.frombuffer(data[:whole], "u1" if bits == 8 else ">u2").reshape(-1, columns, colors)
+    return np.cumsum(rows, axis=1, dtype=rows.dtype.newbyteorder("=")).astype(rows.dtype).tobytes() + data[whole:]
+
+
 #: Filters by name and short name, in the order (decode, encode).
 FILTERS = {
     "ASCIIHexDecode": (hex_decode, hex_encode),
@@ -182,10 +194,16 @@ def register(name: str, decode, encode=None) -> None:
 
 def decode_chain(data: bytes, filters: list[str], parms: list[dict] | None = None) -> bytes:
     for i, f in enumerate(filters):
-        data = FILTERS[SHORT.get(f, f)][0](data)
         own = (parms or [])[i] if i < len(parms or []) else None
-        if own and int(own.get("Predictor", 1)) >= 10:
-            data = png_undo(data, int(own.get("Columns", 1)), int(own.get("Colors", 1)), int(own.get("BitsPerComponent", 8)))
+        name = SHORT.get(f, f)
+        if name == "LZWDecode" and own and "EarlyChange" in own:
+            data = lzw_decode(data, int(own["EarlyChange"]))
+        else:
+            data = FILTERS[name][0](data)
+        predictor = int(own.get("Predictor", 1)) if own else 1
+        if predictor > 1:
+            undo = png_undo if predictor >= 10 else tiff_undo
+            data = undo(data, int(own.get("Columns", 1)), int(own.get("Colors", 1)), int(own.get("BitsPerComponent", 8)))
     return data
 
 

@@ -35,3 +35,12 @@ def test_pixels():
     palette = struct.pack(">I", 6) + b"PLTE" + b"abcxyz" + b"\0\0\0\0"
     assert images.png_pixels(png(2, 2, 3, b"\0\1\1\0", palette)) == b"abcxyzxyzabc"
     assert images.png_pixels(JPEG) is None and images.png_pixels(b"") is None
+
+
+def test_predictors_and_parameters_of_filters():
+    chain = lambda raw, name, **own: codecs.decode_chain(raw, [name], [own])
+    assert chain(zlib.compress(b"\x01\x02\xff\x05\x01\x01"), "FlateDecode", Predictor=2, Columns=3) == b"\x01\x03\x02\x05\x06\x07"
+    assert chain(zlib.compress(bytes((1, 10, 2, 20))), "Fl", Predictor=2, Columns=2, Colors=2) == bytes((1, 10, 3, 30))
+    assert chain(zlib.compress(bytes((0, 255, 0, 2))), "Fl", Predictor=2, Columns=2, BitsPerComponent=16) == bytes((0, 255, 1, 1))
+    data = bytes(range(256)) * 9
+    assert chain(codecs.lzw_encode(data, 0), "LZW", EarlyChange=0) == data and chain(codecs.lzw_encode(data), "LZWDecode") == data
