@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from math import comb
 
@@ -78,6 +79,11 @@ def sketch(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def set_digest(hashes: np.ndarray) -> bytes:
+    """16 bytes that tell sets of hashes apart; repeats and order don't count."""
+    return hashlib.blake2b(np.unique(hashes).tobytes(), digest_size=16).digest()
+
+
 def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of the sets behind rows of sketches; 1 for two empty ones.
 
@@ -105,28 +111,28 @@ def _fingerprinted(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _profiled(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, fp2, sig, sketch) of documents.
+    """(doc_id, fp, fp2, sig, sketch, digest) of documents.
 
     fp and fp2 are fingerprints of two-word shingles, which a changed word disturbs less, by two hashes; sig is two
-    fingerprints, and sketch the sketch, of five-word shingles.
+    fingerprints, sketch the sketch, and digest the digest of the set, of five-word shingles.
     """
 
     def profile(text):
         pairs, fives = shingle_hashes(text, 2), shingle_hashes(text, 5)
         sig = b"".join(majority(mixed(fives, k)).to_bytes(8, "little") for k in (0, 1))
-        return majority(pairs), majority(mixed(pairs, 2)), sig, sketch(fives)
+        return majority(pairs), majority(mixed(pairs, 2)), sig, sketch(fives), set_digest(fives)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp, fp2, sig, drawn = zip(*map(profile, batch.column("text").to_pylist())) if batch.num_rows else ((), (), (), ())
+            fp, fp2, sig, drawn, digest = zip(*map(profile, batch.column("text").to_pylist())) if batch.num_rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, fp2)], pa.array(sig, pa.binary()), pa.array(drawn, pa.binary())],
-                names=["doc_id", "fp", "fp2", "sig", "sketch"],
+                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, fp2)], pa.array(sig, pa.binary()), *[pa.array(x, pa.binary()) for x in (drawn, digest)]],
+                names=["doc_id", "fp", "fp2", "sig", "sketch", "digest"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, sig binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, sig binary, sketch binary, digest binary")
 
 
 # --- plan: groups of bits and their thresholds ----------------------------------------------------
@@ -405,6 +411,7 @@ SIG_BITS = 32
 def keep_one(docs: DataFrame, radius: int = PROBE_RADIUS, sig_bits: int = SIG_BITS, least: float = SIMILARITY) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns.
 
+    Documents of equal sets of five-word shingles are one class and enter once, under their smallest id.
     Candidates differ in at most radius bits of either of two fingerprints of two-word shingles (the probes), and
     in at most sig_bits of a 128-bit signature of five-word shingles; what they reach is a loose group. Within each,
     documents link if the sketches of their sets of five-word shingles give a similarity of least or more (the
@@ -413,7 +420,7 @@ def keep_one(docs: DataFrame, radius: int = PROBE_RADIUS, sig_bits: int = SIG_BI
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(_profiled(docs).where("doc_id IS NOT NULL"))
-    classes = scratch.keep(rows.groupBy("fp", "fp2", "sig").agg(F.min("doc_id").alias("node"), F.min_by("sketch", "doc_id").alias("sketch")))
+    classes = scratch.keep(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("fp", "fp2", "sig", "sketch")]))
     edges = [links(classes.select(F.col(c).alias("fp"), "sig", "node"), radius, scratch, sig_bits) for c in ("fp", "fp2")]
     loose = components(edges[0].union(edges[1]), scratch)
     members = classes.select("node", "sketch").join(loose, "node")

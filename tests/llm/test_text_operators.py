@@ -300,3 +300,17 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     for chunk in (32768, 2):
         monkeypatch.setattr(simhash, "SKETCHES", chunk)
         assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want, chunk
+
+
+def test_texts_that_share_what_is_repeated_most_stay(spark):
+    def text(k, n):
+        return " ".join(f"d{k}n{i * i % 977}x{i}" for i in range(n))
+
+    line = "all rights reserved by the named owner "
+    texts = [f"{text(100 * i + k, 80)} {tail}" for i, tail in enumerate((line * 40, line * 100, "| " * 120)) for k in range(20)]
+    texts += [texts[3], texts[3] + " " + line]
+    frame = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    want = [i for i, x in enumerate(sets) if not any(len(x & y) >= 0.8 * len(x | y) for y in sets[:i])]
+    assert len(want) == 60
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want
