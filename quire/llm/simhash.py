@@ -24,6 +24,12 @@ ROW_COST = 1500.0
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Bins of a sketch, a power of two; one byte each.
 BINS = 512
+#: Bands of least hashes and rows of a band. Sets of similarity s share a band but for a chance of (1 - s**ROWS)**BANDS: 5e-6 at 0.8.
+BANDS, ROWS = 40, 6
+#: Factors that put shingles in order, one an order.
+ORDERS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Smaller sets that are not equal are less alike than 0.8.
+LEAST_SET = 4
 #: Rows of a group whose sketches one task compares; larger groups are split into pairs of chunks.
 SKETCHES = 32768
 
@@ -110,29 +116,56 @@ def _fingerprinted(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, sig binary")
 
 
+def lows(hashes: np.ndarray) -> bytes:
+    """Eight bytes a band, of BANDS: a hash of the least hashes of a set of shingles by ROWS orders; none for sets of under LEAST_SET.
+
+    By each order the least hashes of two sets are equal with their similarity as the chance.
+    """
+    if len(hashes) < LEAST_SET:
+        return b""
+    low = np.full(len(ORDERS), 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        x = hashes[i : i + 1024, None] * ORDERS
+        low = np.minimum(low, (x ^ (x >> np.uint64(31))).min(axis=0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in low.reshape(ROWS, BANDS):
+        out = (out ^ row) * np.uint64(MIXERS[0])
+        out ^= out >> np.uint64(29)
+    return out.tobytes()
+
+
 def _profiled(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, fp2, sig, sketch, digest) of documents.
+    """(doc_id, digest, sig, bands) of documents, all of the set of their five-word shingles.
 
-    fp and fp2 are fingerprints of two-word shingles, which a changed word disturbs less, by two hashes; sig is two
-    fingerprints, sketch the sketch, and digest the digest of the set, of five-word shingles.
+    digest tells sets apart, sig is two fingerprints by other hashes, and bands the hashes of lows().
     """
 
     def profile(text):
-        pairs, fives = shingle_hashes(text, 2), shingle_hashes(text, 5)
-        sig = b"".join(majority(mixed(fives, k)).to_bytes(8, "little") for k in (0, 1))
-        return majority(pairs), majority(mixed(pairs, 2)), sig, sketch(fives), set_digest(fives)
+        fives = np.unique(shingle_hashes(text, 5))
+        return set_digest(fives), b"".join(majority(mixed(fives, k)).to_bytes(8, "little") for k in (0, 1)), lows(fives)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp, fp2, sig, drawn, digest = zip(*map(profile, batch.column("text").to_pylist())) if batch.num_rows else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, fp2)], pa.array(sig, pa.binary()), *[pa.array(x, pa.binary()) for x in (drawn, digest)]],
-                names=["doc_id", "fp", "fp2", "sig", "sketch", "digest"],
-            )
+            found = zip(*map(profile, batch.column("text").to_pylist())) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.binary()) for x in found]], names=["doc_id", "digest", "sig", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, sig binary, bands binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, fp2 long, sig binary, sketch binary, digest binary")
+def _drawn(docs: DataFrame) -> DataFrame:
+    """(node, digest, sketch) of documents, of the set of their five-word shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, 5)) for x in batch.column("text").to_pylist()]
+            made = [pa.array([f(x) for x in sets], pa.binary()) for f in (set_digest, sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *made], names=["node", "digest", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, digest binary, sketch binary")
 
 
 # --- plan: groups of bits and their thresholds ----------------------------------------------------
@@ -340,6 +373,52 @@ def _near(radius: int, sig_bits: int | None):
     return prepare
 
 
+def candidates(classes: DataFrame, sig_bits: int, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that join the same nodes as all pairs of classes (node, sig, bands) that share a band and whose sigs differ in at most sig_bits."""
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [np.frombuffer(x, np.int64) for x in batch.column("bands").to_pylist()]
+            at = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(kept or [at])), batch.column("sig").take(pa.array(at)), batch.column("node").take(pa.array(at))], names=["value", "sig", "node"]
+            )
+
+    rows = classes.select("node", "sig", "bands").mapInArrow(deal, "value long, sig binary, node long")
+    cut = _chunked(rows, ["value"], F.xxhash64("node", F.lit(7)), chunk, scratch)
+    return cut.mapInArrow(_by_group(["value", "i", "j"], _signed(sig_bits)), "a long, b long").distinct()
+
+
+def _signed(sig_bits: int):
+    """Edges of a bucket's forest: signatures within sig_bits."""
+
+    def prepare(t):
+        node, drawn = t.column("node").to_numpy(), t.column("sig")
+
+        def edges(s, e):
+            n, v = e - s, node[s:e]
+            sig = np.frombuffer(b"".join(drawn.slice(s, n).to_pylist()), np.uint64).reshape(n, -1)
+            labels = np.arange(n)
+            for r in range(0, n, 256):
+                p, q = np.nonzero(labels[r : r + 256, None] != labels[None, r:])
+                p, q = p + r, q + r
+                p, q = p[p < q], q[p < q]
+                for i in range(0, len(p), 65536):
+                    a, b = p[i : i + 65536], q[i : i + 65536]
+                    apart = labels[a] != labels[b]
+                    a, b = a[apart], b[apart]
+                    close = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1) <= sig_bits
+                    forest(labels, a[close], b[close])
+            other = labels != np.arange(n)
+            return np.stack([v[other], v[labels[other]]])
+
+        return edges
+
+    return prepare
+
+
 def _similar(least: float):
     """Edges of a group's forest: sketches of an estimated similarity of least or more. Pairs joined already aren't compared."""
 
@@ -401,30 +480,28 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 #: Near copies among documents: five-word shingles of a Jaccard similarity of 0.8 or more.
 SIMILARITY = 0.8
-#: Bits of a probed fingerprint of two-word shingles that may differ.
-PROBE_RADIUS = 8
-#: Bits of the 128 of a candidate's signature that may differ. The cosine of two sets of equal size and similarity 0.8 is
-#: 1.6 / 1.8, so that 19.4 bits differ, with a deviation of 4.1; of unrelated texts 64.
-SIG_BITS = 32
+#: Bits of the 128 of a candidate's signature that may differ. Of sets of similarity 0.8 about 19 do, with a deviation of 4.1 (24 and 4.4
+#: for four shingles of five); of unrelated texts 64, with one of 5.7.
+SIG_BITS = 44
 
 
-def keep_one(docs: DataFrame, radius: int = PROBE_RADIUS, sig_bits: int = SIG_BITS, least: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, sig_bits: int = SIG_BITS, least: float = SIMILARITY) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns.
 
-    Documents of equal sets of five-word shingles are one class and enter once, under their smallest id.
-    Candidates differ in at most radius bits of either of two fingerprints of two-word shingles (the probes), and
-    in at most sig_bits of a 128-bit signature of five-word shingles; what they reach is a loose group. Within each,
-    documents link if the sketches of their sets of five-word shingles give a similarity of least or more (the
+    Documents of equal sets of five-word shingles are one class and enter once, under their smallest id. All else
+    is computed from the sets too, so that neither repeats nor the place of a difference count. Candidates share
+    one of BANDS bands of least hashes and differ in at most sig_bits of a 128-bit signature; what they reach is a
+    loose group. Within each, documents link if the sketches of their sets give a similarity of least or more (the
     verification), and a group is what links reach. Of rows with the smallest id of a group one stays, as all are
     one document. Rows without an id stay. Rows with a text of no word are one group.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(_profiled(docs).where("doc_id IS NOT NULL"))
-    classes = scratch.keep(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.min_by(c, "doc_id").alias(c) for c in ("fp", "fp2", "sig", "sketch")]))
-    edges = [links(classes.select(F.col(c).alias("fp"), "sig", "node"), radius, scratch, sig_bits) for c in ("fp", "fp2")]
-    loose = components(edges[0].union(edges[1]), scratch)
-    members = classes.select("node", "sketch").join(loose, "node")
-    cut = _chunked(scratch.keep(members), ["component"], F.xxhash64("node"), SKETCHES, scratch)
+    classes = scratch.keep(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    loose = scratch.keep(components(candidates(classes, sig_bits, scratch), scratch))
+    of = loose.select(F.col("node").alias("doc_id"))
+    drawn = _drawn(docs.join(of, "doc_id", "left_semi")).dropDuplicates(["node", "digest"]).join(classes.select("node", "digest"), ["node", "digest"], "left_semi")
+    cut = _chunked(scratch.keep(drawn.join(loose, "node")), ["component"], F.xxhash64("node"), SKETCHES, scratch)
     near = cut.mapInArrow(_by_group(["component", "i", "j"], _similar(least)), "a long, b long")
     dropped = components(near, scratch).where("node <> component").select("node")
     kept = classes.select("node").join(dropped, "node", "left_anti").select(F.col("node").alias("_id"))

@@ -314,3 +314,28 @@ def test_texts_that_share_what_is_repeated_most_stay(spark):
     want = [i for i, x in enumerate(sets) if not any(len(x & y) >= 0.8 * len(x | y) for y in sets[:i])]
     assert len(want) == 60
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == want
+
+
+def test_blocks_cut_off_put_on_or_repeated_are_near_copies(spark):
+    def words(k, n):
+        return [f"e{k}n{i * i % 977}x{i}" for i in range(n)]
+
+    docs = []
+    for k in range(40):
+        own, n = words(k, 300), 300
+        other = [own[: n * 82 // 100], own + words(100 + k, n * 22 // 100), own + own[n // 2 :] * 5, words(200 + k, n * 22 // 100) + own][k % 4]
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in docs}
+    assert all(len(sets[i] & sets[i + 1]) >= 0.81 * len(sets[i] | sets[i + 1]) for i in range(0, 80, 2))
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA), least=0.7).collect())
+    assert got == list(range(0, 80, 2))
+
+
+def test_bands_find_sets_of_the_least_similarity():
+    rng = np.random.default_rng(8)
+    for n in (4, 16, 400, 4000):
+        for _ in range(50):
+            whole = rng.integers(0, 2**64, n * 5 // 4, dtype=np.uint64)
+            x, y = (np.frombuffer(simhash.lows(s), np.int64) for s in (whole, whole[:n]))
+            assert len(x) == len(y) == simhash.BANDS and (x == y).any(), n
+    assert simhash.lows(rng.integers(0, 2**64, 3, dtype=np.uint64)) == b""
