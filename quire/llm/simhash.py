@@ -30,8 +30,10 @@ BANDS, ROWS = 40, 6
 ORDERS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Smaller sets that are not equal are less alike than 0.8.
 LEAST_SET = 4
-#: Rows of a group whose sketches one task compares; larger groups are split into pairs of chunks.
-SKETCHES = 32768
+#: Rows, and bytes of sets, of a group that one task compares; larger groups are split into pairs of chunks.
+SKETCHES, SET_BYTES = 32768, 1 << 25
+#: Pairs whose estimated similarity is lower by this, over five standard errors, are not compared by their sets.
+DOUBT = 0.1
 
 
 # --- fingerprints -----------------------------------------------------------------------------
@@ -101,6 +103,14 @@ def similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(filled > 0, same / np.maximum(filled, 1), 1.0)
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes, each in order; 1 for two empty ones."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return both / (len(x) + len(y) - both)
+
+
 def _fingerprinted(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, fp, sig) of documents: fingerprints of n-word shingles, and no signature."""
 
@@ -155,17 +165,17 @@ def _profiled(docs: DataFrame) -> DataFrame:
 
 
 def _drawn(docs: DataFrame) -> DataFrame:
-    """(node, digest, sketch) of documents, of the set of their five-word shingles."""
+    """(node, digest, sketch, hashes) of documents, of the set of their five-word shingles; hashes are the set, in order."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             sets = [np.unique(shingle_hashes(x, 5)) for x in batch.column("text").to_pylist()]
-            made = [pa.array([f(x) for x in sets], pa.binary()) for f in (set_digest, sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *made], names=["node", "digest", "sketch"])
+            made = [pa.array([f(x) for x in sets], pa.binary()) for f in (set_digest, sketch, np.ndarray.tobytes)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *made], names=["node", "digest", "sketch", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, digest binary, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, digest binary, sketch binary, hashes binary")
 
 
 # --- plan: groups of bits and their thresholds ----------------------------------------------------
@@ -277,13 +287,14 @@ def links(classes: DataFrame, radius: int, scratch: Scratch, sig_bits: int | Non
     return cut.mapInArrow(_by_group(["block", "value", "i", "j"], _near(radius, sig_bits)), "a long, b long").distinct()
 
 
-def _chunked(rows: DataFrame, keys: list[str], spread, chunk: int, scratch: Scratch) -> DataFrame:
+def _chunked(rows: DataFrame, keys: list[str], spread, chunk: int, scratch: Scratch, held: str = "0", most: int = 1) -> DataFrame:
     """rows with i and j, sorted by keys, i, j within partitions that hold whole (keys, i, j) groups.
 
-    A group of more than chunk rows is cut into chunks by the hash spread, and each chunk goes to its pairs with all.
+    A group of more than chunk rows, or with a sum of held of more than most, is cut into chunks by the hash spread, and
+    each chunk goes to its pairs with all.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    large = scratch.keep(sizes.where(F.col("n") > chunk).select(*keys, F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
+    sizes = rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum(F.expr(held)) / most)).cast("int").alias("chunks"))
+    large = scratch.keep(sizes.where("chunks > 1"))
     if large.isEmpty():
         cut = rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
     else:
@@ -420,25 +431,23 @@ def _signed(sig_bits: int):
 
 
 def _similar(least: float):
-    """Edges of a group's forest: sketches of an estimated similarity of least or more. Pairs joined already aren't compared."""
+    """Edges of a group's forest: sets of a similarity of least or more, compared where sketches don't rule it out. Pairs joined already aren't compared."""
 
     def prepare(t):
-        node, drawn = t.column("node").to_numpy(), t.column("sketch")
+        node, drawn, kept = t.column("node").to_numpy(), t.column("sketch"), t.column("hashes")
 
         def edges(s, e):
             n, v = e - s, node[s:e]
             x = np.frombuffer(b"".join(drawn.slice(s, n).to_pylist()), np.uint8).reshape(n, BINS)
-            labels, step = np.arange(n), max(1, min(256, (1 << 20) // n))
-            for r in range(0, n, step):
-                p, q = np.nonzero(labels[r : r + step, None] != labels[None, r:])
-                p, q = p + r, q + r
-                p, q = p[p < q], q[p < q]
-                for i in range(0, len(p), 16384):
-                    a, b = p[i : i + 16384], q[i : i + 16384]
-                    apart = labels[a] != labels[b]
-                    a, b = a[apart], b[apart]
-                    close = similarity(x[a], x[b]) >= least
-                    forest(labels, a[close], b[close])
+            sets = [np.frombuffer(b, np.uint64) for b in kept.slice(s, n).to_pylist()]
+            labels = np.arange(n)
+            for r in range(n):
+                q = np.flatnonzero(labels[r + 1 :] != labels[r]) + r + 1
+                for i in range(0, len(q), 1024):
+                    part = q[i : i + 1024]
+                    for k in part[similarity(x[r][None], x[part]) >= least - DOUBT].tolist():
+                        if labels[k] != labels[r] and jaccard(sets[r], sets[k]) >= least:
+                            forest(labels, np.array([r]), np.array([k]))
             other = labels != np.arange(n)
             return np.stack([v[other], v[labels[other]]])
 
@@ -491,8 +500,8 @@ def keep_one(docs: DataFrame, sig_bits: int = SIG_BITS, least: float = SIMILARIT
     Documents of equal sets of five-word shingles are one class and enter once, under their smallest id. All else
     is computed from the sets too, so that neither repeats nor the place of a difference count. Candidates share
     one of BANDS bands of least hashes and differ in at most sig_bits of a 128-bit signature; what they reach is a
-    loose group. Within each, documents link if the sketches of their sets give a similarity of least or more (the
-    verification), and a group is what links reach. Of rows with the smallest id of a group one stays, as all are
+    loose group. Within each, documents link if their sets have a similarity of least or more (the verification; only
+    pairs whose sketches estimate less by over DOUBT are ruled out), and a group is what links reach. Of rows with the smallest id of a group one stays, as all are
     one document. Rows without an id stay. Rows with a text of no word are one group.
     """
     scratch = Scratch(docs.sparkSession)
@@ -501,7 +510,7 @@ def keep_one(docs: DataFrame, sig_bits: int = SIG_BITS, least: float = SIMILARIT
     loose = scratch.keep(components(candidates(classes, sig_bits, scratch), scratch))
     of = loose.select(F.col("node").alias("doc_id"))
     drawn = _drawn(docs.join(of, "doc_id", "left_semi")).dropDuplicates(["node", "digest"]).join(classes.select("node", "digest"), ["node", "digest"], "left_semi")
-    cut = _chunked(scratch.keep(drawn.join(loose, "node")), ["component"], F.xxhash64("node"), SKETCHES, scratch)
+    cut = _chunked(scratch.keep(drawn.join(loose, "node")), ["component"], F.xxhash64("node"), SKETCHES, scratch, f"length(hashes) + {BINS}", SET_BYTES)
     near = cut.mapInArrow(_by_group(["component", "i", "j"], _similar(least)), "a long, b long")
     dropped = components(near, scratch).where("node <> component").select("node")
     kept = classes.select("node").join(dropped, "node", "left_anti").select(F.col("node").alias("_id"))

@@ -327,7 +327,7 @@ def test_blocks_cut_off_put_on_or_repeated_are_near_copies(spark):
         docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in docs}
     assert all(len(sets[i] & sets[i + 1]) >= 0.81 * len(sets[i] | sets[i + 1]) for i in range(0, 80, 2))
-    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA), least=0.7).collect())
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect())
     assert got == list(range(0, 80, 2))
 
 
@@ -339,3 +339,13 @@ def test_bands_find_sets_of_the_least_similarity():
             x, y = (np.frombuffer(simhash.lows(s), np.int64) for s in (whole, whole[:n]))
             assert len(x) == len(y) == simhash.BANDS and (x == y).any(), n
     assert simhash.lows(rng.integers(0, 2**64, 3, dtype=np.uint64)) == b""
+
+
+def test_similarity_close_to_the_threshold_is_settled_by_the_sets(spark):
+    docs, over = [], []
+    for k in range(120):  # a of 400 shingles, b its first so many words: similarity from 0.79 to 0.81
+        words = [f"f{k}n{i * i % 977}x{i}" for i in range(404)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 320 + k % 9]))]
+        over.append(316 + k % 9 >= 320)
+    want = sorted([2 * k for k in range(120)] + [2 * k + 1 for k, near in enumerate(over) if not near])
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()) == want
