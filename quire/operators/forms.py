@@ -11,11 +11,11 @@ from .graph import DEPTH, _kept
 
 
 def full_names(fields: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(node, full_name, ft, ff): names joined by full stops from the root, with type and flags inherited. A missing name is Field and the node's number."""
+    """(node, full_name, ft, ff): names joined by full stops from the root, with type and flags inherited. A missing name is Field and the node's number. More than depth levels are an error."""
     own = F.coalesce("name", F.concat(F.lit("Field"), F.col("node").cast("string")))
     level = fields.where("parent IS NULL").select("node", own.alias("full_name"), "ft", "ff")
     out, rest = level, fields.where("parent IS NOT NULL").select("node", "parent", own.alias("name"), "ft", "ff")
-    for _ in range(1, depth):
+    for _ in range(1, depth + 1):
         up = level.select(F.col("node").alias("_n"), F.col("full_name").alias("_f"), F.col("ft").alias("_t"), F.col("ff").alias("_g"))
         level = _kept(
             rest.join(up, F.col("parent") == F.col("_n")).select(
@@ -23,9 +23,9 @@ def full_names(fields: DataFrame, depth: int = DEPTH) -> DataFrame:
             )
         )
         if level.isEmpty():
-            break
+            return out
         out = out.union(level)
-    return out
+    raise RuntimeError(f"more than {depth} levels")
 
 
 def lookup(fields: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of a tree that are walked.
-DEPTH = 64
+#: Levels of a tree that are walked; a deeper one is an error.
+DEPTH = 256
 CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
@@ -31,13 +31,13 @@ def flatten(nodes: DataFrame, inherit: list[str], depth: int = DEPTH) -> DataFra
     """nodes (node, parent, pos, inherited columns) with level, path (sort key: positions from the root), and ancestors' values where a node's own is null.
 
     Walks level by level from the roots (parent null); each level is one equi-join. A node that no root reaches (a cycle, a missing parent) has no row.
-    Walks at most depth levels.
+    A tree of more than depth levels is an error.
     """
     cols = ["node", "parent", "pos", *inherit]
     level = nodes.where("parent IS NULL").select(*cols, F.lit(0).alias("level"), F.array(F.col("pos").cast("long")).alias("path"))
     out = level
     rest = nodes.where("parent IS NOT NULL").select(*cols)
-    for k in range(1, depth):
+    for k in range(1, depth + 1):
         up = level.select(F.col("node").alias("_n"), F.col("path").alias("_p"), *[F.col(c).alias(f"_{c}") for c in inherit])
         level = rest.join(up, F.col("parent") == F.col("_n")).select(
             "node", "parent", "pos", *[F.coalesce(c, f"_{c}").alias(c) for c in inherit], F.lit(k).alias("level"), F.concat("_p", F.array(F.col("pos").cast("long"))).alias("path")
@@ -46,7 +46,7 @@ def flatten(nodes: DataFrame, inherit: list[str], depth: int = DEPTH) -> DataFra
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    return out
+    raise RuntimeError(f"more than {depth} levels")
 
 
 def reachable(roots: DataFrame, edges: DataFrame, most: int = 1_000) -> DataFrame:
@@ -87,7 +87,7 @@ def dedup_fixpoint(objects: DataFrame, refs: DataFrame, rounds: int = 50) -> Dat
     """(obj, canonical): objects that are equal once equal children count as one, under the smallest number.
 
     objects (obj, payload); refs (src, pos, dst). Each round hashes an object's payload with the canonical numbers of what it refers to;
-    rounds go on until none merges, so that parents of merged children merge next.
+    rounds go on until none merges, so that parents of merged children merge next. More rounds than allowed are an error.
     """
     alias = objects.select("obj", F.col("obj").alias("canonical"))
     classes = -1
@@ -99,6 +99,6 @@ def dedup_fixpoint(objects: DataFrame, refs: DataFrame, rounds: int = 50) -> Dat
         alias = _kept(keyed.join(lows, "_key").select("obj", "canonical"))
         now = alias.select("canonical").distinct().count()
         if now == classes:
-            break
+            return alias
         classes = now
-    return alias
+    raise RuntimeError(f"not settled in {rounds} rounds")

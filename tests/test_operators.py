@@ -145,3 +145,20 @@ def test_reader_of_documents(spark, tmp_path):
     assert {r.obj for r in objects} == {1, 2, 3, 4, 5}
     found = words.word_rows(words.page_words(pdf.letters(files).withColumnRenamed("path", "doc_id"))).orderBy("word").collect()
     assert [r.text for r in found] == ["Hello", "world", "Second"]
+
+
+def test_levels_and_rounds_left_over_are_errors(spark):
+    import pytest
+
+    from quire.operators import forms, graph
+
+    chain = spark.createDataFrame([(i, i - 1 if i else None, 0, f"n{i}", None, None) for i in range(5)], "node long, parent long, pos long, name string, ft string, ff long")
+    assert graph.flatten(chain, [], 5).count() == forms.full_names(chain, 5).count() == 5
+    for walk in (lambda: graph.flatten(chain, [], 4), lambda: forms.full_names(chain, 4)):
+        with pytest.raises(RuntimeError):
+            walk()
+    objects = spark.createDataFrame([(i, "leaf" if i < 2 else f"p{i // 2}") for i in range(8)], "obj long, payload string")
+    refs = spark.createDataFrame([(i, 0, i - 2) for i in range(2, 8)], "src long, pos int, dst long")
+    assert graph.dedup_fixpoint(objects, refs).select("canonical").distinct().count() == 4
+    with pytest.raises(RuntimeError):
+        graph.dedup_fixpoint(objects, refs, 2)
