@@ -77,15 +77,19 @@ class Tagger:
         for d in "fb":
             kept = runs[d][0]
             back, cellback = np.zeros((h, n)), np.zeros((h, n))
-            for (s, state, zz, g, m, old, cell, squashed), out in zip(kept[::-1], runs[d][1][::-1]):
-                grad[f"e{d}"] += ge[s] @ out.T
+            dzs, olds = np.empty((t, 4 * h, n)), np.empty((t, h, n))
+            for s, state, zz, g, m, old, cell, squashed in kept[::-1]:
                 dh = self.p[f"e{d}"].T @ ge[s] + back
                 dc = cellback + dh * g[2 * h :] * (np.abs(cell) < 1)
-                dz = np.concatenate([dc * m, dc * old, dh * squashed]) * (0.25 * (np.abs(zz[: 3 * h]) < 2))
-                dz = np.concatenate([dz, dc * g[:h] * (np.abs(zz[3 * h :]) < 1)])
-                grad[f"u{d}"] += dz @ state.T
-                np.add.at(grad[f"x{d}"].T, x[s], dz.T)
+                dz = dzs[s]
+                dz[:h], dz[h : 2 * h], dz[2 * h : 3 * h], dz[3 * h :] = dc * m, dc * old, dh * squashed, dc * g[:h] * (np.abs(zz[3 * h :]) < 1)
+                dz[: 3 * h] *= 0.25 * (np.abs(zz[: 3 * h]) < 2)
+                olds[s] = state
                 back, cellback = self.p[f"u{d}"].T @ dz, dc * g[h : 2 * h]
+            flat = dzs.transpose(1, 0, 2).reshape(4 * h, -1)
+            grad[f"e{d}"] = np.tensordot(ge, np.stack(states[d]), ((0, 2), (0, 2)))
+            grad[f"u{d}"] = np.tensordot(dzs, olds, ((0, 2), (0, 2)))
+            grad[f"x{d}"] = flat @ (x.reshape(-1, 1) == np.arange(self.p[f"x{d}"].shape[1]))
         return float((z - gold).sum() / (t * n)), {q: v / (t * n) for q, v in grad.items()}
 
     def fit(self, batches, rate: float = 0.02):
@@ -146,45 +150,145 @@ def emissions(w: dict, x: np.ndarray) -> np.ndarray:
     return e
 
 
-def decode(w: dict, x: np.ndarray, lengths: np.ndarray | None = None) -> dict[int, np.ndarray]:
-    """The best tags of each column of x (t, n) that has a tag other than 0; the other columns are all 0.
+def gains(e: np.ndarray) -> np.ndarray:
+    """(t, n): by how much the best other tag leads 0, for emissions e (t, tags, n)."""
+    return e[:, 1:].max(axis=1) - e[:, 0]
 
-    Columns end at lengths; what follows must be the symbol after the last and changes nothing before it.
 
-    A column is left at 0 without a search only if no other path can win: at each place every other
-    tag trails by more than any two transitions can give back.
+#: What stands for the gain of a place between two texts.
+BETWEEN = -1e5
+#: Places whose sums are made at once.
+SUMMED = 1 << 20
+
+
+def open_places(w: dict, gain: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places, in order, where the best path may have a tag other than 0.
+
+    gain has the gains of texts that lie side by side, with BETWEEN between them, begins and ends the first and last
+    places of texts. A stretch of other tags can better as many 0 by no more than the sum of its gains and of the best
+    transitions into it, within it and out of it. A place is open if the best such sum of any stretch over it isn't
+    negative; a stretch of the best path is never worse than as many 0, so the path has 0 at all other places.
     """
-    e = emissions(w, x)
-    tr, start = w["trans"], w["start"]
-    give = max(float(tr.max() - tr[0, 0]), 0.0) + max(float(start.max() - start[0]), 0.0)
-    lead = (e[:, 1:].max(axis=1) - e[:, 0]).max(axis=0)
-    cols = np.flatnonzero(lead >= -2 * give - 1e-3)
-    out = {}
-    for i in range(0, len(cols), 512):
-        some = cols[i : i + 512]
-        sub = np.ascontiguousarray(e[:, :, some])
-        t, k, n = sub.shape
-        best, back = sub[0] + start[:, None], np.zeros((t, k, n), np.int8)
-        for s in range(1, t):
-            paths = best[:, None] + tr[:, :, None]
-            back[s] = paths.argmax(axis=0)
-            then = paths.max(axis=0) + sub[s]
-            if lengths is None:
-                best = then
-            else:
-                over = s >= lengths[some]
-                best = np.where(over, best, then)
-                back[s] = np.where(over, np.arange(k, dtype=np.int8)[:, None], back[s])
-        tags = np.zeros((t, n), np.int8)
-        tags[-1] = best.argmax(axis=0)
-        for s in range(t - 1, 0, -1):
-            tags[s - 1] = back[s][tags[s], np.arange(n)]
-        for j, c in enumerate(some.tolist()):
-            if tags[:, j].any():
-                out[c] = tags[:, j]
+    tr, start = w["trans"].astype(float), w["start"].astype(float)
+    into, step, leave = tr[0, 1:].max() - tr[0, 0], tr[1:, 1:].max() - tr[0, 0], tr[1:, 0].max() - tr[0, 0]
+    g = gain + np.float32(step)
+    g[begins] += np.float32(start[1:].max() - start[0] - into)
+    g[ends] -= np.float32(leave)
+    best = np.empty(len(g), np.float32)  # of stretches that end at a place
+    carry = -np.inf
+    for i in range(0, len(g), SUMMED):
+        total = np.cumsum(g[i : i + SUMMED], dtype=float)
+        low = np.minimum.accumulate(np.concatenate([[min(-into, -carry)], total[:-1] - into]))
+        best[i : i + SUMMED] = total - low
+        carry = float(total[-1] - low[-1])
+    found, carry = [], -np.inf
+    for i in range((len(g) - 1) // SUMMED * SUMMED, -1, -SUMMED):
+        part = g[i : i + SUMMED][::-1]
+        total = np.cumsum(part, dtype=float)
+        low = np.minimum.accumulate(np.concatenate([[min(0.0, -carry)], total[:-1]]))
+        after = total - low
+        most = best[i : i + SUMMED] + (after - part)[::-1] + (leave - step)
+        found.append(i + np.flatnonzero((most >= -1e-2) & (gain[i : i + SUMMED] > BETWEEN)))
+        carry = float(after[-1])
+    return np.concatenate([*found[::-1], np.zeros(0, np.int64)]).astype(np.int64)
+
+
+#: Places of a run that are searched in one go; a longer run is searched in pieces whose ends are settled together.
+PIECE = 256
+#: Pieces that are searched together.
+ABREAST = 512
+
+
+def best_path(w: dict, at: np.ndarray, e: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The tags of the best path at the open places of texts; those at all other places are 0.
+
+    at has the places in order (texts lie side by side with a place between them), e (m, tags) their emissions, begins
+    and ends tell the first and last place of a text. As the path has 0 at all other places, each run of open places is
+    searched alone, from 0 (or a text's start) to 0 (or a text's end), and what comes out is the best path of the whole text.
+    A run longer than PIECE is cut into pieces: the best scores between the tags at a piece's two ends are found for
+    each, these are joined along the run, and the pieces are then searched with their ends known.
+    """
+    if not len(at):
+        return np.zeros(0, np.int8)
+    tr, start = w["trans"].astype(float), w["start"].astype(float)
+    cut = np.append(True, np.diff(at) != 1)
+    within = np.arange(len(at)) - np.flatnonzero(cut)[np.cumsum(cut) - 1]
+    first = np.flatnonzero(within % PIECE == 0)
+    size = np.diff(np.append(first, len(at)))
+    head = cut[first]
+    tail = np.append(head[1:], True)
+    entry = np.where(begins[first][:, None], start, tr[0])
+    leave = np.where(ends[first + size - 1][:, None], 0.0, tr[:, 0])
+    part = np.flatnonzero(~(head & tail))
+    if len(part):
+        between = _between(tr, e, first[part], size[part])
+        at_head = np.append(np.flatnonzero(head[part]), len(part))
+        for a, b in zip(at_head[:-1].tolist(), at_head[1:].tolist()):
+            come, froms, lasts = entry[part[a]], [], []
+            for i in range(a, b):
+                ways = come[:, None] + between[i]
+                froms.append(ways.argmax(axis=0))
+                out = ways.max(axis=0)
+                ways = out[:, None] + tr
+                lasts.append(ways.argmax(axis=0))
+                come = ways.max(axis=0)
+            last = int((out + leave[part[b - 1]]).argmax())
+            for i in range(b - 1, a - 1, -1):
+                tag = int(froms[i - a][last])
+                entry[part[i]], leave[part[i]] = -np.inf, -np.inf
+                entry[part[i], tag] = leave[part[i], last] = 0.0
+                if i > a:
+                    last = int(lasts[i - 1 - a][tag])
+    tags = np.zeros(len(at), np.int8)
+    order = np.argsort(-size, kind="stable")
+    for i in range(0, len(order), ABREAST):
+        some = order[i : i + ABREAST]
+        f, n = first[some], (size[some][None] > np.arange(size[some[0]])[:, None]).sum(axis=1)
+        best, back = entry[some].T + e[f].T, np.zeros((len(n), len(tr), len(some)), np.int8)
+        for s in range(1, len(n)):
+            k = n[s]
+            ways = best[:, None, :k] + tr[:, :, None]
+            back[s, :, :k] = ways.argmax(axis=0)
+            best[:, :k] = ways.max(axis=0) + e[f[:k] + s].T
+        now = (best + leave[some].T).argmax(axis=0)
+        for s in range(len(n) - 1, -1, -1):
+            k = n[s]
+            tags[f[:k] + s] = now[:k]
+            if s:
+                now[:k] = back[s, now[:k], np.arange(k)]
+    return tags
+
+
+def _between(tr: np.ndarray, e: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(pieces, tags, tags): the best score of a path through each piece from a tag at its first place to one at its last."""
+    k = len(tr)
+    out = np.empty((len(first), k, k))
+    order = np.argsort(-size, kind="stable")
+    for i in range(0, len(order), ABREAST):
+        some = order[i : i + ABREAST]
+        f, n = first[some], (size[some][None] > np.arange(size[some[0]])[:, None]).sum(axis=1)
+        best = np.where(np.eye(k, dtype=bool)[:, :, None], e[f].T[None], -np.inf)  # from, to, piece
+        for s in range(1, len(n)):
+            now = n[s]
+            best[:, :, :now] = (best[:, :, None, :now] + tr[None, :, :, None]).max(axis=1) + e[f[:now] + s].T[None]
+        out[some] = best.transpose(2, 0, 1)
     return out
 
 
+def decode(w: dict, x: np.ndarray) -> dict[int, np.ndarray]:
+    """The best tags of each column of symbols x (t, n), a text of its own, that has a tag other than 0."""
+    e = emissions(w, x)
+    t, n = x.shape
+    flat = np.full((n, t + 1), BETWEEN, np.float32)
+    flat[:, :t] = gains(e).T
+    firsts = np.arange(n) * (t + 1)
+    at = open_places(w, flat.reshape(-1), firsts, firsts + t - 1)
+    col, row = at // (t + 1), at % (t + 1)
+    tags = np.zeros((t, n), np.int8)
+    tags[row, col] = best_path(w, at, e[row, :, col], row == 0, row == t - 1)
+    return {c: tags[:, c] for c in np.flatnonzero(tags.any(axis=0)).tolist()}
+
+
 def _lse(x, axis):
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))

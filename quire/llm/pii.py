@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bilstm import Tagger, decode
+from .bilstm import BETWEEN, Tagger, best_path, emissions, gains, open_places
 from .common import table
 
 #: Kinds in the order in which equal starts are listed; tag i + 1 of the tagger.
@@ -17,12 +18,16 @@ KINDS = ("email", "ip", "card", "phone")
 
 # --- fixed patterns -----------------------------------------------------------------------------
 
-LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# The same matches in linear time. A match of IP begins where a run of digits does: a match ends with a run, and one
+# from within a run is one from its start too. Runs never have to be given back, so they are possessive.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 
 
 def luhn(digits: str) -> bool:
@@ -39,23 +44,28 @@ def _digits(s: str) -> str:
 
 def _emails(text: str):
     """Matches of EMAIL, found from each @: the pattern's first part is the longest run of its characters before it."""
-    done, at = 0, text.find("@")
+    done, low, at = 0, 0, text.find("@")
     while at >= 0:
-        start = at
-        while start > done and text[start - 1] in LOCAL:
-            start -= 1
-        m = DOMAIN.match(text, at + 1) if start < at else None
+        low = max(low, done)
+        start = low + len(text[low:at].rstrip(LOCAL))
+        m = _DOMAIN.match(text, at + 1) if start < at else None
         if m:
             yield start, m.end()
             done = m.end()
-        at = text.find("@", max(at + 1, done))
+        low = at + 1
+        at = text.find("@", max(low, done))
+
+
+def _octet(x: str) -> bool:
+    x = x.lstrip("0")
+    return len(x) < 3 or len(x) == 3 and int(x) <= 255
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) by the fixed patterns, in order."""
+    """(start, kind's number, end) by the fixed patterns, in order, in time linear in the text."""
     out = [(a, 0, b) for a, b in _emails(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split(".")) ]
-    for m in CARD.finditer(text):
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
+    for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((m.start(), 2, m.end()))
     if "+" in text:
@@ -87,6 +97,27 @@ def symbols(text: str) -> np.ndarray:
 _SYLLABLES = "the and er on an re he in ed nd ha en ou it is de la que ción os ar mente pas le eau eux oi ch sch ung keit lich ä ü é ñ".split()
 
 
+class _Draws:
+    """Draws of a generator, taken from it in blocks."""
+
+    def __init__(self, rng, block: int = 256):
+        self._rng, self._block, self._left = rng, block, []
+
+    def random(self) -> float:
+        if not self._left:
+            self._left = self._rng.random(self._block).tolist()
+        return self._left.pop()
+
+    def integers(self, low: int, high: int, n: int | None = None):
+        return low + int((high - low) * self.random()) if n is None else [low + int((high - low) * self.random()) for _ in range(n)]
+
+    def choice(self, some):
+        return some[self.integers(0, len(some))]
+
+    def bytes(self, n: int) -> bytes:
+        return bytes(self.integers(0, 256, n))
+
+
 def _word(rng) -> str:
     w = "".join(_SYLLABLES[i] for i in rng.integers(0, len(_SYLLABLES), rng.integers(1, 5)))
     return w.capitalize() if rng.random() < 0.12 else w.upper() if rng.random() < 0.05 else w
@@ -140,8 +171,8 @@ def _plain(rng) -> str:
 
 
 def labelled(rng, length: int) -> tuple[str, np.ndarray]:
-    """A text of length characters and its tags, cut anywhere."""
-    parts, tags, size = [], [], 0
+    """A text of length characters and its tags, cut anywhere; rng is a numpy generator."""
+    rng, parts, tags, size = _Draws(rng), [], [], 0
     while size < length + 40:
         kind = int(rng.integers(0, 4)) if rng.random() < 0.08 else -1
         s = _personal(rng, kind) if kind >= 0 else _plain(rng)
@@ -173,43 +204,76 @@ def tagger(steps: int = 260, batch: int = 96, length: int = 64, hidden: int = 8,
 
 #: Symbols of a window, of which the outer ones (but at a text's ends) are context alone; windows at once.
 LENGTH, MARGIN, AT_ONCE = 512, 32, 1024
+#: Characters that are tagged together.
+CHARACTERS = 2_000_000
 
 
 def tag(weights: dict, texts: list[str]) -> list[np.ndarray | None]:
-    """The tags of each text, None where all are 0.
+    """The tags of each text, None where all are 0: those of the best path through the whole text.
 
-    Each text has its own windows, which overlap by two margins; a place takes its tag from the window in
-    whose middle it lies, and runs are read off the whole text. Windows go together by length.
+    Each text has its own windows, which overlap by two margins; a place takes its emissions from the window in
+    whose middle it lies, and the emissions of all windows of a text are decoded as one sequence. Windows go together by
+    length. Four bytes a place are kept until all windows are done; they tell where a tag other than 0 can win at
+    all. Emissions are kept too if the texts are short together, else windows around such places are run again.
     """
     step = LENGTH - 2 * MARGIN
     codes = [symbols(t) for t in texts]
+    base = np.cumsum([0, *[len(c) + 1 for c in codes]])  # texts lie side by side, with a place between them
     spots = []
     for i, c in enumerate(codes):
         n = len(c)
         for a in range(0, max(1, n - 2 * MARGIN), step) if n else ():
             spots.append((min(n, a + LENGTH) - a, i, a))
     spots.sort()
+    size, of, at = (np.array(v, np.int64) for v in zip(*spots)) if spots else [np.zeros(0, np.int64)] * 3
+    low = np.where(at > 0, MARGIN, 0)  # the window's middle
+    high = np.where(base[of + 1] - base[of] - 1 > at + size, size - MARGIN, size)
+
+    def windows(some):
+        for s in range(0, len(some), AT_ONCE):
+            js = some[s : s + AT_ONCE]
+            x = np.full((size[js[-1]], len(js)), SYMBOLS, np.uint8)
+            for c, j in enumerate(js.tolist()):
+                x[: size[j], c] = codes[of[j]][at[j] : at[j] + size[j]]
+            yield js, emissions(weights, x)
+
+    gain, kept = np.full(base[-1], BETWEEN, np.float32), []
+    for js, e in windows(np.arange(len(spots))):
+        if len(gain) <= 2 * CHARACTERS:
+            kept.append((js, e))
+        led = np.ascontiguousarray(gains(e).T)
+        for c, j in enumerate(js.tolist()):
+            gain[base[of[j]] + at[j] + low[j] : base[of[j]] + at[j] + high[j]] = led[c, low[j] : high[j]]
+    full = np.flatnonzero(np.diff(base) > 1)
+    places = open_places(weights, gain, base[full], base[full + 1] - 2)
+    first, last = (np.searchsorted(places, base[of] + at + edge) for edge in (low, high))
+    scores = np.empty((len(places), weights["k"]), np.float32)
+    for js, e in kept or windows(np.flatnonzero(last > first)):
+        for c, j in enumerate(js.tolist()):
+            mine = slice(first[j], last[j])
+            scores[mine] = e[places[mine] - base[of[j]] - at[j], :, c]
+    tags = best_path(weights, places, scores, np.isin(places, base[:-1]), np.isin(places, base[1:] - 2))
     out: list[np.ndarray | None] = [None] * len(texts)
-    for s in range(0, len(spots), AT_ONCE):
-        some = spots[s : s + AT_ONCE]
-        x = np.full((some[-1][0], len(some)), SYMBOLS, np.uint8)
-        for j, (n, i, a) in enumerate(some):
-            x[:n, j] = codes[i][a : a + n]
-        for j, tags in decode(weights, x, np.array([n for n, _, _ in some])).items():
-            n, i, a = some[j]
-            if out[i] is None:
-                out[i] = np.zeros(len(codes[i]), np.int8)
-            low = MARGIN if a else 0
-            high = n - MARGIN if a + n < len(codes[i]) else n
-            out[i][a + low : a + high] = tags[low:high]
+    found = np.flatnonzero(tags)
+    text = np.searchsorted(base, places[found], side="right") - 1
+    for i in np.unique(text).tolist():
+        mine = found[np.searchsorted(text, i) : np.searchsorted(text, i, side="right")]
+        out[i] = np.zeros(len(codes[i]), np.int8)
+        out[i][places[mine] - base[i]] = tags[mine]
     return out
 
 
 _AT, _DOT = re.compile(r"\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+|\s*@\s*", re.I), re.compile(r"\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+", re.I)
 
 
+#: Characters of the longest run that can be one datum of a kind, separators included.
+LONGEST = (320, 40, 60, 40)
+
+
 def _plausible(kind: int, s: str) -> bool:
     """Whether a tagged run, once its separators are normal, passes the check of its kind."""
+    if len(s) > LONGEST[kind]:
+        return False
     if kind == 0:
         return bool(EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", s))))
     if kind == 1:
@@ -217,14 +281,23 @@ def _plausible(kind: int, s: str) -> bool:
         return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", x) and int(x) <= 255 for x in parts)
     d = _digits(s)
     if kind == 2:
-        return 14 <= len(d) <= 19 and luhn(d) and not re.search(r"[^0-9 ./ -]|[ ./ -]{2}", s)
+        return 14 <= len(d) <= 19 and luhn(d) and not re.search(r"[^0-9 ./ -]|[ ./ -]{2}", s)
     return 10 <= len(d) <= 15 and not d == s and not re.search(r"[^0-9 +().-]", s)
 
 
+def _digit_runs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the start of the run of digits that ends before it, and the end of the run that starts at it (the place itself for none)."""
+    digit = symbols(text) == 1
+    place = np.arange(len(digit) + 1)
+    before = np.maximum.accumulate(np.where(np.append(False, digit), 0, place))
+    after = np.minimum.accumulate(np.where(np.append(digit, False), len(digit), place)[::-1])[::-1]
+    return before, after
+
+
 def spans(weights: dict, texts: list[str]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, as (start, kind's number, end).
 
-    The tagger adds a run that touches no base span and passes the check of its kind; base spans stay.
+    The tagger adds a run that touches no base span and no run added before it and passes the check of its kind; base spans stay.
     """
     out = []
     for text, tags in zip(texts, tag(weights, texts)):
@@ -232,6 +305,10 @@ def spans(weights: dict, texts: list[str]) -> list[tuple[list, list]]:
         every = list(base)
         if tags is not None:
             edge = np.flatnonzero(np.diff(tags, prepend=0, append=0))
+            before, after = _digit_runs(text)
+            starts = [a for a, _, _ in base]
+            reach = np.maximum.accumulate([b for _, _, b in base]) if base else ()  # the furthest end of the base spans so far
+            done = 0
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 kind = int(tags[a]) - 1
                 if kind < 0:
@@ -240,12 +317,12 @@ def spans(weights: dict, texts: list[str]) -> list[tuple[list, list]]:
                     a += 1
                 while a < b and not text[b - 1].isalnum():
                     b -= 1
-                while kind and a and text[a - 1] in "0123456789":  # a run of digits is whole or not at all
-                    a -= 1
-                while kind and b < len(text) and text[b] in "0123456789":
-                    b += 1
-                if a < b and not any(x < b and a < y for x, _, y in base) and _plausible(kind, text[a:b]):
+                if kind:  # a run of digits is whole or not at all
+                    a, b = int(before[a]), int(after[b])
+                k = bisect_right(starts, b - 1)  # base spans that start before b
+                if done <= a < b and not (k and reach[k - 1] > a) and _plausible(kind, text[a:b]):
                     every.append((a, kind, b))
+                    done = b
             every.sort()
         out.append((base, every))
     return out
@@ -270,10 +347,6 @@ def redacted(text: str, found) -> str:
     return "".join([*out, text[at:]])
 
 
-#: Characters that are tagged together.
-CHARACTERS = 2_000_000
-
-
 def _pieces(texts):
     """Runs of rows with about CHARACTERS characters; a longer text is alone."""
     start = size = 0

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -176,6 +177,108 @@ def test_base_spans_against_plain_patterns():
     assert pii.base_spans(text) == sorted(want) and {k for _, k, _ in want} == {0, 1, 2, 3}
 
 
+def _plain_spans(text):
+    """The fixed patterns, run as they stand."""
+    want = [(m.start(), 0, m.end()) for m in pii.EMAIL.finditer(text)]
+    want += [(m.start(), 1, m.end()) for m in pii.IP.finditer(text) if all(int(x) < 256 for x in m[0].split("."))]
+    for m in pii.CARD.finditer(text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and pii.luhn(d):
+            want.append((m.start(), 2, m.end()))
+    return sorted(want + [(m.start(), 3, m.end()) for m in pii.PHONE.finditer(text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15])
+
+
+def test_base_spans_equal_the_patterns_on_random_texts():
+    rng, alphabet, found = np.random.default_rng(0), list("0123456789..--  @@ab+()%2 5"), 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 40)))
+        found += len(_plain_spans(text))
+        assert pii.base_spans(text) == _plain_spans(text), text
+    assert found > 500
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [(0, 1, 5007)]
+
+
+@pytest.mark.parametrize("text", ["7" * 5000 + ".1.1.1", "7" * 10**6, "+1 " * 333_333, "1." * 500_000, "a@" * 500_000, "a" * 10**6, "1-" * 500_000, "1.2.3.4 " * 100_000], ids=lambda t: t[:6])
+def test_base_spans_take_linear_time(text):
+    began = time.process_time()
+    pii.base_spans(text)
+    assert time.process_time() - began < 3
+
+
+def test_spans_of_hostile_texts():
+    w = pii.tagger().ready()
+    for text in ("7" * 5000 + ".1.1.1", "7" * 60_000, "+1 " * 20_000, " at " * 20_000, "1 . " * 20_000):
+        (base, every), = pii.spans(w, [text])
+        assert base == _plain_spans(text[:4000]) == [] and all(b - a <= max(pii.LONGEST) for a, _, b in every)
+
+
+PII_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS (
+  SELECT doc_id, 'email' AS kind, 0 AS ord, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM d
+  UNION ALL SELECT doc_id, 'ip', 1, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), regexp_split_to_array(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT doc_id, 'card', 2, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), regexp_split_to_array(t, '[0-9]([\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT doc_id, 'phone', 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+), u AS (SELECT doc_id, kind, ord, unnest(m) AS x, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM s
+), q AS (
+  SELECT doc_id, kind, ord, x, regexp_replace(x, '[^0-9]', '', 'g') AS n,
+    CAST(sum(length(gap) + length(x)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM u
+), f AS (
+  SELECT * FROM q WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN list_max(list_transform(string_split(x, '.'), lambda v: CAST(v AS HUGEINT))) <= 255
+    WHEN 'phone' THEN length(n) BETWEEN 10 AND 15
+    ELSE length(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(n)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(n[length(n) - k] AS INT)
+      ELSE CAST(n[length(n) - k] AS INT) * 2 - CASE WHEN CAST(n[length(n) - k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END
+)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+  count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || (stop - length(x)) || ':' || stop, ',' ORDER BY stop - length(x), ord), '')) AS base_sha256
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id
+"""
+
+
+def test_base_columns_against_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    want = duckdb.sql(PII_SQL.replace("FROM documents", f"FROM '{folder}/documents.parquet'")).fetchall()
+    got = pii.op4_pii(spark, folder).drop("spans").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(sum(r[1:5]) for r in want) > 20
+
+
+def test_best_path_of_long_runs_against_one_search(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = bilstm.Tagger(5, 4, hidden=3, seed=6)
+    model.p["trans"] = rng.normal(0, 2, (4, 4))
+    w = model.ready()
+    for length, cols in ((1, 4), (2, 9), (700, 6), (3000, 2)):
+        x = rng.integers(0, 5, (length, cols))
+        e, tr = bilstm.emissions(w, x).astype(float), w["trans"].astype(float)
+        for summed in (1 << 20, 97):
+            monkeypatch.setattr(bilstm, "SUMMED", summed)
+            found = bilstm.decode(w, x)
+            for j in range(cols):
+                best = w["start"] + e[0, :, j]
+                for s in range(1, length):
+                    best = (best[:, None] + tr).max(axis=0) + e[s, :, j]
+                path = found.get(j, np.zeros(length, int))
+                value = w["start"][path[0]] + e[np.arange(length), path, j].sum() + tr[path[:-1], path[1:]].sum()
+                assert abs(value - best.max()) < 1e-3, (length, j)
+
+
+def test_windows_give_the_tags_of_one_window_a_text(monkeypatch):
+    rng = np.random.default_rng(77)
+    texts = [pii.labelled(rng, n)[0] for n in (30, 500, 512, 513, 900, 2000, 6000)] + ["", "x"]
+    w = pii.tagger().ready()
+    cut = pii.tag(w, texts)
+    monkeypatch.setattr(pii, "CHARACTERS", 10)
+    again = pii.tag(w, texts)
+    monkeypatch.setattr(pii, "LENGTH", 10**6)
+    for a, b, c in zip(cut, again, pii.tag(w, texts)):
+        assert (a is None and b is None and c is None) or ((a == b).all() and (a == c).mean() > 0.999)
+    assert sum(x is not None for x in cut) >= 5
+
+
 def test_gradient_of_the_tagger():
     model = bilstm.Tagger(7, 3, hidden=3, seed=1)
     rng = np.random.default_rng(0)
