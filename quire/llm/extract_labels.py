@@ -1,7 +1,9 @@
-"""The small labelled table of operator 7: pages written for it, each with the texts of its article."""
+"""The small labelled table of operator 7: pages written for it, each with the texts of its article, and pages made by rule."""
 
 from __future__ import annotations
 
+import random
+
 _LONG = "The harbour was quiet when the boats came back, and for an hour nobody on the pier spoke of the weather or of the catch at all."
 _MID = "A second survey of the valley found fewer birds than the year before."
 _SHORT = "Rain fell."
@@ -36,3 +38,124 @@ PAGES = (
     (_page(f"{_COMMENTS}{_SIDE}{_HEADER}{_FORM}{_FOOT}"), ()),
     (_page(f"<article><p>{_SHORT}</p></article>{_SIDE}"), (_SHORT,)),
 )
+
+
+# --- pages whose elements tell nothing ---------------------------------------------------------------
+
+_WORDS = (
+    "harbour boat morning pier weather catch survey valley bird year winter field road bridge letter council meeting vote house garden market price farmer "
+    "river bank stone school teacher lesson train station engine report figure number result study reader paper story line the a of and to in it was for on"
+).split()
+
+
+def _text(rng: random.Random, low: int, high: int) -> str:
+    return " ".join(rng.choice(_WORDS) for _ in range(rng.randint(low, high))).capitalize() + rng.choice((".", ".", ""))
+
+
+def _link(rng: random.Random, low: int = 1, high: int = 3) -> str:
+    return f'<a href="/{rng.randint(1, 999)}">{_text(rng, low, high)}</a>'
+
+
+def _prose(rng: random.Random, low: int, high: int) -> str:
+    """Text of an article, now and then with a link in it."""
+    return _text(rng, low, high) if rng.random() < 0.75 else f"{_text(rng, low, high)} {_link(rng, 1, 5)} {_text(rng, low, high)}"
+
+
+def _plain_page(rng: random.Random) -> tuple[str, list[int]]:
+    """A page of div, td, section or p elements whose names, if any, tell nothing or mislead; and the label of each block."""
+    own, rows = rng.choice((("div", "div"), ("table", "tr"), ("section", "section"), ("center", "div"))), []
+    tag = "td" if own[0] == "table" else "div"
+
+    def put(label, body, name=None):
+        kind = name or rng.choice((tag, tag, "p" if tag == "div" else tag))
+        mark = rng.choice(("", "", f' class="c{rng.randint(1, 99)}"', f' id="x{rng.randint(1, 9)}"'))
+        rows.append((label, f"<{kind}{mark}>{body}</{kind}>"))
+
+    def links(n, low=1, high=3):
+        if rng.random() < 0.5:
+            put(0, " | ".join(_link(rng, low, high) for _ in range(n)))
+        else:
+            for _ in range(n):
+                put(0, _link(rng, low, high), "li")
+
+    put(0, _text(rng, 1, 4) if rng.random() < 0.6 else _link(rng, 1, 4))
+    if rng.random() < 0.6:
+        put(0, _text(rng, 3, 9))
+    links(rng.randint(3, 8))
+    if rng.random() < 0.4:
+        put(0, " &gt; ".join([_link(rng), _link(rng), _text(rng, 1, 3)]))
+    if rng.random() < 0.5:
+        put(0, _text(rng, 4, 14))
+    if rng.random() < 0.75:
+        put(1, _text(rng, 3, 10), rng.choice(("h1", "h1", "h2", tag)))
+    for i in range(rng.randint(3, 10)):
+        kind = rng.random()
+        if kind < 0.12 and i:
+            put(1, _text(rng, 2, 5), "h2")
+        if kind > 0.9:
+            for _ in range(rng.randint(2, 4)):
+                put(1, _text(rng, 6, 18), "li")
+        elif kind > 0.82 and i:
+            put(1, _text(rng, 1, 6))
+        else:
+            put(1, _prose(rng, 18, 70))
+    put(1, _prose(rng, 18, 50))
+    if rng.random() < 0.6:
+        put(0, _text(rng, 1, 3), rng.choice(("h3", tag)))
+        links(rng.randint(3, 6), 3, 9)
+    if rng.random() < 0.4:
+        put(0, _text(rng, 3, 12))
+    links(rng.randint(2, 5))
+    for _ in range(rng.randint(1, 2)):
+        put(0, rng.choice(("&copy; ", "")) + _text(rng, 3, 12))
+    around = rng.choice(("", "", ' class="content"', ' id="main"'))
+    return f"<html><body><{own[0]}{around}><{own[1]}>{''.join(x for _, x in rows)}</{own[1]}></{own[0]}></body></html>", [k for k, _ in rows]
+
+
+def _marked_page(rng: random.Random) -> tuple[str, list[int]]:
+    """A page whose elements and names tell what is no article, with texts of any length in both."""
+    rows: list[tuple[int, str]] = []
+
+    def put(*texts):  # each: label, text of one block
+        rows.extend(texts)
+        return "".join(x for _, x in texts)
+
+    def some(label, name, low, high, least=1, most=3):
+        return put(*[(label, f"<{name}>{_prose(rng, low, high) if label else _text(rng, low, high)}</{name}>") for _ in range(rng.randint(least, most))])
+
+    def menu():
+        return put(*[(0, f"<li>{_link(rng)}</li>") for _ in range(rng.randint(2, 6))])
+
+    def aside(open_, close, body):
+        return f"<{open_}>{body()}</{close}>"
+
+    chrome = [
+        lambda: aside("nav", "nav", lambda: f"<ul>{menu()}</ul>"),
+        lambda: aside('div class="ad"', "div", lambda: put((0, _text(rng, 1, 30)))),
+        lambda: aside('div class="advert"', "div", lambda: some(0, "p", 5, 40)),
+        lambda: aside("aside", "aside", lambda: some(0, "p", 2, 40) + menu()),
+        lambda: aside('div id="sidebar"', "div", lambda: some(0, "p", 2, 30) + menu()),
+        lambda: aside('section class="comments"', "section", lambda: some(0, "p", 1, 60, 2, 5)),
+        lambda: aside('div class="cookie-notice"', "div", lambda: some(0, "p", 6, 40)),
+        lambda: aside("form", "form", lambda: some(0, "p", 2, 20)),
+    ]
+    kind = rng.choice(("article", "article", "article", "main", 'div class="post"', 'div class="entry-content"', 'div id="story"', ""))
+    head = "".join(rng.choice(chrome)() for _ in range(rng.randint(0, 3))) + (aside("header", "header", lambda: some(0, "p", 1, 12)) if rng.random() < 0.5 else "")
+    tiny = bool(kind) and rng.random() < 0.15  # a sentence or two are an article too
+    body = some(1, "p", 1, 6, 1, 2) if tiny else some(1, "h1", 1, 12, 1, 1) if rng.random() < 0.7 else ""
+    for _ in range(0 if tiny else rng.randint(1, 7)):
+        x = rng.random()
+        body += some(1, "p", 1, 6) if x < 0.5 else some(1, "p", 15, 70) if x < 0.75 else some(1, "li", 1, 15) if x < 0.9 else some(1, "h2", 1, 5, 1, 1)
+        if rng.random() < 0.15:
+            body += rng.choice(chrome)()
+    body = f"<{kind}>{body}</{kind.split()[0]}>" if kind else body
+    tail = "".join(rng.choice(chrome)() for _ in range(rng.randint(0, 2)))
+    if rng.random() < 0.7:
+        tail += aside("footer", "footer", lambda: some(0, "p", 1, 25) + menu())
+    return f"<html><body>{head}{body}{tail}</body></html>", [k for k, _ in rows]
+
+
+def made_pages(plain: int = 100, marked: int = 400, seed: int = 5) -> list[tuple[str, list[int]]]:
+    """(page, label of each block) of so many pages of either kind, the same in every run."""
+    rng = random.Random(seed)
+    return [_plain_page(rng) for _ in range(plain)] + [_marked_page(rng) for _ in range(marked)]

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
@@ -179,5 +180,77 @@ def test_tree_on_its_labelled_table():
         assert text == " ".join(b for b in found if any(t in b for t in kept))
 
 
+def _splits(t):
+    return {extract.FEATURES[t[0]]} | _splits(t[2]) | _splits(t[3]) if isinstance(t, list) else set()
+
+
+def test_tree_decides_by_neighbours():
+    assert {"words", "link_density"} <= _splits(extract.model()) and {"words_before", "words_after", "link_density_before", "link_density_after"} & _splits(extract.model())
+    long = "a plain sentence of the text goes on " * 6
+    page = f"<div><div>Short words here</div><div>{long}</div><div>Short words here</div><div>{long}</div></div>"
+    menu = '<div><a href="/a">One two</a> <a href="/b">three four</a></div>'
+    assert extract.main_text(page).count("Short words here") >= 1  # between long blocks
+    assert "Short words here" not in extract.main_text(f"<div>{menu}<div>Short words here</div>{menu}<div>{long}</div></div>")
+
+
+_SEA = "Far out on the grey water two trawlers turned for home while the wind went round to the north and the light failed."
+_LAW = "Judges sat late on Friday to hear the last of the appeals, which had been put off twice since the spring."
+_MAP = "Old maps give the lane another name, and nobody in the parish could say when or why it had been changed."
+_TIN = "Miners left the valley"
+#: Pages that the tree was not trained on: (label, block) in order, in layouts of several kinds.
+HELD_OUT = (
+    ("<div>{}</div>", [(0, "<a href=/>Coast Times</a>"), (0, "<a href=/n>News</a> <a href=/s>Sport</a> <a href=/w>Weather forecast</a>"), (1, "Two trawlers home"), (1, _SEA), (1, _LAW), (1, _SEA), (0, "<a href=/1>More about boats</a> <a href=/2>More about wind</a>"), (0, "Coast Times, since 1902")]),
+    ("<table><tr>{}</tr></table>", [(0, "<a href=/>Start</a>"), (0, "<a href=/x>Archive of the paper</a>"), (1, _LAW), (1, f"{_MAP} <a href=/q>The parish map</a> shows it."), (1, _TIN), (1, _SEA), (0, "<a href=/p>Imprint</a>"), (0, "All rights kept")]),
+    ('<div id="content">{}</div>', [(0, "Welcome"), (0, "<a href=/a>Lanes</a> | <a href=/b>Maps</a> | <a href=/c>Names</a>"), (1, "Lanes and their names"), (1, _MAP), (1, _MAP), (1, _LAW), (0, "See also"), (0, "<a href=/k>Ten lanes to walk in autumn</a>"), (0, "<a href=/l>Nine lanes to walk in spring</a>"), (0, "Made in the parish")]),
+    ("<article>{}</article><footer><p>Printed by the sea for those who asked for a paper of their own in the year of the flood.</p></footer>", [(1, "Rain"), (1, "Be."), (1, _SEA), (1, "No."), (1, _TIN)]),
+    ('<section class="post">{}</section><section class="comments"><p>I never saw so many boats come home at once, and I have lived here for sixty years.</p></section>', [(1, "Boats"), (1, _SEA), (1, _TIN), (1, _LAW)]),
+)
+
+
+def test_extraction_of_held_out_pages():
+    kept = right = wanted = 0
+    for frame, parts in HELD_OUT:
+        tag = "td" if "table" in frame else "div"
+        page = "<html><body>" + frame.format("".join(f"<{tag}>{x}</{tag}>" for _, x in parts)) + "</body></html>"
+        found = list(extract.blocks(page))
+        labels = [k for k, _ in parts] + [0] * (len(found) - len(parts))
+        for y, row in zip(labels, extract.features(found)):
+            yes = extract.tree.predict(extract.model(), row) >= 0.5
+            kept, right, wanted = kept + yes, right + (yes and y), wanted + y
+    assert right / kept >= 0.9 and right / wanted >= 0.9, (kept, right, wanted)
+    kept = right = wanted = 0
+    for page, labels in extract.made_pages(100, 100, seed=99):
+        found = list(extract.blocks(page))
+        assert len(found) == len(labels)
+        for y, row in zip(labels, extract.features(found)):
+            yes = extract.tree.predict(extract.model(), row) >= 0.5
+            kept, right, wanted = kept + yes, right + (yes and y), wanted + y
+    assert right / kept >= 0.97 and right / wanted >= 0.97, (kept, right, wanted)
+
+
+def test_extraction_against_all_articles_of_the_pages():
+    """The pages of the test tables hold their article in one element and nothing else in it."""
+    import re
+
+    import pandas as pd
+
+    for page in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html:
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        plain = extract.html.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", ""))
+        assert extract.main_text(page) == " ".join(plain.split())
+
+
+def test_tags_that_close_themselves_or_never():
+    body = "The river rose all night and by the morning it stood at the doors of the lower town, where nobody slept."
+    for odd in ("<svg width=1/>", "<math/>", "<select><option>", "<object data=x>", "<noscript>", "<svg><path/></svg>"):
+        assert extract.main_text(f"<article><p>{body}</p>{odd}<p>{body}</p></article>").count(body) == 2, odd
+    (block,) = extract.blocks("<p>see <a href=http://x.org/>the linked words</a> here</p>")
+    assert block[1:3] == (5, 3)
+    for hostile in ('<a ">"' * 30_000, "<svg>" * 50_000, "<div>" * 20_000 + "</p>" * 20_000, "<" * 100_000, "<a '" * 20_000):
+        began = time.process_time()
+        extract.main_text(hostile)
+        assert time.process_time() - began < 5, hostile[:10]
+
+
 def test_digest_is_base32_of_sha1():
     assert len(warc.digest(b"")) == 32 and hashlib.sha1(b"").hexdigest().startswith("da39")
