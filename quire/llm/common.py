@@ -63,6 +63,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Counted rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its counted rows are few; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def free_name(name: str, taken) -> str:
+    """name, with as many underscores behind it as no column of taken has, whatever the case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def utf8(col):
     """A string column as bytes, null as empty."""
     return F.coalesce(F.encode(col, "UTF-8"), F.lit(b""))

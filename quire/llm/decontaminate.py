@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bounded, table
 
 #: Positions, out of each run of tokens, that a seed hashes; the others may differ. Together the two
 #: hit every run of 13 tokens of which any two differ (tests/llm tries all pairs).
@@ -14,9 +14,6 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, EQUAL = 13, 11
 #: Items shorter than the shortest seed are too short to tell a leak.
 SHORTEST = 1 + max(MASKS[0])
-#: Benchmark rows (seeds, some 40 bytes each) and candidates up to which that side is broadcast.
-BROADCAST_ROWS = 500_000
-
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; null gives none."""
@@ -44,11 +41,6 @@ def _hashed(df: DataFrame, text: str, *keys: Column) -> DataFrame:
     )
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, text_key, item_id, n_equal, window, similarity): each document and benchmark item that share a leak.
 
@@ -76,10 +68,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
     probes = _seeds(_hashed(rows, "text", *keyed), ["doc_id", "text_key"])
     seeds = _seeds(items, ["item"]).select("item", F.col("pos").alias("item_pos"), "seed").distinct()
-    hits = probes.join(_bounded(scratch.keep(seeds)), "seed").select("doc_id", "text_key", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = probes.join(bounded(scratch.keep(seeds)), "seed").select("doc_id", "text_key", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = scratch.keep(hits)
 
-    small = _bounded(hits.select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}))
+    small = bounded(hits.select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "_d", "text_key": "_t"}))
     found = (
         rows.withColumn("text_key", F.xxhash64("text"))
         .join(small, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left_semi")
@@ -114,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 def remove(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """docs without the rows that leaks (a result of contaminated) names; all columns stay. Null ids match null ids."""
     bad = leaks.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(docs["text"]) == bad["_t"]), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, free_name, table
 
 #: Weights of the sources in their order, repeated; share of all words to take; most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
@@ -109,15 +109,18 @@ def measured(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The training order: docs' columns with mix_pass, mix_words and mix_position, a row for each pass over a document.
 
-    Rows are sorted by position over range partitions. A document of which the mix takes nothing has no row.
+    Rows are sorted by position over range partitions. A document of which the mix takes nothing has no row. All columns
+    of docs stay as they are; where one has a name of the three, the added one gets an underscore behind its name.
     """
     scratch = Scratch(docs.sparkSession)
     sizes = measured(docs, scratch)
-    placed = place(docs.withColumn("mix_size", words(F.col("text"))), sizes, scratch)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "source", words(F.col("text")).alias("mix_size"))
+    placed = place(rows, sizes, scratch)
     parts = F.posexplode(F.arrays_zip(F.col("mix_takes").alias("t"), F.col("mix_positions").alias("p")))
-    rows = placed.select(*docs.columns, parts.alias("mix_pass", "_x")).where("_x.t > 0")
-    rows = rows.select(*docs.columns, "mix_pass", F.col("_x.t").alias("mix_words"), F.col("_x.p").alias("mix_position"))
-    return rows.orderBy("mix_position", "doc_id", "mix_pass")
+    rows = placed.select("row", "doc_id", parts.alias("mix_pass", "_x")).where("_x.t > 0")
+    rows = rows.select("row", "doc_id", "mix_pass", F.col("_x.t").alias("mix_words"), F.col("_x.p").alias("mix_position"))
+    added = [F.col(c).alias(free_name(c, docs.columns)) for c in ("mix_pass", "mix_words", "mix_position")]
+    return rows.orderBy("mix_position", "doc_id", "mix_pass").select("row.*", *added)
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,37 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0), names).collect() == []
 
 
+def test_licences_keep_columns_of_any_name_and_lines_of_any_end(spark, tmp_path):
+    rows = [(1, "Copyright 2020 x\rLicensed under CC BY 4.0."), (2, "a\u2028Copyright 2020\nLicensed under CC BY 4.0."), (3, licences._MIT0), (4, "// SPDX-License-Identifier: MIT"), (5, licences._0BSD.upper())]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, _digest string, _licence string, _p string")
+    names = licences.known(spark)
+    got = {r.doc_id: r for r in licences.scan(docs, names).collect()}
+    assert all((r._digest, r._licence, r._p) == ("x", "y", "z") for r in got.values())
+    assert [got[i].licence for i in range(1, 6)] == [None, None, "MIT-0", "MIT", "0BSD"]
+    import duckdb
+
+    docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(licences.OP5_SQL.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet' AS documents")).fetchall()
+    assert sorted(map(str, map(tuple, licences.scan_both(docs, names).collect()))) == sorted(map(str, want))
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "Own-1.0.txt").write_text("Do what you like,\nbut ask.")
+    own = licences.known_files(spark, f"{tmp_path}/texts")
+    assert [r.licence for r in licences.scan(spark.createDataFrame([(1, "do what you LIKE but ask")], "doc_id long, text string"), own).collect()] == ["Own-1.0"]
+
+
+def test_no_column_of_documents_is_lost(spark):
+    from quire.llm import decontaminate
+
+    names = "mix_size mix_pass mix_position _mix_key _mix_s row _x _d _t text_key item_id size MIX_WORDS".split()
+    docs = spark.createDataFrame([(i, f"w{i} a b", "s", *[f"{n}{i}" for n in names]) for i in range(5)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixture.mix(docs)
+    assert mixed.columns == [*docs.columns, "mix_pass_", "mix_words_", "mix_position_"]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in mixed.collect() for n in names) and mixed.count() >= 5
+    leaks = spark.createDataFrame([(3, 1)], "doc_id long, k long").join(docs, "doc_id").selectExpr("doc_id", "xxhash64(text) AS text_key")
+    kept = decontaminate.remove(docs, leaks)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 4]
+
+
 def _fill(sizes, weights, budget):
     target, open_ = {}, set(sizes)
     while True:
