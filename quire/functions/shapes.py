@@ -55,6 +55,11 @@ def sampled(inputs: list[Column], samples: Column, sizes: list[int], domain: lis
     return total
 
 
+def array(functions: list, x: Column) -> list[Column]:
+    """One output from each of several functions of one input and one output, as where an array stands for a function."""
+    return [f(x) for f in functions]
+
+
 def multiply(m: list, n: list) -> list:
     """The matrix (a, b, c, d, e, f) that applies m, then n."""
     a, b, c, d, e, f = m

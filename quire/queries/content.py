@@ -81,24 +81,62 @@ def device_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*_KEY, *[v.alias(k) for k, v in named.items()])
 
 
-def _lab_sql() -> str:
-    g = "CASE WHEN {0} >= 6/29::DOUBLE THEN {0}*{0}*{0} ELSE ({0} - 4/29::DOUBLE) * (108/841::DOUBLE) END"
-    rgb = [f"({a}::DOUBLE * x + {b}::DOUBLE * y + {c}::DOUBLE * z) AS {n}" for n, (a, b, c) in zip("rgb", colour.XYZ_TO_RGB)]
-    unit = "least(greatest({}, 0.0::DOUBLE), 1.0::DOUBLE)"
-    out = [
-        f"CAST(floor({unit.format(f'(CASE WHEN {unit.format(n)} <= 0.0031308::DOUBLE THEN {unit.format(n)} * 12.92::DOUBLE ELSE pow({unit.format(n)}, 1/2.4::DOUBLE) * 1.055::DOUBLE - 0.055::DOUBLE END)')} * 255 + 0.5::DOUBLE) AS INTEGER) AS {n}"
-        for n in "rgb"
-    ]
-    return f"""WITH m AS (SELECT {_KEYS}, (l_quantity * 2 + 16) / 116 AS m, l_discount * 1000 - 50 AS a_, l_tax * 1000 - 40 AS b_ FROM lineitem),
-n AS (SELECT {_KEYS}, m, m + a_ / 500 AS l, m - b_ / 200 AS k FROM m),
-o AS (SELECT {_KEYS}, ({g.format("l")}) * 0.9505::DOUBLE AS x, ({g.format("m")}) * 1.0::DOUBLE AS y, ({g.format("k")}) * 1.089::DOUBLE AS z FROM n),
-p AS (SELECT {_KEYS}, {", ".join(rgb)} FROM o) SELECT {_KEYS}, {", ".join(out)} FROM p"""
-
-
-@query(_lab_sql())
+_D50 = (0.9642, 1.0, 0.8249)
+_SRGB = (0.4124, 0.2126, 0.0193, 0.3576, 0.7152, 0.1192, 0.1805, 0.0722, 0.9505)
+
+
+def _cie_sql() -> str:
+    """Written out step by step: XYZ, its cone responses scaled from the white point to D65's, linear RGB, the curve."""
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    dot = lambda m, v: " + ".join(f"{d(a)} * {x}" for a, x in zip(m, v))
+    cones = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
+    back = ((0.9869929, -0.1470543, 0.1599627), (0.4323053, 0.5183603, 0.0492912), (-0.0085287, 0.0400428, 0.9684867))
+    rgb = ((3.2406, -1.5372, -0.4986), (-0.9689, 1.8758, 0.0415), (0.0557, -0.2040, 1.0570))
+    cube = "CASE WHEN {0} > 6 / 29::DOUBLE THEN {0} * {0} * {0} ELSE 3 * (6 / 29::DOUBLE) * (6 / 29::DOUBLE) * ({0} - 4 / 29::DOUBLE) END"
+    g = [f"pow(least(greatest({x}, 0::DOUBLE), 1::DOUBLE), {d(k)})" for x, k in (("c1", 2.2), ("c2", 1.8), ("c3", 2.4))]
+    spaces = {
+        "lab": [f"({cube.format(t)}) * {d(w)}" for t, w in zip(("m + a_ / 500", "m", "m - b_ / 200"), _D50)],
+        "gray": [f"{g[0]} * {d(w)}" for w in _D50],
+        "cal": [" + ".join(f"{d(_SRGB[3 * i + j])} * {g[i]}" for i in range(3)) for j in range(3)],
+    }
+    spaces["lab"] = [f"({cube.format('(' + t + ')')}) * {d(w)}" for t, w in zip(("m + a_ / 500", "m", "m - b_ / 200"), _D50)]
+    white = {"lab": "w50", "gray": "w50", "cal": "w65"}
+    rows = " UNION ALL ".join(f"SELECT {_KEYS}, '{k}' AS space, '{white[k]}' AS w, {', '.join(f'{e} AS {n}' for e, n in zip(v, 'xyz'))} FROM i" for k, v in spaces.items())
+    out = ", ".join(f"CAST(floor(255 * CASE WHEN u{i} <= 0.0031308 THEN u{i} * 12.92::DOUBLE ELSE 1.055::DOUBLE * pow(u{i}, 1 / 2.4::DOUBLE) - 0.055::DOUBLE END + 0.5) AS INTEGER) AS {n}" for i, n in enumerate("rgb"))
+    scale = [f"CASE WHEN w = 'w65' THEN 1::DOUBLE ELSE ({dot(c, [d(0.95047), d(1), d(1.08883)])}) / ({dot(c, [d(v) for v in _D50])}) END" for c in cones]
+    return f"""WITH i AS (SELECT {_KEYS}, (l_quantity * 2 + 16) / 116 AS m, l_discount * 1000 - 50 AS a_, l_tax * 1000 - 40 AS b_, l_discount * 10 AS c1, l_tax * 12.5 AS c2, l_quantity / 50 AS c3 FROM lineitem),
+v AS ({rows}), k AS (SELECT *, {", ".join(f"({dot(c, 'xyz')}) * ({s}) AS k{i}" for i, (c, s) in enumerate(zip(cones, scale)))} FROM v),
+a AS (SELECT *, {", ".join(f"CASE WHEN w = 'w65' THEN {n} ELSE {dot(b, ['k0', 'k1', 'k2'])} END AS a{i}" for i, (b, n) in enumerate(zip(back, 'xyz')))} FROM k),
+u AS (SELECT *, {", ".join(f"least(greatest({dot(r, ['a0', 'a1', 'a2'])}, 0::DOUBLE), 1::DOUBLE) AS u{i}" for i, r in enumerate(rgb))} FROM a) SELECT {_KEYS}, space, {out} FROM u"""
+
+
+@query(_cie_sql())
 def cie_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, g, b = colour.lab(F.expr("l_quantity * 2"), F.expr("l_discount * 1000 - 50"), F.expr("l_tax * 1000 - 40"))
-    return table(spark, sf_dir, "lineitem").select(*_KEY, r.alias("r"), g.alias("g"), b.alias("b"))
+    """Lab and calibrated gray under D50, calibrated RGB under D65."""
+    c = [F.expr(x) for x in ("l_discount * 10", "l_tax * 12.5D", "l_quantity / 50")]
+    found = {
+        "lab": colour.lab(F.expr("l_quantity * 2"), F.expr("l_discount * 1000 - 50"), F.expr("l_tax * 1000 - 40"), _D50),
+        "gray": colour.cal_gray(c[0], _D50, 2.2),
+        "cal": colour.cal_rgb(*c, gamma=(2.2, 1.8, 2.4), matrix=_SRGB),
+    }
+    parts = [F.struct(F.lit(k).alias("space"), *[x.alias(n) for n, x in zip("rgb", v)]) for k, v in found.items()]
+    return table(spark, sf_dir, "lineitem").select(*_KEY, F.explode(F.array(*parts)).alias("p")).select(*_KEY, "p.*")
+
+
+_TINT = "CAST(floor(least(greatest({}, 0.0), 1.0) * 255 + 0.5) AS INTEGER)"
+
+
+@query(f"""WITH i AS (SELECT {_KEYS}, least(greatest(l_discount * 10, 0), 1) AS t, least(greatest(l_tax * 12.5, 0), 1) AS u FROM lineitem)
+SELECT {_KEYS}, {_TINT.format("1 - least(CAST(1 AS DOUBLE), t * 0.2 + t * 0.1)")} AS r, {_TINT.format("1 - least(CAST(1 AS DOUBLE), t * 0.9 + t * 0.1)")} AS g, {_TINT.format("1 - least(CAST(1 AS DOUBLE), t * 0.5 + t * 0.1)")} AS b,
+{_TINT.format("1 * (1 - t) * (1 - u) + 0.25 * t * (1 - u) + 0.5 * (1 - t) * u + 0.0 * t * u")} AS dr, {_TINT.format("sqrt(t)")} AS dg FROM i""")
+def ink_tints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A separation into CMYK by an exponential function, and two inks into RGB by a sampled one and an array of functions."""
+    t, u = F.expr("l_discount * 10"), F.expr("l_tax * 12.5D")
+    one = colour.tinted([t], lambda x: shapes.exponential(x, [0.0] * 4, [0.2, 0.9, 0.5, 0.1], 1.0), colour.cmyk)
+    grid = F.array(*map(F.lit, (1.0, 0.25, 0.5, 0.0)))
+    root = shapes.array([lambda x: shapes.exponential(x, [0.0], [1.0], 0.5)[0]], t)
+    two = colour.tinted([t, u], lambda x, y: [shapes.sampled([x, y], grid, [2, 2], [(0.0, 1.0)] * 2), *root, F.lit(0.0)], colour.rgb)
+    return table(spark, sf_dir, "lineitem").select(*_KEY, *[x.alias(n) for n, x in zip("rgb", one)], two[0].alias("dr"), two[1].alias("dg"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN last IS NULL THEN 'Raw' WHEN last = 'FlateDecode' THEN 'Flate' WHEN last = 'LZWDecode' THEN 'Lzw' WHEN last = 'RunLengthDecode' THEN 'RunLength' WHEN last = 'DCTDecode' THEN 'Jpeg' WHEN last = 'JPXDecode' THEN 'Jpeg2000' ELSE 'Other' END AS family

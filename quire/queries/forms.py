@@ -14,7 +14,7 @@ from .graph import _TREE_SQL, _tree
 _FIELDS_SQL = f"""{_TREE_SQL}, fd AS (
   SELECT node, parent, CASE WHEN node % 13 = 0 THEN 'Field' || node ELSE name END AS name,
     CASE WHEN node < 1000 THEN 'Tx' WHEN node < 1000000 AND node % 4 = 1 THEN 'Btn' WHEN node < 1000000 AND node % 4 = 2 THEN 'Ch' WHEN node % 50 = 3 THEN 'Sig' END AS ft,
-    CASE WHEN node < 1000 THEN 0 WHEN node % 3 = 0 THEN (node * 32768) % 262144 END AS ff FROM tree WHERE node < 1000000000
+    CASE WHEN node < 1000 THEN 0 WHEN node % 3 = 0 THEN (node * 32768) % 262144 END AS ff FROM tree
 ), fl AS (
   SELECT node, name AS full_name, ft, ff FROM fd WHERE parent IS NULL
   UNION ALL SELECT d.node, f.full_name || '.' || d.name, coalesce(d.ft, f.ft), coalesce(d.ff, f.ff) FROM fd d JOIN fl f ON d.parent = f.node
@@ -22,7 +22,7 @@ _FIELDS_SQL = f"""{_TREE_SQL}, fd AS (
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tree(spark, sf_dir).where("node < 1000000000").selectExpr(
+    rows = _tree(spark, sf_dir).selectExpr(
         "node", "parent", "if(node % 13 = 0, null, name) AS name",
         "CASE WHEN node < 1000 THEN 'Tx' WHEN node < 1000000 AND node % 4 = 1 THEN 'Btn' WHEN node < 1000000 AND node % 4 = 2 THEN 'Ch' WHEN node % 50 = 3 THEN 'Sig' END AS ft",
         "CASE WHEN node < 1000 THEN 0L WHEN node % 3 = 0 THEN (node * 32768) % 262144 END AS ff",

@@ -64,27 +64,62 @@ def fn_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 _B, _S = "CAST(floor(l_discount * 2550) AS INTEGER)", "CAST(floor(l_tax * 3187.5) AS INTEGER)"
 
 
-def _sql_blend(text: str) -> str:
-    import re
+#: Written out for DuckDB from the formulas of the imaging model, apart from those that the operator runs.
+_BLEND_SQL = """SELECT KEYS, s AS normal, s * b // 255 AS multiply, s + b - s * b // 255 AS screen,
+  CASE WHEN b >= 128 THEN s + (2 * b - 255) - s * (2 * b - 255) // 255 ELSE 2 * b * s // 255 END AS overlay,
+  CASE WHEN b < s THEN b ELSE s END AS darken, CASE WHEN b < s THEN s ELSE b END AS lighten,
+  CASE WHEN s = 255 THEN 255 WHEN b * 255 // (255 - s) > 255 THEN 255 ELSE b * 255 // (255 - s) END AS colordodge,
+  CASE WHEN s = 0 THEN 0 WHEN (255 - b) * 255 // s > 255 THEN 0 ELSE 255 - (255 - b) * 255 // s END AS colorburn,
+  CASE WHEN s >= 128 THEN b + (2 * s - 255) - b * (2 * s - 255) // 255 ELSE 2 * s * b // 255 END AS hardlight,
+  CASE WHEN s >= 128 THEN b + (2 * s - 255) * (CAST(CASE WHEN b >= 64 THEN round(255 * sqrt(b / 255.0::DOUBLE)) ELSE floor(255 * (16 * pow(b / 255.0::DOUBLE, 3) - 12 * pow(b / 255.0::DOUBLE, 2) + 4 * b / 255.0::DOUBLE) + 1e-9) END AS INTEGER) - b) // 255
+    ELSE b - (255 - 2 * s) * b * (255 - b) // 255 // 255 END AS softlight,
+  CASE WHEN b < s THEN s - b ELSE b - s END AS difference, b + s - 2 * b * s // 255 AS exclusion FROM x"""
+
+
+@query(f"WITH x AS (SELECT *, CAST(l_extendedprice * 100 AS BIGINT) % 256 AS b, (CAST(l_orderkey AS BIGINT) * 7 + l_partkey) % 256 AS s FROM lineitem), r AS ({_BLEND_SQL.replace('KEYS', _KEYS)}) SELECT {_KEYS}, " + ", ".join(f"CAST({n.lower()} AS INTEGER) AS {n.lower()}" for n in blend.SEPARABLE) + " FROM r")
+def blend_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(*_KEY, F.expr("cast(cast(round(l_extendedprice * 100) as bigint) % 256 as int)").alias("b"), F.expr("cast((l_orderkey * 7 + l_partkey) % 256 as int)").alias("s"))
+    return rows.select(*_KEY, *[blend.separable(n, "b", "s").alias(n.lower()) for n in blend.SEPARABLE])
 
-    text = re.sub(r"\bif\(", "IF(", text).replace(" div ", " // ")
-    return text
 
+_BACK = {"br": "(l_orderkey * 7) % 256", "bg": "(l_partkey * 3) % 256", "bb": "(l_suppkey * 11 + l_linenumber) % 256"}
+_SOURCE = {"sr": "(l_partkey * 5) % 256", "sg": "(l_orderkey * 13 + l_suppkey) % 256", "sb": "(l_linenumber * 36) % 256"}
 
-@query(f"WITH x AS (SELECT *, {_B} AS b, {_S} AS s FROM lineitem) SELECT {_KEYS}, " + ", ".join(f"CAST({_sql_blend(t)} AS INTEGER) AS {n.lower()}" for n, t in blend.SEPARABLE.items()) + " FROM x")
-def blend_separable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(*_KEY, F.floor(F.col("l_discount") * 2550).cast("int").alias("b"), F.floor(F.col("l_tax") * 3187.5).cast("int").alias("s"))
-    return rows.select(*_KEY, *[blend.separable(n, "b", "s").alias(n.lower()) for n in blend.SEPARABLE])
+
+def _non_separable_sql() -> str:
+    """Each mode: the colour that is moved (c), and the luminosity that it gets (t); then moved, then clipped below, then above."""
+    sat = "CASE WHEN greatest({0}r, {0}g, {0}b) = least({0}r, {0}g, {0}b) THEN 0 ELSE ({0}{2} - least({0}r, {0}g, {0}b)) * (greatest({1}r, {1}g, {1}b) - least({1}r, {1}g, {1}b)) // (greatest({0}r, {0}g, {0}b) - least({0}r, {0}g, {0}b)) END"
+    lum = "({0}r * 30 + {0}g * 59 + {0}b * 11) // 100"
+    kinds = {"hue": ("s", "b", "b"), "saturation": ("b", "s", "b"), "color": ("s", None, "b"), "luminosity": ("b", None, "s")}
+    rows = " UNION ALL ".join(
+        f"SELECT {_KEYS}, '{k}' AS mode, " + ", ".join(f"{sat.format(c, of, x) if of else c + x} AS c{x}" for x in "rgb") + f", {lum.format(t)} AS t FROM x" for k, (c, of, t) in kinds.items()
+    )
+    cast = ", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in (_BACK | _SOURCE).items())
+    return f"""WITH x AS (SELECT {_KEYS}, {cast} FROM lineitem), c AS ({rows}),
+d AS (SELECT {_KEYS}, mode, {", ".join(f"c{x} + t - {lum.format('c')} AS d{x}" for x in "rgb")} FROM c),
+e AS (SELECT *, {lum.format("d")} AS l, least(dr, dg, db) AS lo, greatest(dr, dg, db) AS hi FROM d),
+f AS (SELECT *, {", ".join(f"CASE WHEN lo < 0 THEN l + (d{x} - l) * l // (l - lo) ELSE d{x} END AS e{x}" for x in "rgb")} FROM e)
+SELECT {_KEYS}, mode, {", ".join(f"CAST(CASE WHEN hi > 255 THEN l + (e{x} - l) * (255 - l) // (hi - l) ELSE e{x} END AS INTEGER) AS {x}" for x in "rgb")} FROM f"""
 
 
-@query(f"""WITH x AS (SELECT *, l_discount * 10 AS r, l_tax * 12.5 AS g, l_quantity / 50 AS b, l_extendedprice / 104998 AS lum FROM lineitem),
-m AS (SELECT *, r + (lum - (0.3 * r + 0.59 * g + 0.11 * b)) AS r1, g + (lum - (0.3 * r + 0.59 * g + 0.11 * b)) AS g1, b + (lum - (0.3 * r + 0.59 * g + 0.11 * b)) AS b1 FROM x),
-n AS (SELECT *, least(r1, g1, b1) AS lo, greatest(r1, g1, b1) AS hi, 0.3 * r1 + 0.59 * g1 + 0.11 * b1 AS l1 FROM m)
-SELECT {_KEYS}, """ + ", ".join(f"round(CASE WHEN hi > 1 AND NOT lo < 0 THEN l1 + ({c}1 - l1) * (1 - l1) / (hi - l1) WHEN lo < 0 THEN l1 + ({c}1 - l1) * l1 / (l1 - lo) ELSE {c}1 END, 6) AS {c}" for c in "rgb") + " FROM n")
+@query(_non_separable_sql())
 def blend_nonseparable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hue and saturation of one colour at the luminosity of another."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*_KEY, "l_discount * 10 AS r", "l_tax * 12.5D AS g", "l_quantity / 50 AS b", "l_extendedprice / 104998 AS lum")
-    return rows.select(*_KEY, *[F.round(c, 6).alias(n) for n, c in zip("rgb", blend.with_luminosity(["r", "g", "b"], "lum"))])
+    """All modes that need the three channels at once, a row for each."""
+    rows = table(spark, sf_dir, "lineitem").select(*_KEY, *[F.expr(f"cast({v} as int)").alias(k) for k, v in (_BACK | _SOURCE).items()])
+    for m in blend.NON_SEPARABLE:
+        rows = blend.non_separable(rows, m, list(_BACK), list(_SOURCE), [f"{m}_{x}" for x in "rgb"])
+    found = [F.struct(F.lit(m.lower()).alias("mode"), *[F.col(f"{m}_{x}").alias(x) for x in "rgb"]) for m in blend.NON_SEPARABLE]
+    return rows.select(*_KEY, F.explode(F.array(*found)).alias("m")).select(*_KEY, "m.*")
+
+
+@query(f"""WITH x AS (SELECT {_KEYS}, l_partkey % 256 AS b, (l_orderkey * 3) % 256 AS s, (l_suppkey * 5) % 256 AS ba, (l_linenumber * 40) % 256 AS sa FROM lineitem),
+y AS (SELECT *, b * s // 255 AS m, ba / 255.0::DOUBLE AS p, sa / 255.0::DOUBLE AS q FROM x), z AS (SELECT *, p + q - p * q AS u FROM y)
+SELECT {_KEYS}, CAST(CASE WHEN sa = 0 THEN b ELSE floor((1 - q / u) * b + (q / u) * ((1 - p) * s + p * m) + 0.5) END AS INTEGER) AS c, CAST(CASE WHEN sa = 0 THEN ba ELSE floor(u * 255 + 0.5) END AS INTEGER) AS a FROM z""")
+def composite_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multiply over a backdrop that is transparent itself."""
+    rows = table(spark, sf_dir, "lineitem").select(*_KEY, *[F.expr(f"cast({v} as int)").alias(k) for k, v in (("b", "l_partkey % 256"), ("s", "(l_orderkey * 3) % 256"), ("ba", "(l_suppkey * 5) % 256"), ("sa", "(l_linenumber * 40) % 256"))])
+    c, a = blend.composite_alpha([F.col("b"), F.col("ba")], [F.col("s"), F.col("sa")], [blend.separable("Multiply", "b", "s")])
+    return rows.select(*_KEY, c.alias("c"), a.alias("a"))
 
 
 @query(f"SELECT {_KEYS}, CAST(floor({_B} * (1 - l_quantity / 50) + {_S} * (l_quantity / 50) + 0.5) AS INTEGER) AS c FROM lineitem")
