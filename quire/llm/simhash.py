@@ -31,7 +31,7 @@ ORDERS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uin
 #: Smaller sets that are not equal are less alike than 0.8.
 LEAST_SET = 4
 #: Rows, and bytes of sets, of a group that one task compares; larger groups are split into pairs of chunks.
-SKETCHES, SET_BYTES = 32768, 1 << 25
+SKETCHES, SET_BYTES = 1024, 1 << 25
 #: Pairs whose estimated similarity is lower by this, over five standard errors, are not compared by their sets.
 DOUBT = 0.1
 
@@ -287,13 +287,12 @@ def links(classes: DataFrame, radius: int, scratch: Scratch, sig_bits: int | Non
     return cut.mapInArrow(_by_group(["block", "value", "i", "j"], _near(radius, sig_bits)), "a long, b long").distinct()
 
 
-def _chunked(rows: DataFrame, keys: list[str], spread, chunk: int, scratch: Scratch, held: str = "0", most: int = 1) -> DataFrame:
+def _chunked(rows: DataFrame, keys: list[str], spread, chunk: int, scratch: Scratch) -> DataFrame:
     """rows with i and j, sorted by keys, i, j within partitions that hold whole (keys, i, j) groups.
 
-    A group of more than chunk rows, or with a sum of held of more than most, is cut into chunks by the hash spread, and
-    each chunk goes to its pairs with all.
+    A group of more than chunk rows is cut into chunks by the hash spread, and each chunk goes to its pairs with all.
     """
-    sizes = rows.groupBy(*keys).agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.sum(F.expr(held)) / most)).cast("int").alias("chunks"))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     large = scratch.keep(sizes.where("chunks > 1"))
     if large.isEmpty():
         cut = rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
@@ -305,6 +304,46 @@ def _chunked(rows: DataFrame, keys: list[str], spread, chunk: int, scratch: Scra
     return cut.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
 
+def _open_groups(rows: DataFrame, chunk: int, most: int, scratch: Scratch) -> DataFrame:
+    """rows (component, node, close, hashes, ...) of groups that have a row that isn't close, with i and j as in _chunked.
+
+    Rows that are close are known to be one group already, so of a group's chunks, of at most so many rows and bytes, only pairs with one
+    that isn't close are dealt: a row that is close goes to as many tasks as there are chunks of others.
+    """
+
+    def chunks(of):
+        n, held = F.count_if(of), F.sum(F.when(of, F.length("hashes") + BINS).otherwise(0))
+        return F.greatest(F.ceil(n / chunk), F.ceil(held / most)).cast("int")
+
+    sizes = rows.groupBy("component").agg(chunks(F.lit(True)).alias("_n"), chunks(~F.col("close")).alias("_r"), chunks(F.col("close")).alias("_a"))
+    sizes = scratch.keep(sizes.where("_r > 0"))
+    h, one = F.xxhash64("node"), F.col("_n") == 1
+    at = F.when(one, 0).when(F.col("close"), F.col("_r") + F.pmod(h, F.col("_a"))).otherwise(F.pmod(h, F.col("_r"))).cast("int")
+    parted = rows.join(sizes, "component").withColumn("_i", at)
+    pairs = F.expr(
+        "CASE WHEN _n = 1 THEN array(struct(0 AS i, 0 AS j)) WHEN close THEN transform(sequence(0, _r - 1), x -> struct(x AS i, _i AS j)) "
+        "ELSE transform(sequence(0, _r + _a - 1), x -> struct(least(_i, x) AS i, greatest(_i, x) AS j)) END"
+    )
+    cut = parted.select(*rows.columns, F.explode(pairs).alias("_p")).select(*rows.columns, "_p.i", "_p.j")
+    return cut.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+
+def _by_head(least: float):
+    """An Arrow function: members (component, node, sketch, hashes) with close, whether the set of the group's head (_sketch, _hashes) is of a similarity of least or more."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own, head = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("hashes", "_hashes"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "_sketch"))
+            may = similarity(x, y) >= least - DOUBT if len(x) else np.zeros(0, bool)
+            close = [bool(m) and jaccard(a, b) >= least for m, a, b in zip(may.tolist(), own, head)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "node", "sketch", "hashes")], pa.array(close, pa.bool_())], names=["component", "node", "sketch", "hashes", "close"])
+
+    return run
+
+
 def _rows(pa, k, value, batch, probe):
     n = batch.num_rows
     return pa.RecordBatch.from_arrays(
@@ -431,16 +470,19 @@ def _signed(sig_bits: int):
 
 
 def _similar(least: float):
-    """Edges of a group's forest: sets of a similarity of least or more, compared where sketches don't rule it out. Pairs joined already aren't compared."""
+    """Edges of a group's forest: sets of a similarity of least or more, compared where sketches don't rule it out. Pairs joined already, as all that are close, aren't compared."""
 
     def prepare(t):
         node, drawn, kept = t.column("node").to_numpy(), t.column("sketch"), t.column("hashes")
+        close = t.column("close").to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0, bool)
 
         def edges(s, e):
             n, v = e - s, node[s:e]
             x = np.frombuffer(b"".join(drawn.slice(s, n).to_pylist()), np.uint8).reshape(n, BINS)
             sets = [np.frombuffer(b, np.uint64) for b in kept.slice(s, n).to_pylist()]
-            labels = np.arange(n)
+            labels, known = np.arange(n), np.flatnonzero(close[s:e])
+            if len(known):
+                labels[known] = known[0]
             for r in range(n):
                 q = np.flatnonzero(labels[r + 1 :] != labels[r]) + r + 1
                 for i in range(0, len(q), 1024):
@@ -501,7 +543,8 @@ def keep_one(docs: DataFrame, sig_bits: int = SIG_BITS, least: float = SIMILARIT
     is computed from the sets too, so that neither repeats nor the place of a difference count. Candidates share
     one of BANDS bands of least hashes and differ in at most sig_bits of a 128-bit signature; what they reach is a
     loose group. Within each, documents link if their sets have a similarity of least or more (the verification; only
-    pairs whose sketches estimate less by over DOUBT are ruled out), and a group is what links reach. Of rows with the smallest id of a group one stays, as all are
+    pairs whose sketches estimate less by over DOUBT are ruled out), and a group is what links reach. All members are
+    compared with the smallest id of their loose group first; where some don't link with it, those are compared with all the others. Of rows with the smallest id of a group one stays, as all are
     one document. Rows without an id stay. Rows with a text of no word are one group.
     """
     scratch = Scratch(docs.sparkSession)
@@ -510,8 +553,13 @@ def keep_one(docs: DataFrame, sig_bits: int = SIG_BITS, least: float = SIMILARIT
     loose = scratch.keep(components(candidates(classes, sig_bits, scratch), scratch))
     of = loose.select(F.col("node").alias("doc_id"))
     drawn = _drawn(docs.join(of, "doc_id", "left_semi")).dropDuplicates(["node", "digest"]).join(classes.select("node", "digest"), ["node", "digest"], "left_semi")
-    cut = _chunked(scratch.keep(drawn.join(loose, "node")), ["component"], F.xxhash64("node"), SKETCHES, scratch, f"length(hashes) + {BINS}", SET_BYTES)
+    members = scratch.keep(drawn.join(loose, "node").select("component", "node", "sketch", "hashes"))
+    heads = members.where("node = component").select("component", F.col("sketch").alias("_sketch"), F.col("hashes").alias("_hashes"))
+    met = members.join(heads, "component").mapInArrow(_by_head(least), "component long, node long, sketch binary, hashes binary, close boolean")
+    met = scratch.keep(met)
+    cut = _open_groups(met, SKETCHES, SET_BYTES, scratch)
     near = cut.mapInArrow(_by_group(["component", "i", "j"], _similar(least)), "a long, b long")
+    near = near.union(met.where("close AND node <> component").select("node", "component"))
     dropped = components(near, scratch).where("node <> component").select("node")
     kept = classes.select("node").join(dropped, "node", "left_anti").select(F.col("node").alias("_id"))
     named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
