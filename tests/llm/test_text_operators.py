@@ -52,6 +52,44 @@ def test_masks_hit_every_pair_of_substitutions():
         ), gone
 
 
+def test_masks_of_short_items_hit_what_may_differ():
+    assert [decontaminate.need(n) for n in range(1, 15)] == [1, 2, 3, 4, 5, 6, 6, 7, 8, 9, 10, 11, 11, 11]
+    for n in range(1, decontaminate.WINDOW):
+        for gone in itertools.combinations(range(n), n - decontaminate.need(n)):
+            assert any(not any(x in mask for x in gone) for mask in decontaminate.masks(n)), (n, gone)
+
+
+def test_items_of_any_length_against_brute_force(spark, tmp_path):
+    import duckdb
+
+    rng, words, rows, items = np.random.default_rng(4), [f"v{i}" for i in range(400)], [], []
+    for n in range(1, 21):
+        for copy in range(3):
+            item = [f"i{n}c{copy}x{k}" for k in range(n)]
+            items.append((100 * n + copy, " ".join(item)))
+            for changed in range(4):
+                text = list(item)
+                for at in rng.choice(n, min(n, changed), replace=False):
+                    text[at] = "other"
+                pad = [list(rng.choice(words, 15)) for _ in range(2)]
+                rows.append((len(rows), " ".join([*(pad[0] if changed % 2 else []), *text, *(pad[1] if copy else [])])))
+    items += [(7, items[-1][1].upper()), (8, items[3][1] + "!"), (9, None)]
+    docs, bench = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for name, frame in (("documents", docs), ("benchmark", bench)):
+        frame.toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    sql = decontaminate.OP2_SQL
+    for name in ("documents", "benchmark"):
+        sql = sql.replace(f"FROM {name}", f"FROM '{tmp_path}/{name}.parquet'")
+    want = duckdb.sql(sql).fetchall()
+    got = decontaminate.op2_decontaminate(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r[4] for r in want}) == 13
+    assert {r.item_ids for r in got if r.item_id == 7} == {"7,2002"} and {r.item_ids for r in got if r.item_id == 8} == {"8,200"}
+    found = {r.doc_id for r in got}
+    for i, (_, text) in enumerate(rows):
+        changed, n = i % 4, 1 + i // 12
+        assert (i in found) == (min(n, changed) <= min(n, 13) - decontaminate.need(n)) or n > 13, (i, n, changed)
+
+
 def test_passages_against_brute_force(docs, empty):
     got = sorted(map(tuple, passages.remove_repeats(docs).collect()), key=str)
     starts = {}
@@ -158,9 +196,10 @@ def test_decontaminate(spark, empty):
     docs = spark.createDataFrame([(*r, "z", 3) for r in rows], SCHEMA + ", tokens string, item_id int")
     found = decontaminate.contaminated(docs, items)
     got = sorted((str(r.doc_id), r.item_id, r.n_equal, r.window) for r in found.collect())
-    assert got == [("1", 1, 11, 13), ("3", 3, 8, 8), ("7", 1, 13, 13), ("None", 1, 13, 13)]
+    assert got == [("1", 1, 11, 13), ("3", 3, 8, 8), ("4", 3, 7, 8), ("7", 1, 13, 13), ("None", 1, 13, 13)]
+    assert all(r.item_ids == ([1, 2] if r.item_id == 1 else [3]) for r in found.collect())
     kept = decontaminate.remove(docs, found)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 8, 9]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 5, 6, 8, 9]
     assert decontaminate.contaminated(empty, items).collect() == []
     assert decontaminate.contaminated(docs, items.limit(0)).collect() == []
 
