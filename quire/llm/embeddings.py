@@ -13,8 +13,8 @@ from .components import components
 
 #: Least cosine of a link.
 COSINE = 0.98
-#: Vectors a cell is meant to have, and the most pivots; a cell with more than CHUNK vectors is joined in blocks.
-CELL, PIVOTS, CHUNK = 2_000, 512, 4_096
+#: Vectors a cell is meant to have, the most pivots of a label, and of all; a cell with more than CHUNK vectors is joined in blocks.
+CELL, PIVOTS, ALL_PIVOTS, CHUNK = 2_000, 512, 8_192, 4_096
 #: Slack, in radians, for the rounding of angles when a vector's cells are chosen.
 SLACK = 1e-6
 
@@ -68,45 +68,71 @@ def _matrix(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
 
 
-PLACED = "label string, cell int, home boolean, node long, key binary, weight long, unit binary"
+PLACED = "label string, cell long, home boolean, node long, key binary, weight long, unit binary"
 
 
-def _cells(classes: DataFrame, chosen: dict[int, np.ndarray], angle: float) -> DataFrame:
+def _chosen(classes: DataFrame, cell: int, most: int) -> dict[tuple[str, int], np.ndarray]:
+    """Pivots by (label, dimension), for labels of more classes than a cell is meant to have: one for each so many, up to most.
+
+    Only equal labels meet, so a label's pivots are taken from its own vectors: of those with the least hashes, four for each pivot. At most
+    ALL_PIVOTS labels (the largest) get pivots, and at most so many pivots stand in all, whatever the number of vectors.
+    """
+    counts = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).orderBy(F.desc("n"), "label").limit(ALL_PIVOTS)
+    wanted = {r.label: min(most, math.ceil(r.n / cell)) for r in counts.collect()}
+    if not wanted:
+        return {}
+    over = max(1.0, sum(wanted.values()) / ALL_PIVOTS)
+    wanted = {label: max(1, int(k / over)) for label, k in wanted.items()}
+    sizes = {r.label: r.n for r in counts.collect()}
+    shares = classes.sparkSession.createDataFrame([(x, min(1.0, 8 * k / sizes[x])) for x, k in wanted.items()], "label string, share double")
+    h = F.xxhash64("key")
+    drawn = classes.join(F.broadcast(shares), "label").where((F.shiftrightunsigned(h, 11) / float(1 << 53)) < F.col("share"))
+    by: dict[tuple[str, int], list] = {}
+    for r in drawn.select("label", "unit", h.alias("h"), "key").collect():
+        by.setdefault((r.label, len(r.unit) // 8), []).append((r.h, bytes(r.key), bytes(r.unit)))
+    return {at: pivots(_matrix([u for _, _, u in sorted(rows)[: 4 * wanted[at[0]]]]), wanted[at[0]]) for at, rows in by.items()}
+
+
+def _cells(classes: DataFrame, chosen: dict[tuple[str, int], np.ndarray], angle: float) -> DataFrame:
     """A row of each class in its home cell (the nearest pivot's) and in every cell where a link may need it.
 
     If p and q are within the angle, p's angle to q's pivot is by the triangle inequality at most that to its own pivot
     plus twice the angle; a cell further than that needs no copy of p. The bisecting plane between the two
     pivots gives a nearer bound of the same kind (q lies beyond it, so p is within the angle of it).
-    Vectors of a dimension without pivots (none of the sample has it) share one cell.
+    Vectors of a label and dimension without pivots share one cell.
     """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            dims = np.array([len(x) // 8 for x in batch.column("unit").to_pylist()])
-            for dim in np.unique(dims):
-                some = batch.filter(pa.array(dims == dim))
-                n = some.num_rows
-                if (p := chosen.get(int(dim))) is None:
-                    cell, row, home = np.zeros(n, np.int64), np.arange(n), np.ones(n, bool)
-                else:
-                    x = _matrix(some.column("unit").to_pylist())
-                    cos = np.clip(x @ p.T, -1, 1)
-                    own = cos.argmax(axis=1)
-                    best = cos[np.arange(n), own][:, None]
-                    gap = np.sqrt(np.maximum(2 - 2 * np.clip(p @ p.T, -1, 1), 0))[own]  # between the pivots
-                    beyond = (best - cos) / np.maximum(gap, 1e-12)  # distance from the bisecting plane
-                    near = (np.arccos(cos) <= np.arccos(best) + 2 * angle + SLACK) & (beyond <= math.sin(angle) + SLACK)
-                    near[np.arange(n), own] = True
-                    row, cell = np.nonzero(near)
-                    home = cell == own[row]
-                take = some.take(pa.array(row))
-                cell = cell + 10_000 * int(dim)  # vectors of unequal dimension never meet
-                yield pa.RecordBatch.from_arrays(
-                    [take.column("label"), pa.array(cell.astype(np.int32)), pa.array(home), *[take.column(c) for c in ("node", "key", "weight", "unit")]],
-                    names=[c.split()[0] for c in PLACED.split(", ")],
-                )
+            dims = np.array([len(x) // 8 for x in batch.column("unit").to_pylist()], np.int64)
+            labels = np.array(batch.column("label").to_pylist(), object)
+            alone = np.ones(len(dims), bool)
+            rows, cells, homes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for label, dim in {x for x in zip(labels.tolist(), dims.tolist()) if x in chosen}:
+                mine = (labels == label) & (dims == dim)
+                alone &= ~mine
+                at, p = np.flatnonzero(mine), chosen[label, dim]
+                x = _matrix(batch.column("unit").take(pa.array(at)).to_pylist())
+                cos = np.clip(x @ p.T, -1, 1)
+                own = cos.argmax(axis=1)
+                best = cos[np.arange(len(at)), own][:, None]
+                gap = np.sqrt(np.maximum(2 - 2 * np.clip(p @ p.T, -1, 1), 0))[own]  # between the pivots
+                beyond = (best - cos) / np.maximum(gap, 1e-12)  # distance from the bisecting plane
+                near = (np.arccos(cos) <= np.arccos(best) + 2 * angle + SLACK) & (beyond <= math.sin(angle) + SLACK)
+                near[np.arange(len(at)), own] = True
+                row, cell = np.nonzero(near)
+                rows.append(at[row]), cells.append(cell), homes.append(cell == own[row])
+            at = np.flatnonzero(alone)
+            rows.append(at), cells.append(np.zeros(len(at), np.int64)), homes.append(np.ones(len(at), bool))
+            row, cell, home = np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
+            take = batch.take(pa.array(row))
+            cell = cell + PIVOTS * 2 * dims[row]  # vectors of unequal dimension never meet
+            yield pa.RecordBatch.from_arrays(
+                [take.column("label"), pa.array(cell), pa.array(home), *[take.column(c) for c in ("node", "key", "weight", "unit")]],
+                names=[c.split()[0] for c in PLACED.split(", ")],
+            )
 
     return classes.select("label", "node", "key", "weight", "unit").mapInArrow(run, PLACED)
 
@@ -164,8 +190,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     give no rows. Equal vectors of a label meet first as one class with a weight, so a third of all rows that are
     copies costs one row; links between classes are counted, not listed, and leave a task as a forest.
 
-    Pivots are picked on the driver from at most 4 * most vectors, least by hash of their id (a documented,
-    bounded sample, which decides the cells' shape, not the result).
+    Pivots are picked on the driver, a label's from its own vectors (a documented, bounded sample, which decides
+    the cells' shape, not the result).
     """
     scratch = Scratch(vectors.sparkSession)
     angle = math.acos(cosine)
@@ -173,11 +199,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     classes = scratch.keep(
         units.where("key IS NOT NULL").groupBy("label", "key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.any_value("unit").alias("unit"))
     )
-    k = max(1, min(most, math.ceil(classes.count() / cell)))
-    sample = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("key"), "key").select("unit").limit(4 * k).collect()]
-    chosen = {d // 8: pivots(_matrix([s for s in sample if len(s) == d]), k) for d in {len(s) for s in sample}}
-
-    placed = scratch.keep(_cells(classes, chosen, angle))
+    placed = scratch.keep(_cells(classes, _chosen(classes, cell, most), angle))
     sizes = placed.groupBy("label", "cell").agg(
         F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("blocks"), F.ceil(F.count_if("home") / chunk).cast("int").alias("homes")
     )
@@ -207,3 +229,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: Brute force over all pairs of a label, then what links reach.
+OP3_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CASE WHEN label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+    THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e FROM embeddings
+), u AS (
+  SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(n)) AS e FROM (SELECT *, list_sum(list_transform(e, lambda x: x * x)) AS n FROM v WHERE e IS NOT NULL) WHERE n > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.98
+), r AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""

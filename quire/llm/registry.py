@@ -16,10 +16,11 @@ QUERIES = {
     "op9_passages": passages.op9_passages,
     "op10_simhash": simhash.op10_simhash,
 }
-#: The others (3, 4, 7, 8, 10) have no SQL; tests/llm holds them against brute force, labelled pages or held-out labels.
+#: The others (4, 7, 8, 10) have no SQL; tests/llm holds them against brute force, labelled pages or held-out labels.
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op3_embeddings": embeddings.OP3_SQL,
     "op5_licences": licences.OP5_SQL,
     "op6_mixture": mixture.OP6_SQL,
     "op9_passages": passages.OP9_SQL,
