@@ -190,7 +190,7 @@ def _marked(docs: DataFrame, spots: DataFrame) -> DataFrame:
     has a window does not depend on the row. A document has no more marks than words.
     """
     marks = spots.groupBy("doc_id").agg(F.collect_list("hash").alias("marks"))
-    return docs.join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "copy", "marks")
+    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "copy", "marks")
 
 
 def _texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -205,7 +205,7 @@ def _texts(docs: DataFrame, scratch: Scratch) -> DataFrame:
     first = ids.groupBy("k", "k1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     copies = ids.join(scratch.keep(first), ["k", "k1"]).where("low < doc_id").groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
     copies = scratch.keep(copies)
-    rows = docs.join(copies.hint("shuffle_hash"), "doc_id", "left")
+    rows = docs.join(copies, "doc_id", "left")
     return rows.select("doc_id", "text", F.coalesce(F.array_contains("ks", F.xxhash64("text")), F.lit(False)).alias("copy"))
 
 
