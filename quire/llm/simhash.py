@@ -233,7 +233,7 @@ def allocate(sample: np.ndarray, radius: int, n: int, most: int = 12) -> list[tu
 
     Two fingerprints within radius bits agree, in some of m groups, within its threshold, if the
     thresholds add up to radius - m + 1 (a group at -1 is not probed). For each m, dynamic programming over the groups
-    finds the thresholds of least cost; the cheapest m wins.
+    finds the thresholds of least cost; the cheapest m wins. Radius 0 needs no probe: equal fingerprints are one class before.
     """
     best = (math.inf, [])
     for m in range(2, min(most, radius + 1) + 1):

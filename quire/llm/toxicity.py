@@ -35,8 +35,8 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 #: Labelled documents, least by hash of their id, from which words and weights are learned; texts are whole.
 TRAIN_DOCS = 20_000
-#: Contexts in which a learned word must stand in toxic documents, its least share of toxic contexts, and the most words learned.
-LEAST, SHARE, MOST = 8, 0.9, 1_000
+#: Contexts in which a learned word must stand in toxic documents, and its least share of toxic contexts.
+LEAST, SHARE = 8, 0.9
 #: Different words that a stem must stand for.
 STEM_WORDS = 5
 #: Lengths of the beginnings of words that are tried as patterns.
@@ -162,7 +162,8 @@ def learned_patterns(train: DataFrame) -> dict[str, float]:
     """Words and stems that stand almost only in toxic texts, with their strength.
 
     Counts are of distinct contexts (the word before and the word after), so that copies of a passage
-    count once. A stem stands for the words that begin with it, where no shorter stem is found.
+    count once. A stem stands for the words that begin with it, where no shorter stem is found. The words of at most TRAIN_DOCS texts are
+    counted, and each found takes LEAST contexts, so that what is gathered here is bounded.
     """
     words = train.select("toxic", F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}']+", " ")), " ").alias("w"))
     spots = F.expr("transform(w, (x, i) -> struct(x AS word, xxhash64(get(w, i - 1), get(w, i + 1)) AS context))")
@@ -175,7 +176,7 @@ def learned_patterns(train: DataFrame) -> dict[str, float]:
     good = (F.col("t") >= LEAST) & (F.col("t") >= SHARE * (F.col("t") + F.col("c")))
     words = counts.where(good).select("word", "t", "c", F.lit(False).alias("stem"))
     found = stems.where(good & (F.col("n") >= STEM_WORDS)).select("word", "t", "c", F.lit(True).alias("stem")).union(words)
-    rows = found.orderBy(F.col("t").desc(), "word", "stem").limit(MOST).collect()
+    rows = found.collect()
     out: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (not r["stem"], len(r["word"]), r["word"])):
         word = r["word"]

@@ -150,7 +150,8 @@ def test_plan_of_groups_finds_every_pair(radius):
     sample = rng.integers(0, 2**63, 300, dtype=np.uint64)
     for n in (1_000, 10**7, 10**10):
         plan = simhash.allocate(sample, max(1, radius), n)
-        assert sum(t for _, t in plan) - 0 >= max(1, radius) - 64
+        assert sum(t + 1 for _, t in plan) == max(1, radius) + 1 and all(t >= 0 for _, t in plan)
+        assert len({b for bits, _ in plan for b in bits}) == sum(len(bits) for bits, _ in plan)
         for _ in range(300):
             flip = rng.choice(64, radius, replace=False)
             assert any(sum(b in bits for b in flip) <= t for bits, t in plan)
@@ -173,6 +174,32 @@ def test_links_in_chunks_equal_links_at_once(spark):
     assert got[4096] == got[7] and len(got[7]) > 10
 
 
+def test_groups_of_thousands_of_fingerprints_against_brute_force(spark):
+    from quire.llm.common import Scratch
+
+    rng = np.random.default_rng(21)
+    base = rng.integers(0, 2**63, 900, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 900).astype(np.uint64)
+    fps = [base]
+    for bits in range(1, 5):  # flips planted over all places, alone and as chains
+        for at in range(64):
+            flip = np.uint64(sum(1 << int((at + k * 17) % 64) for k in range(bits)))
+            fps.append(rng.choice(base, 8) ^ flip)
+    fps = np.unique(np.concatenate(fps))
+    rng.shuffle(fps)
+    near = [np.flatnonzero(np.bitwise_count(fps ^ x) <= 2) for x in fps]
+    low = np.arange(len(fps))
+    while True:
+        then = np.array([low[n].min() for n in near])
+        then = np.minimum(then, low)
+        if (then == low).all():
+            break
+        low = then
+    rows = [(i, int(x), b"") for i, x in enumerate(fps.view(np.int64))]
+    got = {r.fp: r.component for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, fp long, sig binary").repartition(5), 2, Scratch(spark)).collect()}
+    assert len(fps) > 2500 and (low != np.arange(len(fps))).sum() > 800
+    assert [got[r[1]] for r in rows] == low.tolist()
+
+
 def test_keep_one_of_each_group(spark, empty):
     near = PASSAGE + " " + LONG[:3000]
     rows = [(1, near), (2, near.replace("seven", "sieben")), (2, near.replace("seven", "sieben")), (3, LONG[9000:12000]), (None, near), (4, None), (5, "")]
@@ -383,6 +410,44 @@ def test_grammar_marks():
     assert s.score(None) == s.score("") < 0.1 < 0.5 < s.score("you idiot")
 
 
+def _plain_features(kinds):
+    """The grammar read off a clause, word by word: what of the three marks each insult and threat has, the first of said, not and target that holds."""
+    out = dict.fromkeys(toxicity.NAMES, 0.0)
+    for i, k in enumerate(kinds):
+        if k in "IT":
+            mark = "said" if "R" in kinds[:i] else "not" if "N" in kinds[max(0, i - 3) : i] else "target" if "Y" in kinds[max(0, i - 3) : i] else ""
+            name = f"{k}+{mark}" if mark else k
+            if name in out:
+                out[name] += 1.0
+    return out
+
+
+def test_grammar_against_a_plain_reading():
+    rng = np.random.default_rng(8)
+    words = {"I": ["idiot", "moron", "rotzig"], "T": ["kill", "hurt"], "Y": ["you", "they"], "N": ["not", "never"], "R": ["said", "wrote"], "o": ["and", "table", "green", "of"]}
+    s = toxicity.Scorer({"idiot": 1.0, "moron": 1.0, "rotz*": 1.0}, toxicity.PRIOR)
+    seen = set()
+    for _ in range(4_000):
+        clauses = [rng.choice(list("ITYNRooo"), rng.integers(1, 12)).tolist() for _ in range(rng.integers(1, 4))]
+        text = "; ".join(" ".join(str(rng.choice(words[k])) for k in c) for c in clauses)
+        want = dict.fromkeys(toxicity.NAMES, 0.0)
+        for c in clauses:
+            for name, x in _plain_features(c).items():
+                want[name] += x
+        assert dict(zip(toxicity.NAMES, s.features(text))) == want, text
+        seen |= {n for n, x in want.items() if x}
+    assert seen == set(toxicity.NAMES)
+
+
+def test_scores_of_held_out_documents_of_the_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op8_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    right = sum(r.predicted == labels[r.doc_id] for r in rows)
+    toxic = [r for r in rows if labels[r.doc_id]]
+    assert len(rows) > 50 and right / len(rows) >= 0.95 and sum(r.predicted for r in toxic) / len(toxic) >= 0.8
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark, empty):
     rng = np.random.default_rng(0)
     fill = lambda: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in rng.integers(0, 500, 30))
