@@ -33,25 +33,6 @@ def chase(objects: DataFrame, hops: int = HOPS) -> DataFrame:
     return at.join(ends, F.col("to") == F.col("_e"), "left").select("obj", F.col("_e").alias("target"))
 
 
-def best_scored(wanted: DataFrame, have: DataFrame, name: str, group: str, order: str) -> DataFrame:
-    """wanted with best, the name in have that is equal, else the best scored of the same group: 4 for an equal first word, 2 for an equal
-    length, 1 for any; of equal scores the first by order. Null if the group has none.
-
-    have is reduced to the first name of each (group, first word), (group, length) and group, so that all joins are equalities.
-    """
-    first = lambda c: F.substring_index(c, " ", 1)
-    pick = F.min(F.struct(F.col(order), F.col(name).alias("n")))["n"]
-    exact = have.groupBy(F.col(name).alias("_n"), F.col(group).alias("_g")).agg(F.lit(True).alias("_same"))
-    word_length = have.groupBy(F.col(group).alias("_g"), first(F.col(name)).alias("_w"), F.length(name).alias("_l")).agg(pick.alias("_6"))
-    word = have.groupBy(F.col(group).alias("_g"), first(F.col(name)).alias("_w")).agg(pick.alias("_5"))
-    length = have.groupBy(F.col(group).alias("_g"), F.length(name).alias("_l")).agg(pick.alias("_3"))
-    some = have.groupBy(F.col(group).alias("_g")).agg(pick.alias("_1"))
-    rows = wanted.withColumns({"_g": F.col(group), "_n": F.col(name), "_w": first(F.col(name)), "_l": F.length(name)})
-    rows = rows.join(exact, ["_n", "_g"], "left").join(word_length, ["_g", "_w", "_l"], "left").join(word, ["_g", "_w"], "left")
-    rows = rows.join(length, ["_g", "_l"], "left").join(some, "_g", "left")
-    return rows.select(*wanted.columns, F.when(F.col("_same"), F.col(name)).otherwise(F.coalesce("_6", "_5", "_3", "_1")).alias("best"))
-
-
 def interval(x: Column, bounds: list[float]) -> Column:
     """The place of the first bound above x; the number of bounds if there is none. Bounds needn't ascend."""
     out = F.lit(len(bounds))

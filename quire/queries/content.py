@@ -190,14 +190,6 @@ def largest_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes")).orderBy(F.desc("bytes"), "doc_id").limit(32)
 
 
-_REASON = "CASE WHEN l_quantity < 5 THEN 'TooSmall' WHEN l_returnflag = 'R' THEN 'Unsupported' WHEN l_extendedprice > 90000 THEN 'OverBudget' ELSE 'None' END"
-
-
-@query(f"SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT {_REASON} AS reason FROM lineitem) WHERE reason <> 'None' GROUP BY reason")
-def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.expr(_REASON).alias("reason")).where("reason <> 'None'").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice) FILTER (WHERE l_linenumber = 1) / sum(l_quantity) FILTER (WHERE l_linenumber = 1), 6) AS ratio FROM lineitem GROUP BY ALL")
 def sampled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = lambda c: F.sum(F.when(F.col("l_linenumber") == 1, F.col(c)))

@@ -10,7 +10,7 @@ from ..sources.tables import table
 from . import query
 
 _PLACED_SQL = """pl AS (
-  SELECT l_partkey AS image, l_linenumber AS page, l_orderkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
+  SELECT l_partkey AS image, l_linenumber AS page, l_orderkey, l_suppkey,
     CASE WHEN l_quantity % 17 = 0 AND l_partkey % 5 = 0 THEN NULL ELSE floor(l_extendedprice / 50) * 72 / (sqrt(l_quantity * l_quantity + (l_tax * 100) * (l_tax * 100)) * 1) END AS dx,
     CASE WHEN l_quantity % 17 = 0 AND l_partkey % 5 = 0 THEN NULL ELSE floor(l_extendedprice / 80) * 72 / (sqrt((l_discount * 10) * (l_discount * 10) + l_quantity * l_quantity) * 1) END AS dy,
     l_partkey % 7 = 0 OR (l_partkey % 11 = 0 AND l_returnflag = 'A') AS tiling FROM lineitem
@@ -22,7 +22,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = q == 0
     rows = table(spark, sf_dir, "lineitem")
     return rows.select(
-        F.col("l_partkey").alias("image"), F.col("l_linenumber").alias("page"), "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+        F.col("l_partkey").alias("image"), F.col("l_linenumber").alias("page"), "l_orderkey", "l_suppkey",
         images.dpi(F.floor(F.col("l_extendedprice") / 50), q, F.when(zero, 0.0).otherwise(F.col("l_tax") * 100), F.lit(1.0)).alias("dx"),
         images.dpi(F.floor(F.col("l_extendedprice") / 80), F.when(zero, 0.0).otherwise(F.col("l_discount") * 10), q, F.lit(1.0)).alias("dy"),
         F.expr("l_partkey % 7 = 0 OR (l_partkey % 11 = 0 AND l_returnflag = 'A')").alias("tiling"),
@@ -34,56 +34,127 @@ def effective_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(spark, sf_dir).select("image", "page", "l_orderkey", "l_suppkey", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
 
 
-_SUMMARY_SQL = f"""{_PLACED_SQL}, sm AS (
-  SELECT image, min(dx) AS dpi_x, min(dy) AS dpi_y,
-    first(page ORDER BY least(dx, dy) NULLS LAST, l_orderkey, page, l_suppkey) FILTER (WHERE dx IS NOT NULL AND dy IS NOT NULL) AS page,
-    CASE WHEN bool_or(dx IS NULL OR dy IS NULL) OR (bool_or(tiling) AND bool_or(NOT tiling)) THEN 'Unmeasured' WHEN bool_or(tiling) THEN 'TilingPatternOnly' ELSE 'Measured' END AS kind
-  FROM pl GROUP BY image
+#: Each part is an image that order lines draw; suppliers are images that are only listed, and a part and a supplier are also soft masks.
+_SUMMARY_SQL = f"""{_PLACED_SQL}, st AS (SELECT *, CASE WHEN tiling THEN 't' WHEN dx IS NULL OR dy IS NULL THEN 'u' ELSE 'm' END AS s, row_number() OVER (PARTITION BY image ORDER BY page, l_orderkey, l_suppkey) AS nth FROM pl),
+ag AS (SELECT image, list_sort(list_distinct(list(s))) AS kinds, min(dx) FILTER (s = 'm') AS x, min(dy) FILTER (s = 'm') AS y, arg_min(page, nth) AS first_, min(least(dx, dy)) FILTER (s = 'm') AS low FROM st GROUP BY image),
+lo AS (SELECT st.image, arg_min(page, nth) AS page FROM st JOIN ag ON st.image = ag.image AND s = 'm' AND least(dx, dy) = low GROUP BY st.image),
+sm AS (
+  SELECT ag.image, CASE WHEN kinds = ['m'] THEN x END AS dpi_x, CASE WHEN kinds = ['m'] THEN y END AS dpi_y, CASE WHEN kinds = ['m'] THEN lo.page ELSE first_ END AS page,
+    CASE WHEN kinds = ['m'] THEN 'Measured' WHEN kinds = ['t'] THEN 'TilingPatternOnly' ELSE 'Unmeasured' END AS kind FROM ag LEFT JOIN lo ON ag.image = lo.image
+  UNION ALL SELECT 1000000 + s_suppkey, NULL, NULL, s_nationkey, 'NotPlaced' FROM supplier
 )"""
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.placement_summary(_placed(spark, sf_dir), "image", ["l_orderkey", "page", "l_suppkey"])
+    listed = table(spark, sf_dir, "supplier").selectExpr("1000000 + s_suppkey AS image", "s_nationkey AS page")
+    return images.placement_summary(_placed(spark, sf_dir), "image", ["page", "l_orderkey", "l_suppkey"], listed)
+
+
+_ROUNDED = ["image", "round(dpi_x, 6) AS dpi_x", "round(dpi_y, 6) AS dpi_y", "page", "kind"]
 
 
 @query(f"WITH {_SUMMARY_SQL} SELECT image, round(dpi_x, 6) AS dpi_x, round(dpi_y, 6) AS dpi_y, page, kind FROM sm")
 def placement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(spark, sf_dir).select("image", F.round("dpi_x", 6).alias("dpi_x"), F.round("dpi_y", 6).alias("dpi_y"), "page", "kind")
+    return _summary(spark, sf_dir).selectExpr(*_ROUNDED)
+
+
+#: Parts of one brand and size are copies of the first of them.
+_ALIAS = "SELECT image, canonical FROM (SELECT p_partkey AS image, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS canonical FROM part) WHERE image <> canonical"
 
 
-_CLASS_SQL = f"""{_SUMMARY_SQL}, cl AS (
-  SELECT p_partkey AS image, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'Mask' WHEN kind <> 'Measured' THEN kind WHEN least(dpi_x, dpi_y) > 500 * 1.5 THEN 'Downsample' ELSE 'Keep' END AS action,
-    dpi_x, dpi_y, p_size * 40 AS w, p_size * 25 AS h, p_brand, p_retailprice FROM part JOIN sm ON p_partkey = image
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "part").createOrReplaceTempView("_images_part")
+    return spark.sql(_ALIAS.replace("FROM part", "FROM _images_part"))
+
+
+_FOLD_SQL = f"""{_SUMMARY_SQL}, al AS ({_ALIAS}), rw AS (SELECT coalesce(canonical, sm.image) AS image, dpi_x, dpi_y, page, kind FROM sm LEFT JOIN al ON sm.image = al.image),
+fd AS (
+  SELECT image, CASE WHEN ks = ['Measured'] THEN x END AS dpi_x, CASE WHEN ks = ['Measured'] THEN y END AS dpi_y,
+    CASE WHEN ks = ['Measured'] THEN (SELECT min(r.page) FROM rw r WHERE r.image = g.image AND least(r.dpi_x, r.dpi_y) = g.low) ELSE coalesce(drawn, listed) END AS page,
+    CASE WHEN ks IS NULL THEN 'NotPlaced' WHEN len(ks) > 1 THEN 'Unmeasured' ELSE ks[1] END AS kind
+  FROM (SELECT image, min(dpi_x) AS x, min(dpi_y) AS y, min(least(dpi_x, dpi_y)) AS low, min(page) FILTER (kind <> 'NotPlaced') AS drawn, min(page) AS listed,
+    list_distinct(list(kind) FILTER (kind <> 'NotPlaced')) AS ks FROM rw GROUP BY image) g
 )"""
 
 
-def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image"), "p_type", "p_brand", "p_retailprice", (F.col("p_size") * 40).alias("w"), (F.col("p_size") * 25).alias("h"))
-    rows = part.join(_summary(spark, sf_dir), "image")
-    action = (
-        F.when(F.col("p_type").startswith("ECONOMY"), "Mask").when(F.col("kind") != "Measured", F.col("kind"))
-        .when(images.triggered(F.col("dpi_x"), F.col("dpi_y"), 500), "Downsample").otherwise("Keep")
+@query(f"WITH {_FOLD_SQL} SELECT image, round(dpi_x, 6) AS dpi_x, round(dpi_y, 6) AS dpi_y, page, kind FROM fd")
+def alias_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placements of copies count for the image that is written."""
+    return images.fold(_summary(spark, sf_dir), _aliases(spark, sf_dir), "image").selectExpr(*_ROUNDED)
+
+
+_IMAGES_SQL = """im AS (
+  SELECT p_partkey AS image, p_size * 40 AS w, p_size * 25 AS h, CASE WHEN p_type = 'ECONOMY' THEN 'ImageMask' WHEN p_type = 'PROMO' AND p_size < 5 THEN 'TooSmall' END AS skip,
+    CASE WHEN p_type = 'LARGE' THEN 2000000 + p_size END AS mask FROM part
+  UNION ALL SELECT 1000000 + s_suppkey, 100, 100, NULL, 2000000 + s_nationkey FROM supplier
+), mk AS (SELECT 2000000 + p_size AS image, 90 + p_size AS w, 200 - p_size AS h, CASE WHEN p_size % 10 = 3 THEN 'DecodeFailed' END AS skip FROM part GROUP BY p_size)"""
+_CLASS_SQL = f"""{_SUMMARY_SQL}, {_IMAGES_SQL}, cl AS (
+  SELECT image, page, dpi_x, dpi_y, w, h, CASE WHEN big THEN CAST(CASE WHEN dpi_x > 40 THEN greatest(1, round(w * CAST(40 AS DOUBLE) / dpi_x)) ELSE w END AS BIGINT) ELSE w END AS to_w,
+    CASE WHEN big THEN CAST(CASE WHEN dpi_y > 40 THEN greatest(1, round(h * CAST(40 AS DOUBLE) / dpi_y)) ELSE h END AS BIGINT) ELSE h END AS to_h, reason AS skip, mask
+  FROM (SELECT *, reason = 'None' AND least(dpi_x, dpi_y) > 60 AS big FROM (SELECT im.image, CASE WHEN kind <> 'NotPlaced' THEN page END AS page, dpi_x, dpi_y, w, h, mask,
+    CASE WHEN kind = 'NotPlaced' THEN 'NoPlacement' WHEN skip IS NOT NULL THEN skip WHEN kind = 'TilingPatternOnly' THEN kind WHEN kind = 'Unmeasured' THEN 'UnmeasuredPlacement' ELSE 'None' END AS reason
+  FROM im JOIN sm ON im.image = sm.image))
+), pn AS (SELECT *, CASE WHEN to_w < w OR to_h < h THEN 'Downsample' ELSE 'Keep' END AS action FROM cl)"""
+
+
+def _images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    own = part.selectExpr(
+        "p_partkey AS image", "p_size * 40 AS w", "p_size * 25 AS h", "CASE WHEN p_type = 'ECONOMY' THEN 'ImageMask' WHEN p_type = 'PROMO' AND p_size < 5 THEN 'TooSmall' END AS skip",
+        "CASE WHEN p_type = 'LARGE' THEN cast(2000000 + p_size AS bigint) END AS mask",
     )
-    return rows.withColumn("action", action)
+    listed = supplier.selectExpr("1000000 + s_suppkey AS image", "100 AS w", "100 AS h", "cast(null AS string) AS skip", "cast(2000000 + s_nationkey AS bigint) AS mask")
+    masks = part.select("p_size").distinct().selectExpr("cast(2000000 + p_size AS bigint) AS image", "90 + p_size AS w", "200 - p_size AS h", "CASE WHEN p_size % 10 = 3 THEN 'DecodeFailed' END AS skip")
+    return own.union(listed), masks
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.classify(_images(spark, sf_dir)[0], _summary(spark, sf_dir), 40.0)
 
 
-@query(f"WITH {_CLASS_SQL} SELECT image, action FROM cl")
+@query(f"WITH {_CLASS_SQL} SELECT image, page, action, skip FROM pn")
 def classify_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classes(spark, sf_dir).select("image", "action")
+    return _classes(spark, sf_dir).select("image", "page", "action", "skip")
 
 
-@query(f"WITH {_CLASS_SQL} SELECT image, CAST(greatest(1, least(w, floor(w * CAST(500 AS DOUBLE) / dpi_x + 0.5))) AS BIGINT) AS w, CAST(greatest(1, least(h, floor(h * CAST(500 AS DOUBLE) / dpi_y + 0.5))) AS BIGINT) AS h FROM cl WHERE action = 'Downsample'")
+@query(f"WITH {_CLASS_SQL} SELECT skip, count(*) AS n FROM pn WHERE skip <> 'None' GROUP BY skip")
+def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.skip_counts(_classes(spark, sf_dir))
+
+
+@query(f"WITH {_CLASS_SQL} SELECT image, CAST(to_w AS BIGINT) AS w, CAST(to_h AS BIGINT) AS h FROM pn WHERE action = 'Downsample'")
 def target_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _classes(spark, sf_dir).where("action = 'Downsample'")
-    return rows.select("image", images.target_size(F.col("w"), F.col("dpi_x"), 500.0).alias("w"), images.target_size(F.col("h"), F.col("dpi_y"), 500.0).alias("h"))
+    return rows.select("image", F.col("to_w").alias("w"), F.col("to_h").alias("h"))
 
 
-@query(f"""WITH {_CLASS_SQL}
-SELECT m AS mask, max(w) AS w, max(h) AS h, round(min(dpi_x), 6) AS dpi_x, round(min(dpi_y), 6) AS dpi_y FROM (SELECT *, image % 100 AS m FROM cl WHERE action IN ('Keep', 'Downsample')) GROUP BY m""")
+_MASK_SQL = f"""{_CLASS_SQL}, us AS (SELECT * FROM pn WHERE skip <> 'NoPlacement' AND mask IS NOT NULL), fo AS (
+  SELECT mk.image, mk.w, mk.h, mk.skip, us.image AS by_, us.page, us.dpi_x * mk.w / us.w AS x, us.dpi_y * mk.h / us.h AS y,
+    CASE WHEN us.action = 'Downsample' THEN greatest(1, least(mk.w, round(mk.w * CAST(us.to_w AS DOUBLE) / us.w))) ELSE mk.w END AS fw,
+    CASE WHEN us.action = 'Downsample' THEN greatest(1, least(mk.h, round(mk.h * CAST(us.to_h AS DOUBLE) / us.h))) ELSE mk.h END AS fh
+  FROM mk LEFT JOIN us ON us.mask = mk.image
+), mp AS (
+  SELECT image, w, h, max(skip) AS own, count(by_) AS n, max(fw) AS fw, max(fh) AS fh, min(x) AS x, min(y) AS y, arg_min(page, by_) AS first_,
+    first(page ORDER BY least(x, y), by_) FILTER (x IS NOT NULL AND y IS NOT NULL) AS low FROM fo GROUP BY image, w, h
+)"""
+
+
+@query(f"""WITH {_MASK_SQL} SELECT image, CASE WHEN n > 0 THEN CASE WHEN own IS NULL THEN coalesce(low, first_) ELSE first_ END END AS page,
+CASE WHEN n > 0 AND own IS NULL THEN round(x, 6) END AS dpi_x, CASE WHEN n > 0 AND own IS NULL THEN round(y, 6) END AS dpi_y,
+CAST(CASE WHEN n > 0 AND own IS NULL THEN fw ELSE w END AS BIGINT) AS to_w, CAST(CASE WHEN n > 0 AND own IS NULL THEN fh ELSE h END AS BIGINT) AS to_h,
+CASE WHEN n > 0 AND own IS NULL AND (fw < w OR fh < h) THEN 'Downsample' ELSE 'Keep' END AS action, CASE WHEN n = 0 THEN 'NoPlacement' ELSE coalesce(own, 'None') END AS skip FROM mp""")
 def soft_mask_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mask follows the largest of the images that use it, at the least DPI."""
-    rows = _classes(spark, sf_dir).where("action IN ('Keep', 'Downsample')").withColumn("mask", F.expr("image % 100"))
-    return rows.groupBy("mask").agg(F.max("w").alias("w"), F.max("h").alias("h"), F.round(F.min("dpi_x"), 6).alias("dpi_x"), F.round(F.min("dpi_y"), 6).alias("dpi_y"))
+    """Masks follow the images that use them."""
+    found = images.soft_masks(_images(spark, sf_dir)[1], _classes(spark, sf_dir))
+    return found.select("image", "page", F.round("dpi_x", 6).alias("dpi_x"), F.round("dpi_y", 6).alias("dpi_y"), "to_w", "to_h", "action", "skip")
+
+
+@query()
+def compression_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is written, once copies that would be written otherwise than their canonicals are no longer copies. tests/test_plans.py has the same loop in plain Python."""
+    own, masks = _images(spark, sf_dir)
+    plans, _ = images.plan(own, masks, _summary(spark, sf_dir), _aliases(spark, sf_dir), 40.0)
+    return plans.select("image", "soft", "action", "to_w", "to_h", "skip", "mask")
 
 
 @query("""WITH g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)
@@ -93,7 +164,7 @@ def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("p_brand", F.explode(images.spread(F.col("n"), 3)).alias("place"))
 
 
-_RR_SQL = """g AS (SELECT p_brand, count(*) AS n, sum(p_retailprice) AS bytes, min(p_partkey) AS first_ FROM part WHERE p_size > 47 GROUP BY p_brand),
+_RR_SQL = """g AS (SELECT p_brand, count(*) AS n, sum(p_retailprice) AS bytes, min(p_partkey) AS first_ FROM part GROUP BY p_brand),
 o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, first_) AS k FROM g),
 t AS (SELECT k, r, row_number() OVER (ORDER BY r, k) AS q FROM (SELECT k, unnest(range(0, least(n, 3))) AS r FROM o)),
 d AS (SELECT k, count(*) AS taken FROM t WHERE q <= 16 GROUP BY k)"""
@@ -101,12 +172,12 @@ d AS (SELECT k, count(*) AS taken FROM t WHERE q <= 16 GROUP BY k)"""
 
 @query(f"WITH {_RR_SQL} SELECT p_brand, n, coalesce(taken, 0) AS taken FROM o LEFT JOIN d USING (k)")
 def round_robin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "part").where("p_size > 47").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_retailprice").alias("bytes"), F.min("p_partkey").alias("first_"))
+    groups = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.sum("p_retailprice").alias("bytes"), F.min("p_partkey").alias("first_"))
     return images.round_robin(groups, [F.col("bytes").desc(), F.col("first_")], "n").select("p_brand", "n", "taken")
 
 
 @query("""WITH RECURSIVE s AS (
-  SELECT l_suppkey, l_extendedprice AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS k, l_orderkey AS id FROM lineitem WHERE l_quantity > 40
+  SELECT l_suppkey, l_extendedprice AS size, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS k, l_orderkey AS id FROM lineitem
 ), f AS (
   SELECT l_suppkey, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS total, 0 AS n, CAST([] AS BIGINT[]) AS ids FROM (SELECT DISTINCT l_suppkey FROM s)
   UNION ALL
@@ -116,18 +187,42 @@ def round_robin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 SELECT l_suppkey, array_to_string(arg_max(ids, k), ',') AS picked FROM f GROUP BY l_suppkey""")
 def budget_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_suppkey", F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_extendedprice", (-F.col("l_extendedprice")).alias("_neg"), "l_orderkey")
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_extendedprice", (-F.col("l_extendedprice")).alias("_neg"), "l_orderkey")
     picked = images.budget_pick(items, "l_suppkey", ["_neg", "l_orderkey", "l_linenumber", "l_partkey"], "l_extendedprice", 400_000)
     return picked.select("l_suppkey", F.array_join(F.col("picked").cast("array<string>"), ",").alias("picked"))
 
 
-@query("""SELECT p_brand, count(*) AS images, round(sum(p_retailprice), 4) AS "before",
-  round(least(sum(p_retailprice), coalesce(sum(p_size * 1000) * (sum(CASE WHEN p_partkey % 9 = 0 THEN p_retailprice * 0.6 END) / sum(CASE WHEN p_partkey % 9 = 0 THEN p_size * 1000 END)), sum(p_retailprice))), 4) AS "after"
-FROM part GROUP BY p_brand""")
+#: Images of part as candidates: some are sampled, some groups have no sample, some write an encoding that no sample writes.
+_ITEMS = """p_partkey AS image, p_size > 25 AS soft, p_brand AS before_encoding, CASE WHEN p_type = 'ECONOMY' THEN NULL WHEN p_type IN ('LARGE', 'PROMO') THEN 'Downsampled' ELSE 'Reencoded' END AS outcome,
+CASE WHEN p_brand = 'Brand#9' THEN 'Jpeg2000' WHEN p_type IN ('SMALL', 'LARGE') THEN 'Flate' ELSE 'Jpeg' END AS after_encoding, p_size * 1000 AS pixels, CAST(floor(p_retailprice * 10) AS BIGINT) AS bytes"""
+_SAMPLED = "CASE WHEN p_partkey % 9 = 0 AND p_type NOT IN ('ECONOMY', 'SMALL') AND p_brand NOT IN ('Brand#3', 'Brand#9') THEN CAST(floor(p_retailprice * 6) AS BIGINT) END AS sampled"
+_RATIO_SQL = f"""it AS (SELECT {_ITEMS}, {_SAMPLED} FROM part), lv AS (SELECT * FROM it WHERE outcome IS NOT NULL),
+gr AS (SELECT soft, before_encoding, outcome, arg_min(after_encoding, image) AS after_encoding, sum(sampled) AS s, sum(pixels) FILTER (sampled IS NOT NULL) AS p, row_number() OVER (ORDER BY sum(bytes) DESC, min(image)) AS place FROM lv GROUP BY 1, 2, 3),
+ra AS (SELECT *, CAST(s AS DOUBLE) / p AS ratio FROM gr WHERE p > 0), wa AS (SELECT DISTINCT soft, before_encoding, outcome, after_encoding FROM lv),
+sc AS (SELECT w.*, r.ratio, row_number() OVER (PARTITION BY w.soft, w.before_encoding, w.outcome, w.after_encoding ORDER BY
+    CASE WHEN w.soft = r.soft AND w.before_encoding = r.before_encoding AND w.outcome = r.outcome THEN 9 ELSE 0 END
+    + CASE WHEN w.soft = r.soft THEN 4 ELSE 0 END + CASE WHEN w.before_encoding = r.before_encoding THEN 2 ELSE 0 END + CASE WHEN w.outcome = r.outcome THEN 1 ELSE 0 END DESC, r.place) AS k
+  FROM wa w JOIN ra r ON w.after_encoding = r.after_encoding OR (w.soft = r.soft AND w.before_encoding = r.before_encoding AND w.outcome = r.outcome)),
+bo AS (SELECT wa.*, ratio FROM wa LEFT JOIN (SELECT * FROM sc WHERE k = 1) USING (soft, before_encoding, outcome, after_encoding))"""
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "part").createOrReplaceTempView("_images_part")
+    return spark.sql(f"SELECT {_ITEMS}, {_SAMPLED} FROM _images_part")
+
+
+@query(f"WITH {_RATIO_SQL} SELECT soft, before_encoding, outcome, after_encoding, round(ratio, 9) AS ratio FROM bo")
+def best_scored_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's bytes a pixel, its own or that of the most alike group."""
+    lever = _items(spark, sf_dir).where("outcome IS NOT NULL")
+    found = images.borrowed(lever.select(*images.GROUP, "after_encoding").distinct(), images.ratios(lever))
+    return found.select(*images.GROUP, "after_encoding", F.round("ratio", 9).alias("ratio"))
+
+
+@query(f"""WITH {_RATIO_SQL} SELECT image, it.bytes, CAST(CASE WHEN sampled IS NOT NULL THEN least(it.bytes, sampled) WHEN ratio IS NOT NULL THEN least(it.bytes, round_even(ratio * pixels, 0)) ELSE it.bytes END AS BIGINT) AS after
+FROM it LEFT JOIN bo ON it.soft = bo.soft AND it.before_encoding = bo.before_encoding AND it.outcome = bo.outcome AND it.after_encoding = bo.after_encoding""")
 def estimate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "part").select("p_brand", "p_retailprice", (F.col("p_size") * 1000).alias("pixels"), (F.col("p_partkey") % 9 == 0).alias("sampled"), (F.col("p_retailprice") * 0.6).alias("out"))
-    out = images.estimate(items, "p_brand", "pixels", "p_retailprice", "sampled", "out")
-    return out.select("p_brand", "images", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"))
+    return images.estimate(_items(spark, sf_dir)).select("image", "bytes", "after")
 
 
 @query("SELECT p_partkey, round(CASE WHEN p_partkey % 4 = 0 THEN p_size * 40 * CAST(72 AS DOUBLE) / 96 ELSE p_size * 40 * CAST(72 AS DOUBLE) / (100 + p_partkey % 200) END, 6) AS width FROM part")

@@ -35,17 +35,6 @@ def reference_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.chase(table(spark, sf_dir, "events").selectExpr("event_id AS obj", f"{_CHAIN} AS ref"))
 
 
-@query("""WITH w AS (SELECT p_partkey, p_name, p_brand FROM part), h AS (SELECT * FROM part WHERE p_size > 25), s AS (
-  SELECT w.p_partkey, w.p_name, h.p_name AS n, h.p_partkey AS ord,
-    CASE WHEN h.p_name = w.p_name THEN 8 ELSE (CASE WHEN string_split(h.p_name, ' ')[1] = string_split(w.p_name, ' ')[1] THEN 4 ELSE 0 END) + (CASE WHEN length(h.p_name) = length(w.p_name) THEN 2 ELSE 0 END) + 1 END AS score
-  FROM w JOIN h ON w.p_brand = h.p_brand
-), b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, ord) AS k FROM s)
-SELECT w.p_partkey, w.p_name, w.p_brand, b.n AS best FROM w LEFT JOIN b ON w.p_partkey = b.p_partkey AND k = 1""")
-def best_scored_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return references.best_scored(part.select("p_partkey", "p_name", "p_brand"), part.where("p_size > 25"), "p_name", "p_brand", "p_partkey")
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_extendedprice < 1000 THEN 0 WHEN l_extendedprice < 5000 THEN 1
 WHEN l_extendedprice < 20000 THEN 2 WHEN l_extendedprice < 10000 THEN 3 WHEN l_extendedprice < 80000 THEN 4 ELSE 5 END AS place FROM lineitem""")
 def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
