@@ -121,8 +121,20 @@ def lzw_encode(data: bytes, early: int = 1) -> bytes:
 
 
 def flate_decode(data: bytes) -> bytes:
-    """What can be inflated of a stream that may be cut."""
-    return zlib.decompressobj().decompress(data)
+    """What can be inflated of a stream that may be cut, or hold a bad byte: all before it."""
+    z, out = zlib.decompressobj(), []
+    for at in range(0, len(data), 4096):
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[at : at + 4096]))
+        except zlib.error:
+            for i in range(at, min(len(data), at + 4096)):
+                try:
+                    out.append(before.decompress(data[i : i + 1]))
+                except zlib.error:
+                    break
+            break
+    return b"".join(out)
 
 
 def png_undo(data: bytes, columns: int, colors: int = 1, bits: int = 8) -> bytes:

@@ -84,14 +84,18 @@ def name_tree_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.prune_names(rows, "c_nationkey", "c_name", F.col("c_mktsegment") == "BUILDING")
 
 
-_RANGES = "CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS a, o_custkey AS n, o_custkey + o_orderkey % 7 AS b, o_custkey % 500 AS m, o_custkey + o_orderkey % 7 + o_custkey % 500 + o_orderkey % 3 - 1 AS len"
+#: A signature of each order: its segments (one to three of them, some cut off or out of the file), the file's length and the size of its contents.
+_SEGMENTS = "CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS a, o_custkey AS n, o_custkey + 2 + 2 * (o_orderkey % 7) AS b, o_custkey % 500 AS m, o_custkey + 2 + 2 * (o_orderkey % 7) + o_custkey % 500 + CASE WHEN o_orderkey % 13 = 0 THEN 40 ELSE o_orderkey % 3 - 1 END AS len, o_orderkey % 7 + CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS held, o_orderkey % 13 AS shape"
 
 
-@query(f"""SELECT o_orderkey, CASE WHEN NOT (a = 0 AND n > 0 AND b > n AND b + m <= len) THEN 'Malformed' WHEN b + m = len THEN 'Whole' ELSE 'Partial' END AS verdict, n + m AS covered
-FROM (SELECT o_orderkey, {_RANGES} FROM orders)""")
+@query(f"""SELECT o_orderkey, CASE WHEN shape = 5 THEN 'Malformed' WHEN shape = 6 THEN 'Malformed' WHEN shape = 0 AND (a + n > len OR b + m > len OR b + m + 10 > len) THEN 'Malformed' WHEN shape = 4 AND a + n > len THEN 'Malformed'
+  WHEN shape NOT IN (0, 4) AND (a + n > len OR b + m > len) THEN 'Malformed' WHEN shape IN (0, 4) THEN 'Partial' WHEN a = 0 AND b + m = len AND b - n = 2 + 2 * held THEN 'Whole' ELSE 'Partial' END AS verdict,
+CAST(CASE shape WHEN 0 THEN n + m + 10 WHEN 4 THEN n WHEN 5 THEN n WHEN 6 THEN 0 ELSE n + m END AS BIGINT) AS covered FROM (SELECT o_orderkey, {_SEGMENTS} FROM orders)""")
 def byte_range_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_RANGES.split(", ")).withColumn("ranges", F.expr("array(cast(a AS bigint), n, b, m)"))
-    return rows.select("o_orderkey", coverage.verdict(F.col("ranges"), F.col("len")).alias("verdict"), coverage.covered(F.col("ranges")).alias("covered"))
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_SEGMENTS.split(", "))
+    each = "CASE shape WHEN 0 THEN array(a, n, b, m, b + m, 10) WHEN 4 THEN array(a, n) WHEN 5 THEN array(a, n, b) WHEN 6 THEN array() ELSE array(a, n, b, m) END"
+    rows = rows.withColumn("ranges", F.expr(f"cast({each} AS array<bigint>)"))
+    return rows.select("o_orderkey", coverage.verdict(F.col("ranges"), F.col("len"), F.col("held")).alias("verdict"), coverage.covered(F.col("ranges")).alias("covered"))
 
 
 @query("""WITH c AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'signup')

@@ -131,6 +131,39 @@ def test_codecs(name):
         assert decode(encode(data)) == data
 
 
+def test_codecs_against_fixed_bytes():
+    # The LZW example of the format, rows filtered by hand.
+    assert codecs.lzw_decode(bytes.fromhex("800B6050220C0C8501")) == bytes([45] * 5 + [65] + [45] * 3 + [66])
+    assert codecs.lzw_encode(bytes([45] * 5 + [65] + [45] * 3 + [66])) == bytes.fromhex("800B6050220C0C8501")
+    assert codecs.a85_decode(b"87cURD]i,\"Ebo80~>") == b"Hello World!" and codecs.hex_decode(b"48 65 6C6c 6f7>") == b"Hellop"
+    assert codecs.run_length_decode(bytes([2, 65, 66, 67, 254, 90, 128, 1])) == b"ABCZZZ"
+    mean = bytes([0, 10, 20, 30, 3, 5, 5, 5])
+    assert codecs.png_undo(mean, 3) == bytes([10, 20, 30, 10, 20, 30])
+    paeth = bytes([0, 10, 20, 30, 4, 1, 2, 3])
+    assert codecs.png_undo(paeth, 3) == bytes([10, 20, 30, 11, 22, 33])
+    assert codecs.png_undo(bytes([1, 250, 10, 1, 2, 6, 1, 1]), 3) == bytes([250, 4, 5, 0, 5, 6])
+
+
+def test_a_bad_byte_keeps_what_was_inflated():
+    import zlib
+
+    text = b"".join(b"line %d of the stream\n" % (i * i) for i in range(4000))
+    packed = bytearray(zlib.compress(text))
+    packed[len(packed) // 2] ^= 0xFF
+    got = codecs.flate_decode(bytes(packed))
+    assert 1000 < len(got) and text.startswith(got[:1000]) and codecs.flate_decode(b"nonsense") == b""
+
+
+def test_verdicts_on_any_number_of_segments(spark):
+    from quire.operators import coverage
+
+    rows = [([0, 10, 20, 30], 50, 4, "Whole"), ([0, 10, 20, 30], 50, 3, "Partial"), ([0, 10, 20, 30], 60, 4, "Partial"), ([0, 10, 20, 5, 30, 20], 50, 4, "Partial"), ([0, 50], 50, 0, "Partial"),
+            ([0, 10, 20], 50, 4, "Malformed"), ([], 50, 4, "Malformed"), (None, 50, 4, "Malformed"), ([0, 10, 20, 31], 50, 4, "Malformed"), ([-1, 10, 20, 30], 50, 4, "Malformed"), ([1, 9, 20, 30], 50, 4, "Partial")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, ranges array<bigint>, len long, held long, want string")
+    got = frame.select("i", "want", coverage.verdict(F.col("ranges"), F.col("len"), F.col("held")).alias("v")).orderBy("i").collect()
+    assert [r.v for r in got] == [r.want for r in got]
+
+
 def test_reader_of_documents(spark, tmp_path):
     import zlib
 
