@@ -334,12 +334,16 @@ def _by_head(least: float):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            own, head = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("hashes", "_hashes"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "_sketch"))
-            may = similarity(x, y) >= least - DOUBT if len(x) else np.zeros(0, bool)
-            close = [bool(m) and jaccard(a, b) >= least for m, a, b in zip(may.tolist(), own, head)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "node", "sketch", "hashes")], pa.array(close, pa.bool_())], names=["component", "node", "sketch", "hashes", "close"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # sets are copied for so many rows at a time
+                yield compared(pa, whole.slice(at, 256))
+
+    def compared(pa, batch):
+        own, head = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("hashes", "_hashes"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "_sketch"))
+        may = similarity(x, y) >= least - DOUBT
+        close = [bool(m) and jaccard(a, b) >= least for m, a, b in zip(may.tolist(), own, head)]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("component", "node", "sketch", "hashes")], pa.array(close, pa.bool_())], names=["component", "node", "sketch", "hashes", "close"])
 
     return run
 
