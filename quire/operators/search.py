@@ -2,55 +2,174 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import settled
+from . import lines, words
+
 #: Needles that are broadcast at a time.
 NEEDLES = 10_000
 #: Matches that a search may give before it is an error.
 MATCHES = 10_000
 
 
-def literal_starts(text: str, needle: str) -> str:
-    """SQL: array<int>, where needle starts in text, from the left and without overlap. An empty needle matches nothing.
+def _plain(text: str) -> str:
+    """text with each character in upper case, where that is one character: places stay."""
+    up = text.upper()
+    return up if len(up) == len(text) else "".join(u if len(u := c.upper()) == 1 else c for c in text)
+
+
+class Finder:
+    """Literals and patterns (target, text, whether a pattern) that are looked for together in one pass over a text, and one for each pattern."""
+
+    def __init__(self, targets: list[tuple], case: bool = True):
+        self.case, self._ready = case, None
+        self.patterns = [(t, x) for t, x, pattern in targets if pattern and x]
+        self.literals: dict[str, list] = {}
+        for t, x, pattern in targets:
+            if not pattern and x:
+                self.literals.setdefault(x if case else _plain(x), []).append(t)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_ready": None}
+
+    def __call__(self, text: str) -> list[tuple]:
+        """(target, start, length) of matches, of each target from the left and without overlap; matches of no length don't count."""
+        if self._ready is None:
+            automaton = None
+            if self.literals:
+                import ahocorasick
+
+                automaton = ahocorasick.Automaton()
+                for x in self.literals:
+                    automaton.add_word(x, x)
+                automaton.make_automaton()
+            self._ready = automaton, [(t, re.compile(x, 0 if self.case else re.I)) for t, x in self.patterns]
+        automaton, patterns = self._ready
+        out, free = [], {}
+        if automaton is not None:
+            for end, x in automaton.iter(text if self.case else _plain(text)):
+                start = end - len(x) + 1
+                if start >= free.get(x, 0):
+                    free[x] = end + 1
+                    out += [(t, start, len(x)) for t in self.literals[x]]
+        out += [(t, m.start(), m.end() - m.start()) for t, p in patterns for m in p.finditer(text) if m.end() > m.start()]
+        return out
+
+
+def find_matches(texts: DataFrame, targets: DataFrame, key: str, case: bool = True) -> DataFrame:
+    """(key, target, start, length): matches of every target (target, needle, pattern) in every text (key, text).
+
+    Targets (a redaction's; some thousands) are counted and go to the tasks in blocks of about NEEDLES. All literals of a block are found in one
+    pass over a text, whatever their number. An empty needle and a null text match nothing. Without case, letters of either case are equal.
+    """
+    blocks = -(-targets.count() // NEEDLES) or 1
+    kinds = dict(targets.select("target").dtypes) | dict(texts.select(key).dtypes)
+    parts = []
+    for i in range(blocks):
+        some = targets.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == i) if blocks > 1 else targets
+        parts.append(texts.select(key, "text").mapInArrow(_searched(Finder([tuple(r) for r in some.select("target", "needle", "pattern").collect()], case), key, some.schema["target"].dataType), f"{key} {kinds[key]}, target {kinds['target']}, start int, length int"))
+    return reduce(DataFrame.union, parts)
+
+
+def _searched(finder: Finder, key: str, kind):
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if text and (some := finder(text)):
+                    rows += [i] * len(some)
+                    found += some
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key).take(pa.array(rows, pa.int64())), pa.array(columns[0], to_arrow_type(kind)), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())],
+                names=[key, "target", "start", "length"],
+            )
+
+    return run
 
-    Text between matches is what split() leaves, so a start is the length of all before it.
+
+def literal_matches(texts: DataFrame, needles: DataFrame, key: str, case: bool = True) -> DataFrame:
+    """(key, target, start, length): matches of every needle (target, needle) in every text (key, text)."""
+    return find_matches(texts, needles.withColumn("pattern", F.lit(False)), key, case)
+
+
+def indexed_text(pages: DataFrame, columns: bool = True) -> DataFrame:
+    """pages (doc_id, page, letters) with text, the page's words in reading order, and of, for each of its characters the place of the letter it comes from.
+
+    Blanks and line ends between words come from no letter (null). Without columns, pages are not parted by gutters.
     """
-    parts = f"split({text}, concat('\\\\Q', {needle}, '\\\\E'), -1)"
-    starts = (
-        f"transform(array({parts}), p -> if(size(p) < 2, cast(array() as array<int>), "
-        f"aggregate(slice(p, 1, size(p) - 1), cast(array() as array<int>), (a, x) -> concat(a, array(if(size(a) = 0, 0, element_at(a, -1) + length({needle})) + length(x))))))[0]"
-    )
-    return f"if({needle} = '' OR {needle} IS NULL OR {text} IS NULL, cast(array() as array<int>), {starts})"
+    marked = settled(pages.select("doc_id", "page", "letters"), marks=words.marks("letters"))
+    made = settled(marked, words=words.words("letters", "marks")).select("doc_id", "page", "letters", "words")
+    ordered = lines.in_reading_order(made, columns=columns, keep=["letters"])
+    own = "flatten(transform(sequence(words[w.word].first, words[w.word].last), k -> array_repeat(k, length(letters[k].value))))"
+    of = f"flatten(transform(ordered, (w, i) -> concat(if(i = 0, cast(array() AS array<int>), array(cast(null AS int))), {own})))"
+    return ordered.select("doc_id", "page", "letters", F.expr(lines.page_text()).alias("text"), F.expr(of).alias("of"))
 
 
-def literal_matches(texts: DataFrame, needles: DataFrame, key: str) -> DataFrame:
-    """(key, target, start, length): matches of every needle (target, needle) in every text (key, text).
+def match_boxes(indexed: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, target, start, l, b, r, t): the box of the letters that each match covers; a match of blanks alone has none.
 
-    Needles (a redaction's targets) are counted and broadcast in blocks of about NEEDLES; a text that doesn't contain a needle is dropped before it is split.
-    Needles must not hold the characters \\E.
+    indexed as indexed_text gives it; matches (keys, target, start, length) count its text's characters.
     """
-    blocks = -(-needles.count() // NEEDLES) or 1
-    parts = [needles.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [needles]
-    pairs = reduce(DataFrame.union, [texts.join(F.broadcast(p), F.expr("needle <> '' AND contains(text, needle)")) for p in parts])
-    found = pairs.select(key, "target", F.length("needle").alias("length"), F.explode(F.expr(literal_starts("text", "needle"))).alias("start"))
-    return found.select(key, "target", "start", "length")
+    part = "transform(filter(slice(of, start + 1, length), k -> k IS NOT NULL), k -> letters[k])"
+    met = settled(matches.join(indexed.select(*keys, "letters", "of"), keys), part=F.expr(part)).where("size(part) > 0")
+    return met.select(*keys, "target", "start", F.expr(f"named_struct({words.BOX})").alias("_b")).select(*keys, "target", "start", "_b.*")
 
 
-def match_boxes(pages: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, target, start, l, b, r, t): the box of the letters that each match covers.
+def regions(pages: DataFrame, targets: DataFrame, case: bool = True, columns: bool = True, most: int = MATCHES) -> tuple[DataFrame, DataFrame]:
+    """(regions, matches) of a redaction: targets (target, needle, pattern) and, where needle is null, boxes (page, l, b, r, t) of every document that has the page.
 
-    pages (keys, letters: array<struct<.., x, y, adv, size>>); matches (keys, target, start, length) count letters of the page.
+    Texts and patterns are looked for in the text in reading order, their boxes and the given ones are united where they overlap. A
+    document with more matches than most is an error, and so is a box on a page that no document has.
+    """
+    indexed = indexed_text(pages, columns)
+    at = indexed.select(F.struct("doc_id", "page").alias("at"), "text")
+    texts = targets.where("needle IS NOT NULL").select("target", "needle", "pattern")
+    found = capped(find_matches(at, texts, "at", case).select("at.doc_id", "at.page", "target", "start", "length"), "doc_id", most)
+    boxes = match_boxes(indexed, found, ["doc_id", "page"])
+    given = targets.where("needle IS NULL").select("target", F.col("page").alias("_page"), "l", "b", "r", "t")
+    held = pages.select("doc_id", "page")
+    missing = given.join(held, F.col("_page") == F.col("page"), "left_anti").first()
+    if missing:
+        raise ValueError(f"no document has page {missing['_page']}")
+    whole = held.join(F.broadcast(given), F.col("_page") == F.col("page")).select("doc_id", "page", "target", F.lit(None).cast("int").alias("start"), "l", "b", "r", "t")
+    every = boxes.unionByName(whole)
+    united = closure_2d(every.select(F.struct("doc_id", "page").alias("at"), "l", "b", "r", "t"), "at").select("at.doc_id", "at.page", "l", "b", "r", "t")
+    return united, every
+
+
+def redact(pages: DataFrame, targets: DataFrame, annotations: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, regions, summary): pages without the letters that overlap a region, the regions, and (doc_id, matches, regions, letters, annotations) removed.
+
+    annotations (doc_id, page, id, l, b, r, t) that overlap a region go as a whole. Letters go by their box, touching is not enough. Documents
+    without a match are not in the summary.
     """
-    part = "slice(letters, start + 1, length)"
-    return matches.join(pages, keys).select(
-        *keys, "target", "start",
-        F.expr(f"array_min(transform({part}, a -> a.x))").alias("l"), F.expr(f"array_min(transform({part}, a -> a.y))").alias("b"),
-        F.expr(f"array_max(transform({part}, a -> a.x + a.adv))").alias("r"), F.expr(f"array_max(transform({part}, a -> a.y + a.size))").alias("t"),
-    )
+    united, every = regions(pages, targets, **options)
+    per_page = united.groupBy("doc_id", "page").agg(F.collect_list(F.struct("l", "b", "r", "t")).alias("_regions"))  # a page's regions, which don't overlap
+    met = pages.join(per_page, ["doc_id", "page"], "left")
+    box = words.BOX.replace("part", "array(c)")
+    hit = f"exists(_regions, q -> exists(array(named_struct({box})), p -> {overlaps('p', 'q')}))"
+    cut = met.withColumn("_left", F.expr(f"if(_regions IS NULL, letters, filter(letters, c -> NOT coalesce({hit}, false)))"))
+    removed = cut.groupBy("doc_id").agg(F.sum(F.size("letters") - F.size("_left")).alias("letters"))
+    counts = every.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matches"))
+    counts = counts.join(united.groupBy("doc_id").agg(F.count(F.lit(1)).alias("regions")), "doc_id").join(removed, "doc_id")
+    if annotations is None:
+        counts = counts.withColumn("annotations", F.lit(0).cast("long"))
+    else:
+        gone = united.withColumnsRenamed({c: f"_{c}" for c in ("l", "b", "r", "t")}).join(annotations, ["doc_id", "page"]).where("_l < r AND l < _r AND _b < t AND b < _t")
+        wiped = gone.select("doc_id", "id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("annotations"))
+        counts = counts.join(wiped, "doc_id", "left").withColumn("annotations", F.coalesce("annotations", F.lit(0)))
+    kept = cut.select("doc_id", "page", F.col("_left").alias("letters"))
+    return kept, united, counts.select("doc_id", "matches", "regions", "letters", "annotations")
 
 
 def overlaps(a: str, b: str) -> str:
@@ -83,32 +202,35 @@ def closure_1d(spans: DataFrame, key: list[str]) -> DataFrame:
 def closure_2d(boxes: DataFrame, key: str) -> DataFrame:
     """(key, l, b, r, t): boxes of a page united while any two overlap, until none do. The result doesn't depend on order.
 
-    A page's boxes are swept in one task (pages hold few regions); pages spread over tasks.
+    A page's boxes are in one task (pages hold few regions); pages spread over tasks. Each pass grows every box by those that overlap it, which
+    a sweep from the left finds, so that passes grow with the logarithm of the longest chain; equal boxes are one.
     """
 
     def sweep(pdf):
+        import numpy as np
         import pandas as pd
 
-        boxes = sorted(set(pdf[["l", "b", "r", "t"]].itertuples(index=False, name=None)))
-        changed = True
-        while changed:
-            changed, out = False, []
-            for box in boxes:
-                i = 0
-                while i < len(out):
-                    o = out[i]
-                    if box[0] < o[2] and o[0] < box[2] and box[1] < o[3] and o[1] < box[3]:
-                        box = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3]))
-                        out.pop(i)
-                        i, changed = 0, True
-                    else:
-                        i += 1
-                out.append(box)
-            boxes = sorted(out)
-        return pd.DataFrame([(pdf[key].iloc[0], *x) for x in boxes], columns=[key, "l", "b", "r", "t"])
+        at = np.unique(pdf[["l", "b", "r", "t"]].to_numpy(float), axis=0)  # in order of l
+        while True:
+            grown = at.copy()
+            ends = np.searchsorted(at[:, 0], at[:, 2], side="left")  # boxes from here on start right of the box
+            for i in range(len(at)):
+                near = at[i + 1 : ends[i]]
+                hit = np.flatnonzero((near[:, 2] > at[i, 0]) & (near[:, 1] < at[i, 3]) & (at[i, 1] < near[:, 3])) + i + 1
+                if len(hit):
+                    low, high = at[hit, :2].min(axis=0), at[hit, 2:].max(axis=0)
+                    grown[i, :2], grown[i, 2:] = np.minimum(grown[i, :2], low), np.maximum(grown[i, 2:], high)
+                    grown[hit, :2], grown[hit, 2:] = np.minimum(grown[hit, :2], at[i, :2]), np.maximum(grown[hit, 2:], at[i, 2:])
+            grown = np.unique(grown, axis=0)
+            if grown.shape == at.shape and (grown == at).all():
+                break
+            at = grown
+        return pd.DataFrame({"_p": pdf["_p"].iloc[0], **dict(zip("lbrt", at.T))})
 
     kind = dict(boxes.dtypes)[key]
-    return boxes.select(key, "l", "b", "r", "t").groupBy(key).applyInPandas(sweep, f"{key} {kind}, l double, b double, r double, t double")
+    packed = boxes.select(F.to_json(F.struct(key)).alias("_p"), "l", "b", "r", "t")
+    united = packed.groupBy("_p").applyInPandas(sweep, "_p string, l double, b double, r double, t double")
+    return united.select(F.from_json("_p", f"{key} {kind}")[key].alias(key), "l", "b", "r", "t")
 
 
 def capped(matches: DataFrame, key: str, most: int = MATCHES) -> DataFrame:

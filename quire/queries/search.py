@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search
-from ..sources.tables import letters, letters_sql, page_texts, table
+from ..sources.tables import letters, letters_sql, table
 from . import query
+from .text import WORDS_SQL
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,24 +40,63 @@ def regex_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", found)
 
 
-@query(f"""WITH {letters_sql()}, {_TARGETS_SQL},
-pt AS (SELECT doc_id, page, string_agg(c, '' ORDER BY i) AS text FROM l GROUP BY doc_id, page),
-hit AS (SELECT doc_id, page, target, needle, string_split(text, needle) AS p FROM pt JOIN tg ON contains(text, needle)),
-m AS (
-  SELECT doc_id, page, target, length(needle) AS n, CAST(k * length(needle) + list_sum(list_transform(p[1 : k + 1], lambda x: length(x))) AS INTEGER) AS start
-  FROM (SELECT *, unnest(range(0, len(p) - 1)) AS k FROM hit)
-)
-SELECT m.doc_id, m.page, target, start, round(min(x), 4) AS l, round(min(y), 4) AS b, round(max(x) + 6, 4) AS r, round(max(y) + 10, 4) AS t
-FROM m JOIN l ON m.doc_id = l.doc_id AND m.page = l.page AND l.i >= start AND l.i < start + n GROUP BY m.doc_id, m.page, target, start""")
+_PATTERN = "[0-9]{3}[-. ]?[0-9]{4}"
+#: Text of pages in reading order (one column, a row of letters is a line), where each letter stands in it, and the matches of literals in any case and of a pattern.
+_READ_SQL = f"""{letters_sql()}, {WORDS_SQL}, {_TARGETS_SQL},
+o AS (SELECT h.doc_id, h.page, h.i, h.c, h.x, h.y, w.l, w.word, h.i = w.first_ AS starts FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, page, island) AS f FROM h) h
+  JOIN w ON h.doc_id = w.doc_id AND h.page = w.page AND h.f = w.first_),
+rd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y DESC, l, word, i) + dense_rank() OVER (PARTITION BY doc_id, page ORDER BY y DESC, l, word) - 2 AS pos,
+  lag(y) OVER (PARTITION BY doc_id, page ORDER BY y DESC, l, word, i) AS before_ FROM o),
+pt AS (SELECT doc_id, page, string_agg(CASE WHEN NOT starts OR before_ IS NULL THEN '' WHEN before_ = y THEN ' ' ELSE chr(10) END || c, '' ORDER BY pos) AS text FROM rd GROUP BY doc_id, page),
+hit AS (SELECT doc_id, page, target, length(needle) AS n, string_split(lower(text), lower(needle)) AS p FROM pt JOIN tg ON contains(lower(text), lower(needle))),
+pa AS (SELECT doc_id, page, regexp_extract_all(text, '{_PATTERN}') AS m, regexp_split_to_array(text, '{_PATTERN}') AS g FROM pt),
+ma AS (
+  SELECT doc_id, page, target, n, k * n + list_sum(list_transform(p[1 : k + 1], lambda x: length(x))) AS start FROM (SELECT *, unnest(range(0, len(p) - 1)) AS k FROM hit)
+  UNION ALL SELECT doc_id, page, -1, length(m[k]), list_sum(list_transform(g[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: length(x))), 0) FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM pa)
+), bx AS (
+  SELECT ma.doc_id, ma.page, target, CAST(start AS INTEGER) AS start, min(x) AS l, min(y) AS b, max(x) + 6 AS r, max(y) + 10 AS t
+  FROM ma JOIN rd ON ma.doc_id = rd.doc_id AND ma.page = rd.page AND rd.pos >= start AND rd.pos < start + n GROUP BY ma.doc_id, ma.page, target, start
+)"""
+
+
+def _redacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages, and the targets: literals, and numbers of seven digits."""
+    number = spark.createDataFrame([(-1, _PATTERN, True)], "target long, needle string, pattern boolean")
+    named = _targets(spark, sf_dir).select(F.col("target").cast("long"), "needle", F.lit(False).alias("pattern")).union(number)
+    boxes = [F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("l", "double"), ("b", "double"), ("r", "double"), ("t", "double"))]
+    return letters(table(spark, sf_dir, "documents")), named.select("*", *boxes)
+
+
+@query(f"WITH {_READ_SQL} SELECT doc_id, page, target, start, round(l, 4) AS l, round(b, 4) AS b, round(r, 4) AS r, round(t, 4) AS t FROM bx")
 def match_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    texts = page_texts(docs).select(F.struct("doc_id", "page").alias("at"), F.col("page_text").alias("text"))
-    found = search.literal_matches(texts, _targets(spark, sf_dir), "at").select("at.doc_id", "at.page", "target", "start", "length")
-    wanted = letters(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi"))
-    boxes = search.match_boxes(wanted, found, ["doc_id", "page"])
+    pages, targets = _redacted(spark, sf_dir)
+    _, boxes = search.regions(pages, targets, case=False, columns=False)
     return boxes.select("doc_id", "page", "target", "start", *[F.round(c, 4).alias(c) for c in ("l", "b", "r", "t")])
 
 
+def _closure_sql(boxes: str, keys: str) -> str:
+    """Boxes (keys, id, l, b, r, t) grown, round by round, by all that overlap them; 20 rounds settle chains of a million."""
+    k = [x.strip() for x in keys.split(",")]
+    same = " AND ".join(f"p.{x} = q.{x}" for x in k)
+    own = ", ".join(f"p.{x}" for x in k)
+    return f"""cl AS (
+  SELECT {keys}, id, l, b, r, t, 0 AS round FROM {boxes}
+  UNION ALL SELECT {own}, p.id, min(q.l), min(q.b), max(q.r), max(q.t), any_value(p.round) + 1 FROM cl p JOIN cl q ON {same} AND p.l < q.r AND q.l < p.r AND p.b < q.t AND q.b < p.t WHERE p.round < 20 GROUP BY {own}, p.id
+), un AS (SELECT DISTINCT {keys}, l, b, r, t FROM cl WHERE round = 20)"""
+
+
+@query(f"""WITH RECURSIVE {_READ_SQL}, ids AS (SELECT doc_id, page, row_number() OVER () AS id, l, b, r, t FROM bx), {_closure_sql("ids", "doc_id, page")},
+gone AS (SELECT DISTINCT l.doc_id, l.page, l.i FROM l JOIN un ON l.doc_id = un.doc_id AND l.page = un.page AND l.x < un.r AND un.l < l.x + 6 AND l.y < un.t AND un.b < l.y + 10)
+SELECT m.doc_id, matches, regions, coalesce(letters, 0) AS letters, annotations FROM (SELECT doc_id, count(*) AS matches FROM bx GROUP BY doc_id) m
+JOIN (SELECT doc_id, count(*) AS regions FROM un GROUP BY doc_id) u ON m.doc_id = u.doc_id LEFT JOIN (SELECT doc_id, count(*) AS letters FROM gone GROUP BY doc_id) g ON m.doc_id = g.doc_id
+JOIN (SELECT un.doc_id, count(DISTINCT CASE WHEN l < 300 AND r > 250 AND b < 740 AND t > 700 THEN page END) AS annotations FROM un GROUP BY un.doc_id) a ON m.doc_id = a.doc_id""")
+def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A redaction from targets to what goes; each page has one annotation."""
+    pages, targets = _redacted(spark, sf_dir)
+    notes = pages.select("doc_id", "page", F.col("page").alias("id"), F.lit(250.0).alias("l"), F.lit(700.0).alias("b"), F.lit(300.0).alias("r"), F.lit(740.0).alias("t"))
+    return search.redact(pages, targets, notes, case=False, columns=False)[2]
+
+
 _SURFACES = {"email": r"[a-z0-9._]+@[a-z0-9.]+", "number": r"[0-9]{5,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "notice": r"[Ll]icen[sc]e"}
 
 
@@ -96,7 +136,7 @@ def region_closure_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.closure_1d(regions, ["page"]).select("page", F.round("l", 6).alias("l"), F.round("r", 6).alias("r"))
 
 
-@query()
+@query(f"WITH RECURSIVE bx AS ({_REGIONS}), {_closure_sql('bx', 'page')} SELECT page, round(l, 6) AS l, round(b, 6) AS b, round(r, 6) AS r, round(t, 6) AS t FROM un")
 def region_closure_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions, _ = _boxes(spark, sf_dir)
-    return search.closure_2d(regions, "page")
+    return search.closure_2d(regions, "page").select("page", *[F.round(c, 6).alias(c) for c in "lbrt"])
