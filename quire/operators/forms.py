@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.strings import last_segment
-from .graph import DEPTH, _kept
+from ..scratch import kept
+from .graph import DEPTH
 
 
 def full_names(fields: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -17,7 +18,7 @@ def full_names(fields: DataFrame, depth: int = DEPTH) -> DataFrame:
     out, rest = level, fields.where("parent IS NOT NULL").select("node", "parent", own.alias("name"), "ft", "ff")
     for _ in range(1, depth + 1):
         up = level.select(F.col("node").alias("_n"), F.col("full_name").alias("_f"), F.col("ft").alias("_t"), F.col("ff").alias("_g"))
-        level = _kept(
+        level = kept(
             rest.join(up, F.col("parent") == F.col("_n")).select(
                 "node", F.concat_ws(".", "_f", "name").alias("full_name"), F.coalesce("ft", "_t").alias("ft"), F.coalesce("ff", "_g").alias("ff")
             )
@@ -42,26 +43,32 @@ def lookup(fields: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def unique_names(names: DataFrame, group: str, order: str) -> DataFrame:
-    """(group, order, name, unique): a name taken before becomes name~2, name~3 and so on, the first that is free.
+    """(group, order, name, unique): a name taken before becomes name~2, name~3 and so on, the first that is free; rows equal in order go by name.
 
-    A made name can meet a later literal one, so names of a group are dealt in order by a fold over the group's sorted array; groups are independent.
+    A made name can only meet a literal one that ends in ~ and digits. Groups without such a name are numbered by a window over
+    (group, name), whatever their size; the others, which are rare, are dealt in order by a fold.
     """
+    rows = names.select(group, order, "name")
+    odd = rows.where(F.col("name").rlike("~[0-9]+$")).select(group).distinct()
+    plain = rows.join(odd, group, "left_anti")
 
     def deal(pdf):
-        taken, out = set(), []
-        for name in pdf.sort_values(order)["name"]:
-            new, k = name, 1
+        taken, next_, out = set(), {}, []
+        pdf = pdf.sort_values([order, "name"])
+        for name in pdf["name"]:
+            new, k = name, next_.get(name, 1)
             while new in taken:
                 k += 1
                 new = f"{name}~{k}"
+            next_[name] = k
             taken.add(new)
             out.append(new)
-        pdf = pdf.sort_values(order)
         pdf["unique"] = out
         return pdf[[group, order, "name", "unique"]]
 
     kinds = dict(names.dtypes)
-    return names.select(group, order, "name").groupBy(group).applyInPandas(deal, f"{group} {kinds[group]}, {order} {kinds[order]}, name string, unique string")
+    folded = rows.join(odd, group, "left_semi").groupBy(group).applyInPandas(deal, f"{group} {kinds[group]}, {order} {kinds[order]}, name string, unique string")
+    return rows_by_name(plain, group, order).union(folded)
 
 
 def rows_by_name(names: DataFrame, group: str, order: str) -> DataFrame:

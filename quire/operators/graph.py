@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import kept
+
 #: Levels of a tree that are walked; a deeper one is an error.
 DEPTH = 256
-CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, in the folder that the session names or, where none is named, a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
-    conf = df.sparkSession.conf
-    inferred = conf.get(CONSTRAINTS)
-    conf.set(CONSTRAINTS, "false")  # a checkpoint keeps its plan's constraints, and a union over one that names columns since gone fails
-    try:
-        return df.checkpoint()
-    finally:
-        conf.set(CONSTRAINTS, inferred)
 
 
 def flatten(nodes: DataFrame, inherit: list[str], depth: int = DEPTH) -> DataFrame:
@@ -42,7 +26,7 @@ def flatten(nodes: DataFrame, inherit: list[str], depth: int = DEPTH) -> DataFra
         level = rest.join(up, F.col("parent") == F.col("_n")).select(
             "node", "parent", "pos", *[F.coalesce(c, f"_{c}").alias(c) for c in inherit], F.lit(k).alias("level"), F.concat("_p", F.array(F.col("pos").cast("long"))).alias("path")
         )
-        level = _kept(level)
+        level = kept(level)
         if level.isEmpty():
             return out
         out = out.unionByName(level)
@@ -55,10 +39,10 @@ def reachable(roots: DataFrame, edges: DataFrame, most: int = 1_000) -> DataFram
     frontier = seen
     for _ in range(most):
         step = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).where("node IS NOT NULL").distinct()
-        frontier = _kept(step.join(seen, "node", "left_anti"))
+        frontier = kept(step.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _kept(seen.union(frontier))
+        seen = kept(seen.union(frontier))
     raise RuntimeError("more rounds than allowed")
 
 
@@ -96,7 +80,7 @@ def dedup_fixpoint(objects: DataFrame, refs: DataFrame, rounds: int = 50) -> Dat
         kids = refs.join(to, "dst", "left").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("pos", "_c"))).alias("_kids"))
         keyed = objects.join(kids, objects["obj"] == kids["src"], "left").select("obj", F.sha2(F.to_json(F.struct("payload", "_kids")), 256).alias("_key"))
         lows = keyed.groupBy("_key").agg(F.min("obj").alias("canonical"))
-        alias = _kept(keyed.join(lows, "_key").select("obj", "canonical"))
+        alias = kept(keyed.join(lows, "_key").select("obj", "canonical"))
         now = alias.select("canonical").distinct().count()
         if now == classes:
             return alias

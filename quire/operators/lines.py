@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import settled
-
-# Fixed values of the rules.
-BAND, LEAST_BAND = 0.5, 0.01
-BUCKETS, MIDDLE, RUN = 200, (66, 134), 5
+from .order import BAND, BUCKETS, LEAST_BAND, MIDDLE, RUN, reading_order
 
 
 def bands(words: str = "words") -> str:
@@ -71,27 +68,16 @@ def gutter(words: str = "words") -> str:
 
 
 def in_reading_order(pages: DataFrame, ranks: str | None = None, columns: bool = True, keep: list[str] | None = None) -> DataFrame:
-    """pages with ordered: array<struct<col, band, top, left, word, text>>, the words in reading order.
+    """pages with ordered: array<struct<col, band, left, word, text>>, the words in reading order.
 
     A gutter counts only if each side has two bands or more; then all of the first column comes before the second.
     Within a column, bands go from the top (by the highest word), words from the left. With ranks, the name of an array
     column of a rank for each word, bands go by their least rank and words by rank, then from the left. Without columns no gutter is
     looked for. Columns to keep stay, and with any words does too.
     """
-    cut = settled(pages, bands=F.expr(bands()), gap=F.expr("cast(null as double)" if ranks or not columns else gutter()))
-    side = "if(gap IS NULL OR (words[i].l + words[i].r) / 2 < gap, 0, 1)"
-    both = f"size(array_distinct(filter(transform(words, (w, i) -> if({side} = %d, bands[i], -1)), x -> x >= 0))) >= 2"
-    cut = settled(cut, parted=F.expr(f"gap IS NOT NULL AND {both % 0} AND {both % 1}"))
-    side = f"if(parted, {side}, 0)"
-    rank = f"{ranks}[i]" if ranks else "cast(null as int)"
-    flat = settled(
-        cut,
-        flat=F.expr(f"transform(words, (w, i) -> named_struct('col', {side}, 'band', bands[i], 't', w.t, 'l', w.l, 'word', w.word, 'text', w.text, 'rank', {rank}))"),
-    )
-    first = "array_min(transform(filter(flat, y -> y.col = x.col AND y.band = x.band), y -> y.rank))" if ranks else None
-    key = f"'rank', {first}, 'top', 0.0D, 'own', x.rank" if ranks else "'rank', 0, 'top', -array_max(transform(filter(flat, y -> y.col = x.col AND y.band = x.band), y -> y.t)), 'own', 0"
-    keyed = f"transform(flat, x -> named_struct('col', x.col, {key}, 'left', x.l, 'word', x.word, 'band', x.band, 'text', x.text))"
-    return flat.select("doc_id", "page", *(["words", *keep] if keep else []), F.expr(f"array_sort({keyed})").alias("ordered"))
+    at = settled(pages, _places=reading_order("words", ranks, columns))
+    one = "named_struct('col', p.col, 'band', p.band, 'left', words[p.at].l, 'word', words[p.at].word, 'text', words[p.at].text)"
+    return at.select("doc_id", "page", *(["words", *keep] if keep else []), F.expr(f"transform(_places, p -> {one})").alias("ordered"))
 
 
 def page_text(ordered: str = "ordered") -> str:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .graph import _kept, reachable
+from ..scratch import kept
+from .graph import reachable
 
 #: Links of a chain that are followed: a power of two, as each round doubles the reach.
 HOPS = 32
@@ -23,11 +24,11 @@ def chase(objects: DataFrame, hops: int = HOPS) -> DataFrame:
     objects (obj, ref), ref null for what is no reference. Each round replaces a pointer by its pointer's pointer, so that
     log2(hops) equi-joins follow all chains, cycles too.
     """
-    at = _kept(objects.select("obj", F.coalesce("ref", "obj").alias("to")))
+    at = kept(objects.select("obj", F.coalesce("ref", "obj").alias("to")))
     reach = 1
     while reach < hops:
         then = at.select(F.col("obj").alias("_o"), F.col("to").alias("_t"))
-        at = _kept(at.join(then, F.col("to") == F.col("_o"), "left").select("obj", F.col("_t").alias("to")))
+        at = kept(at.join(then, F.col("to") == F.col("_o"), "left").select("obj", F.col("_t").alias("to")))
         reach *= 2
     ends = objects.where("ref IS NULL").select(F.col("obj").alias("_e"))
     return at.join(ends, F.col("to") == F.col("_e"), "left").select("obj", F.col("_e").alias("target"))
@@ -60,7 +61,7 @@ def numbered(rows: DataFrame, key: str, name: str, first: int = 0) -> DataFrame:
 
     Two passes over sorted partitions, so that no task sees all rows; only a count a partition is gathered, in a window over as many rows as partitions.
     """
-    parts = _kept(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    parts = kept(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).alias("_before"))
     at = F.row_number().over(W.partitionBy("_part").orderBy(key))

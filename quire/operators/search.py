@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import kept
 from ..sources.tables import settled
 from . import lines, words
 
@@ -134,16 +135,17 @@ def regions(pages: DataFrame, targets: DataFrame, case: bool = True, columns: bo
     indexed = indexed_text(pages, columns)
     at = indexed.select(F.struct("doc_id", "page").alias("at"), "text")
     texts = targets.where("needle IS NOT NULL").select("target", "needle", "pattern")
-    found = capped(find_matches(at, texts, "at", case).select("at.doc_id", "at.page", "target", "start", "length"), "doc_id", most)
-    boxes = match_boxes(indexed, found, ["doc_id", "page"])
+    found = kept(capped(find_matches(at, texts, "at", case).select("at.doc_id", "at.page", "target", "start", "length"), "doc_id", most))
+    hit = pages.join(found.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")  # only pages with a match are read again for boxes
+    boxes = match_boxes(indexed_text(hit, columns), found, ["doc_id", "page"])
     given = targets.where("needle IS NULL").select("target", F.col("page").alias("_page"), "l", "b", "r", "t")
     held = pages.select("doc_id", "page")
     missing = given.join(held, F.col("_page") == F.col("page"), "left_anti").first()
     if missing:
         raise ValueError(f"no document has page {missing['_page']}")
     whole = held.join(F.broadcast(given), F.col("_page") == F.col("page")).select("doc_id", "page", "target", F.lit(None).cast("int").alias("start"), "l", "b", "r", "t")
-    every = boxes.unionByName(whole)
-    united = closure_2d(every.select(F.struct("doc_id", "page").alias("at"), "l", "b", "r", "t"), "at").select("at.doc_id", "at.page", "l", "b", "r", "t")
+    every = kept(boxes.unionByName(whole))
+    united = kept(closure_2d(every.select(F.struct("doc_id", "page").alias("at"), "l", "b", "r", "t"), "at").select("at.doc_id", "at.page", "l", "b", "r", "t"))
     return united, every
 
 
@@ -180,14 +182,23 @@ def overlaps(a: str, b: str) -> str:
 def overlap_join(left: DataFrame, right: DataFrame, key: str, cell: float) -> DataFrame:
     """Pairs of boxes (key, id, l, b, r, t) with equal key that overlap, as (key, left_id, right_id).
 
-    Each box goes to every column strip of width cell that it touches, and boxes of a strip meet by an equi-join; a pair counts
-    in the strip where the later of the two left edges lies, so it is found once.
+    A box goes to the column strips, two at most, of the least width cell * 2**k that is no less than its own, and looks for the wider ones in the
+    strips of each greater width that some box has (the widths, some dozens at most, are listed first). Boxes of a strip meet by an
+    equi-join; a pair counts in the strip of the wider one where the later of the two left edges lies, so it is found once.
     """
-    strips = F.explode(F.expr(f"sequence(cast(floor(l / {cell}D) as bigint), cast(floor(r / {cell}D) as bigint))")).alias("strip")
-    a = left.select(key, strips, F.struct("id", "l", "b", "r", "t").alias("p"))
-    b = right.select(key, strips, F.struct("id", "l", "b", "r", "t").alias("q"))
-    hit = F.expr(f"{overlaps('p', 'q')} AND strip = cast(floor(greatest(p.l, q.l) / {cell}D) as bigint)")
-    return a.join(b, [key, "strip"]).where(hit).select(key, F.col("p.id").alias("left_id"), F.col("q.id").alias("right_id"))
+    k = F.ceil(F.log2(F.greatest((F.col("r") - F.col("l")) / cell, F.lit(1.0)))).cast("int")
+    sides = [x.where("l <= r").select(key, "id", "l", "b", "r", "t", k.alias("_own")) for x in (left, right)]
+    widths = sorted(r[0] for r in sides[0].select("_own").union(sides[1].select("_own")).distinct().collect())
+    levels = F.filter(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<int>"), lambda x: x >= F.col("_own"))
+    strip = lambda c: f"cast(floor({c} / ({cell}D * shiftleft(1L, _k))) as bigint)"
+
+    def dealt(side: DataFrame, name: str) -> DataFrame:
+        rows = side.select(key, F.struct("id", "l", "b", "r", "t", "_own").alias(name), F.explode(levels).alias("_k"))
+        return rows.select(key, name, "_k", F.explode(F.expr(f"array_distinct(array({strip(name + '.l')}, {strip(name + '.r')}))")).alias("_strip"))
+
+    met = dealt(sides[0], "p").join(dealt(sides[1], "q"), [key, "_k", "_strip"])
+    hit = F.expr(f"(p._own = _k OR q._own = _k) AND {overlaps('p', 'q')} AND _strip = {strip('greatest(p.l, q.l)')}")
+    return met.where(hit).select(key, F.col("p.id").alias("left_id"), F.col("q.id").alias("right_id"))
 
 
 def closure_1d(spans: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators.graph import _kept as kept
+from ..scratch import kept
 
 # Fixed values of the plan.
 TRIGGER, PER_GROUP, ALL_SAMPLES, BUDGET_BYTES, BUDGET_ITEMS = 1.5, 3, 16, 32 << 20, 32
