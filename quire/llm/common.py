@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_folder
+
 #: Words everywhere: runs of other characters than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,13 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one, set here, only where none is named."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
+    """The shared folder that the session names; a local session that names none gets a temporary one, on a cluster that is an error."""
+    return shared_folder(spark)
 
 
 class Scratch:
