@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import ORACLES, QUERIES, content, forms, functions, graph, images, layout, pages, references, search, text
+from .queries import ORACLES, QUERIES, content, files, forms, functions, graph, images, layout, pages, references, search, text
 
 __all__ = ["ORACLES", "QUERIES"]
-_MODULES = (content, forms, functions, graph, images, layout, pages, references, search, text)
+_MODULES = (content, files, forms, functions, graph, images, layout, pages, references, search, text)
