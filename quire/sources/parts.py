@@ -166,7 +166,7 @@ def fields(files: DataFrame) -> DataFrame:
 
         def walk(ref, parent, pos, depth):
             x = f.value(ref)
-            if not isinstance(x, dict) or id(x) in seen or depth > DEPTH:
+            if not isinstance(x, dict) or id(x) in seen or f.deep(depth):
                 return
             seen.add(id(x))
             if parent is not None and "T" not in x:
@@ -193,7 +193,7 @@ def outline(files: DataFrame) -> DataFrame:
 
         def walk(ref, parent, depth):
             pos = 0
-            while isinstance(x := f.value(ref), dict) and id(x) not in seen and depth <= DEPTH:
+            while isinstance(x := f.value(ref), dict) and id(x) not in seen and not f.deep(depth):
                 seen.add(id(x))
                 node = len(out)
                 out.append((node, parent, pos, text(f.value(x.get("Title")))))
@@ -218,7 +218,7 @@ def structure(files: DataFrame) -> DataFrame:
             held = f.value(x)
             if isinstance(held, int) and not isinstance(held, bool):
                 out.append((len(out), parent, pos, None, page, held))
-            elif isinstance(held, dict) and id(held) not in seen and depth <= DEPTH:
+            elif isinstance(held, dict) and id(held) not in seen and not f.deep(depth):
                 seen.add(id(held))
                 page = places.get(id(f.value(held.get("Pg"))), page)
                 if _whole(f.value(held.get("MCID"))) is not None:
@@ -247,7 +247,7 @@ def _page_numbers(f: File) -> list[int]:
 
     def walk(ref, depth):
         x = f.value(ref)
-        if not isinstance(x, dict) or id(x) in seen or depth > DEPTH or not isinstance(ref, Ref):
+        if not isinstance(x, dict) or id(x) in seen or not isinstance(ref, Ref) or f.deep(depth):
             return
         seen.add(id(x))
         if "Kids" in x:

@@ -20,6 +20,8 @@ _REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
 _SPACE = re.compile(rb"(?:[\0\t\n\f\r ]|%[^\r\n]*)*")
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj\b")
 DEPTH = 64
+#: Levels of a tree that are walked.
+LEVELS = 256
 #: Forms within forms that are drawn.
 NESTED = 16
 
@@ -121,6 +123,7 @@ class File:
         self.data, self.found = data, {}
         for m in _OBJECT.finditer(data):
             self.found[int(m[1])] = (m.end(), int(m[2]))
+        self.notes: list[tuple[str, str]] = []
         self.packed: dict[int, object] = {}
         self.cache: dict[int, object] = {}
         for n in list(self.found):
@@ -170,9 +173,20 @@ class File:
         parms = [self.value(p) or {} for p in (parms if isinstance(parms, list) else [parms])]
         try:
             return codecs.decode_chain(raw, filters, parms)
-        except (KeyError, ValueError, IndexError, zlib.error):
+        except (KeyError, ValueError, IndexError, zlib.error) as e:
+            self.note("stream", f"at {stream['_at']}: {type(e).__name__} in {' '.join(filters)}")
             return b""  # an unknown filter, or bytes that it can't read
 
+    def note(self, code: str, detail: str) -> None:
+        """What was left out in reading the file."""
+        self.notes.append((code, detail))
+
+    def deep(self, depth: int) -> bool:
+        """Whether a tree goes deeper than it is walked; that is noted."""
+        if depth > LEVELS:
+            self.note("depth", f"more than {LEVELS} levels")
+        return depth > LEVELS
+
     def pages(self) -> Iterator[dict]:
         """Leaves of the page tree in order, with what they inherit; of a tree that can't be walked, all pages by number."""
         roots = [x for x in map(self.get, [*self.found, *self.packed]) if isinstance(x, dict) and x.get("Type") == "Catalog"]
@@ -180,7 +194,7 @@ class File:
 
         def walk(ref, inherited, depth):
             node = self.value(ref)
-            if not isinstance(node, dict) or depth > DEPTH or id(node) in seen:
+            if not isinstance(node, dict) or id(node) in seen or self.deep(depth):
                 return
             seen.add(id(node))
             own = inherited | {k: node[k] for k in ("Resources", "MediaBox", "Rotate") if k in node}
@@ -245,7 +259,9 @@ class Content:
             return
         if x.get("Subtype") == "Image":
             self.placements.append((ref[0] if isinstance(ref, Ref) else None, ctm, self.file.value(x.get("Width")), self.file.value(x.get("Height"))))
-        elif x.get("Subtype") == "Form" and depth < NESTED and id(x) not in self.open:  # a form within itself isn't drawn
+        elif x.get("Subtype") == "Form" and depth >= NESTED:
+            self.file.note("form", f"{name} is more than {NESTED} forms deep")
+        elif x.get("Subtype") == "Form" and id(x) not in self.open:  # a form within itself isn't drawn
             own = self.file.value(x.get("Resources"))
             self.open.add(id(x))
             self.run(self.file.body(x), own if isinstance(own, dict) else resources, _times(_matrix(self.file.value(x.get("Matrix")), self.file), ctm), depth + 1)
@@ -335,7 +351,7 @@ class Content:
                 elif x == "BI":
                     pass
             except (IndexError, TypeError, ValueError, AttributeError):
-                pass  # an operator with wrong operands does nothing
+                file.note("operator", f"{x} with wrong operands")  # it does nothing
             args = []
 
 
@@ -385,6 +401,20 @@ def letters(files: DataFrame) -> DataFrame:
     return per_file(files, LETTERS, read)
 
 
+def diagnostics(files: DataFrame) -> DataFrame:
+    """(path, page, code, detail): what letters and placements of each file leave out: streams that can't be decoded, operators with wrong operands, too deep forms and trees (page null)."""
+
+    def read(f: File):
+        pages = list(f.pages())
+        yield from ((None, *x) for x in f.notes)
+        for i, p in enumerate(pages):
+            f.notes = []
+            Content(f, p)
+            yield from ((i, *x) for x in f.notes)
+
+    return per_file(files, "path string, page int, code string, detail string", read)
+
+
 def placements(files: DataFrame) -> DataFrame:
     """(path, page, seq, obj, a, b, c, d, e, f, width, height): every drawing of an image, through forms too; obj is null for an inline one."""
 

@@ -122,6 +122,30 @@ def test_annotations_references_signatures(files, spark):
     assert [tuple(r) for r in verdicts] == [("Sig", "Partial")]
 
 
+def test_what_is_left_out_is_told(spark):
+    from quire.sources import writer
+
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Type /Page /Contents [4 0 R 5 0 R] /Resources << /XObject << /Fm 6 0 R >> >> >>"}
+    objects |= {4: b"<< /Length 3 /Filter /Unknown >>\nstream\nabc\nendstream", 5: writer.stream(b"(x) Tf 1 Td /Fm Do"), 6: writer.stream(b"/Fm Do", b"/Type /XObject /Subtype /Form")}
+    for k in range(300):  # a page tree deeper than is walked
+        objects[100 + k] = b"<< /Type /Pages /Kids [%d 0 R] >>" % (101 + k)
+    objects |= {2: b"<< /Type /Pages /Kids [3 0 R 100 0 R] >>", 400: b"<< /Type /Page >>"}
+    frame = spark.createDataFrame([("a", writer.whole(objects, b"/Root 1 0 R"))], "path string, content binary")
+    got = [(r.page, r.code) for r in pdf.diagnostics(frame).collect()]
+    assert (None, "depth") in got and (0, "stream") in got and (0, "operator") in got
+    assert [r.page for r in pdf.letters(frame).collect()] == [0]
+
+
+def test_a_tree_of_two_hundred_levels_is_walked(spark):
+    from quire.sources import writer
+
+    objects = {1: b"<< /Type /Catalog /Pages 100 0 R >>", 300: b"<< /Type /Page >>"}
+    objects |= {100 + k: b"<< /Type /Pages /Kids [%d 0 R] >>" % (101 + k) for k in range(200)}
+    frame = spark.createDataFrame([("a", writer.appended(writer.whole(objects, b"/Root 1 0 R"), {50: b"<< /A 1 >>"}, b"/Root 1 0 R"))], "path string, content binary")
+    assert pdf.letters(frame).count() == 1 and pdf.diagnostics(frame).collect() == []
+    assert {r.obj for r in parts.entries(frame).where("revision = 0").collect()} == {50}
+
+
 def test_cross_reference_streams_and_packed_objects(spark):
     packed = b"2 0 3 14 << /A [1 2] >> (three)"
     body = b"%PDF-1.5\n"
