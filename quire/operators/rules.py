@@ -42,3 +42,20 @@ def version_within(part: Column, version: Column) -> Column:
     """Whether a header's version (major.minor) is at most that of its part; null for an unknown part."""
     ceiling = reduce(lambda acc, kv: acc.when(part == kv[0], F.lit(float(kv[1]))), CEILING.items(), F.when(F.lit(False), F.lit(0.0)))
     return version.cast("double") <= ceiling
+
+
+def document_rules(facts: DataFrame, key: str) -> DataFrame:
+    """(key, rule, status) of the rules for files over what sources.parts.conformance tells of them. Filters are judged in part 1 alone."""
+    part = F.when(F.col("part").isin("1", "2"), F.col("part").cast("int"))
+    known = F.col("part").isin("1", "2") & (F.col("conformance") == "B") & F.col("other").isNull()
+    return findings(
+        facts, key,
+        {
+            "identification": (F.coalesce(known, F.lit(False)),),
+            "encryption": (~F.col("encrypted"),),
+            "version": (version_within(part, F.col("version")), part.isNotNull()),
+            "appearances": (~F.col("appearances"),),
+            "output_intent": (F.col("intent") == "ok",),
+            "filters": (~F.col("lzw"), part == 1),
+        },
+    )

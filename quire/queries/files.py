@@ -114,3 +114,46 @@ def file_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = last_wins(found.withColumn("age", -F.col("revision")), ["path", "obj"], ["age"])
     live = newest.groupBy("path").agg(F.count_if(F.col("kind") != "Free").alias("live"), F.count_if((F.col("kind") != "Free") & (F.col("revision") == 0)).cast("int").alias("anew"))
     return live.join(found.groupBy("path").agg(F.count(F.lit(1)).alias("entries")), "path").select(_id(), "live", "anew", "entries")
+
+
+def _judged(n: int) -> bytes:
+    """A small file whose faults follow from n."""
+    part, letter, version = "123"[n % 3], "BA"[n % 5 == 4], (4, 7, 3)[n % 7 % 3]
+    attributes = f'pdfaid:part="{part}" pdfaid:conformance="{letter}"' + (' pdfaid:corr="x"' if n % 11 == 0 else "")
+    elements = f"<pdfaid:part>{part}</pdfaid:part><pdfaid:conformance>{letter}</pdfaid:conformance>"
+    space = "http://www.aiim.org/pdfa/ns/id/" if n % 13 else "http://example.org/"
+    said = f'<rdf:Description rdf:about="" xmlns:pdfaid="{space}" {attributes}/>' if n % 2 else f'<rdf:Description rdf:about="" xmlns:pdfaid="{space}">{elements}</rdf:Description>'
+    packet = f'<?xpacket begin=""?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">{said}</rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+    profile = bytes(12) + (b"mntr" if n % 17 else b"scnr") + (b"RGB " if n % 19 else b"Lab ") + bytes(108 if n % 23 else 10)
+    intent = b"<< /Type /OutputIntent /S /GTS_PDFA1 %s /DestOutputProfile 4 0 R >>" % (b"/OutputConditionIdentifier (sRGB)" if n % 29 else b"")
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R /Metadata 3 0 R /OutputIntents [%s] /AcroForm << /Fields [] /NeedAppearances %s >> %s >>" % (intent, b"true" if n % 31 == 0 else b"false", b"/Held [[5 0 R]]" if n % 4 else b""),
+        2: b"<< /Type /Pages /Kids [] /Count 0 >>",
+        3: writer.stream(packet.encode()),
+        4: writer.stream(profile),
+        5: b"<< /Length 3 /Filter [/ASCIIHexDecode /%s] >>\nstream\n00>\nendstream" % (b"LZWDecode" if n % 3 == 0 else b"FlateDecode"),
+    }
+    data = writer.whole(objects, b"/Root 1 0 R" + (b" /Encrypt << /Filter /Standard >>" if n % 37 == 0 else b""))
+    return data.replace(writer.HEAD, b"%%PDF-1.%d\n" % version, 1)
+
+
+@query("""WITH d AS (SELECT doc_id AS n, doc_id % 3 + 1 AS part, CASE doc_id % 7 % 3 WHEN 0 THEN 1.4 WHEN 1 THEN 1.7 ELSE 1.3 END AS version, doc_id % 13 = 0 AS strange FROM documents),
+f AS (SELECT *, NOT strange AND part <= 2 AS known FROM d)
+SELECT n AS doc_id, 'identification' AS rule, CASE WHEN known AND n % 5 <> 4 AND NOT (n % 2 = 1 AND n % 11 = 0) THEN 'Pass' ELSE 'Fail' END AS status FROM f
+UNION ALL SELECT n, 'encryption', CASE WHEN n % 37 = 0 THEN 'Fail' ELSE 'Pass' END FROM f
+UNION ALL SELECT n, 'version', CASE WHEN NOT known THEN 'NotChecked' WHEN version <= CASE part WHEN 1 THEN 1.4 ELSE 1.7 END THEN 'Pass' ELSE 'Fail' END FROM f
+UNION ALL SELECT n, 'appearances', CASE WHEN n % 31 = 0 THEN 'Fail' ELSE 'Pass' END FROM f
+UNION ALL SELECT n, 'output_intent', CASE WHEN n % 29 = 0 OR n % 23 = 0 OR n % 17 = 0 OR n % 19 = 0 THEN 'Fail' ELSE 'Pass' END FROM f
+UNION ALL SELECT n, 'filters', CASE WHEN NOT known OR part <> 1 THEN 'NotChecked' WHEN n % 4 <> 0 THEN 'Fail' ELSE 'Pass' END FROM f""")
+def file_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over files with faults: declared parts, output intents and their profiles, filters that the catalog reaches."""
+    from ..operators import rules
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"path": b.doc_id.astype(str), "content": [_judged(int(n)) for n in b.doc_id]})
+
+    files = table(spark, sf_dir, "documents").select("doc_id").mapInPandas(run, "path string, content binary")
+    return rules.document_rules(parts.conformance(files), "path").select(_id(), "rule", "status")

@@ -6,6 +6,7 @@ Trees come as (node, parent, pos) rows with their own values, for the operators
 from __future__ import annotations
 
 import re
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame
 
@@ -291,3 +292,82 @@ def signatures(files: DataFrame) -> DataFrame:
     return per_file(files, "path string, obj long, kind string, filter string, ranges array<long>, length long", read)
 
 
+
+
+#: The namespace of the identification schema, its properties, and what an output intent's profile may be.
+IDENTIFICATION, PROPERTIES = "http://www.aiim.org/pdfa/ns/id/", ("part", "conformance", "amd")
+PROFILE_CLASS, PROFILE_SPACES = b"mntr", (b"RGB ", b"GRAY", b"CMYK")
+_VERSION = re.compile(rb"%PDF-(\d+)\.(\d+)")
+
+
+def _declared(packet: str | None) -> tuple[str | None, str | None, str | None]:
+    """(part, conformance, another property) that an XMP packet declares in the identification schema under its usual prefix."""
+    if not packet or not re.search(rf"xmlns:pdfaid\s*=\s*[\"']{re.escape(IDENTIFICATION)}[\"']", packet):
+        return None, None, None
+    start = packet.find("<x:xmpmeta")
+    try:
+        root = ElementTree.fromstring(packet[max(0, start) if start >= 0 else max(0, packet.find("<rdf:RDF")) :].split("<?xpacket end")[0])
+    except ElementTree.ParseError:
+        return None, None, None
+    said: dict[str, str] = {}
+    for node in root.iter():
+        for name, value in [*node.attrib.items(), (node.tag, (node.text or "").strip())]:
+            if name.startswith(f"{{{IDENTIFICATION}}}"):
+                said.setdefault(name.partition("}")[2], value)
+    return said.get("part"), said.get("conformance"), next((k for k in said if k not in PROPERTIES), None)
+
+
+def _intent(f: File) -> str:
+    """What is wrong with a file's output intent, or "ok"."""
+    for x in map(f.value, _list(f, catalog(f).get("OutputIntents"))):
+        if isinstance(x, dict) and x.get("S") == "GTS_PDFA1":
+            named, profile = f.value(x.get("OutputConditionIdentifier")), f.value(x.get("DestOutputProfile"))
+            if not isinstance(named, bytes) or not named:
+                return "no condition"
+            if not isinstance(profile, dict) or "_at" not in profile:
+                return "no profile"
+            head = f.body(profile)[:128]
+            return "short profile" if len(head) < 128 else "profile class" if head[12:16] != PROFILE_CLASS else "profile space" if head[16:20] not in PROFILE_SPACES else "ok"
+    return "none"
+
+
+def _held(x):
+    """References within an object."""
+    todo = [x]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Ref):
+            yield x
+        elif isinstance(x, dict):
+            todo += [v for k, v in x.items() if k != "_at"]
+        elif isinstance(x, list):
+            todo += x
+
+
+def conformance(files: DataFrame) -> DataFrame:
+    """(path, part, conformance, other, encrypted, version, appearances, intent, lzw): what rules.document_rules judges, a row a file.
+
+    part, conformance and other (an undefined property) are as the XMP packet declares them. intent is ok, or what is wrong with the output
+    intent. lzw: whether a stream that the catalog reaches is compressed so. version is the header's, null without one.
+    """
+
+    def read(f: File):
+        root, packet = catalog(f), None
+        held = f.value(root.get("Metadata"))
+        if isinstance(held, dict) and "_at" in held:
+            packet = f.body(held).decode("utf-8", "replace")
+        form = f.value(root.get("AcroForm"))
+        seen, todo, lzw = set(), [root], False
+        while todo and not lzw:
+            x = todo.pop()
+            if isinstance(x, dict) and "_at" in x:
+                names = f.value(x.get("Filter"))
+                lzw = "LZWDecode" in map(str, names if isinstance(names, list) else [names])
+            for ref in _held(x):
+                if ref[0] not in seen:
+                    seen.add(ref[0])
+                    todo.append(f.value(ref))
+        version = _VERSION.search(f.data[:1024])
+        yield *_declared(packet), "Encrypt" in trailer(f), float(f"{int(version[1])}.{int(version[2])}") if version else None, isinstance(form, dict) and form.get("NeedAppearances") is True, _intent(f), lzw
+
+    return per_file(files, "path string, part string, conformance string, other string, encrypted boolean, version double, appearances boolean, intent string, lzw boolean", read)
