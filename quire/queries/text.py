@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lines, words
+from ..operators import assembly, lines, words
 from ..sources.tables import letters, letters_sql, spread, table
 from . import query
 
@@ -31,12 +31,12 @@ def _pages(spark: SparkSession, sf_dir: str, leading: float = 12.0, boxes: bool
 
 @query(f"WITH {letters_sql()}, {WORDS_SQL} SELECT doc_id, page, word, text, n_letters FROM w")
 def word_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.word_rows(_pages(spark, sf_dir, boxes=False)).select("doc_id", "page", "word", "text", "n_letters")
+    return assembly.word_rows(letters(table(spark, sf_dir, "documents")), boxes=False)
 
 
 @query(f"WITH {letters_sql()}, {WORDS_SQL} SELECT doc_id, page, word, round(l, 4) AS l, round(b, 4) AS b, round(r, 4) AS r, round(t, 4) AS t FROM w")
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = words.word_rows(_pages(spark, sf_dir))
+    rows = assembly.word_rows(letters(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "page", "word", *[F.round(c, 4).alias(c) for c in ("l", "b", "r", "t")])
 
 

@@ -38,6 +38,27 @@ def test_words(spark, letters, want):
     assert sum(r.n_letters for r in rows) == sum(len(t) for t in want)
 
 
+def test_word_rows_equal_words_in_pages(spark):
+    import random
+
+    from quire.operators import assembly
+
+    r, pages_ = random.Random(4), []
+    for p in range(60):
+        x, out = 0.0, []
+        for i in range(r.randint(0, 40)):
+            x += r.choice((6.0, 6.0, 6.0, 8.0, 9.5, -3.0))
+            one = letter(r.choice(("a", "b", "fi", " ", "", "\u00a0", "  ", None, "\u00e9", "\U0001F600")), x, r.choice((0.0, 0.0, 0.0, 3.0, 9.0)), *r.choice(((1.0, 0.0),) * 6 + ((0.0, 1.0), (-1.0, 0.0))))
+            out.append((*one[:4], r.choice((10.0, 10.0, 4.0)), *one[5:]))
+        pages_.append((p // 7, p, out))
+    frame = spark.createDataFrame([(d, p, None if p == 5 else o) for d, p, o in pages_], f"doc_id long, page int, letters array<{LETTER}>").repartition(3)
+    columns = ["doc_id", "page", "word", "text", "n_letters", "l", "b", "r", "t"]
+    want = words.word_rows(words.page_words(frame)).select(columns).collect()
+    assert len(want) > 300 and sorted(map(tuple, assembly.word_rows(frame).collect())) == sorted(map(tuple, want))
+    assert sorted(map(tuple, assembly.word_rows(frame, False).collect())) == sorted(tuple(w)[:5] for w in want)
+    assert assembly.word_rows(frame.where("page < 0")).collect() == []
+
+
 def _words(spark, boxes):
     one = "struct<word: int, first: int, last: int, text: string, n_letters: int, l: double, b: double, r: double, t: double, size: double, dx: double, dy: double, mcid: int>"
     rows = [(i, 0, 0, f"w{i}", 1, *map(float, b), 10.0, 1.0, 0.0, None) for i, b in enumerate(boxes)]
