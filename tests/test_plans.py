@@ -142,3 +142,17 @@ def test_a_wide_range_costs_two_rows(spark):
     got = sorted(map(tuple, layout.range_lookup(codes, ranges, "code").select("code", "low", "value").collect()))
     assert got == [(5, 0, 12), (5, 5, 1), (10**12, 0, 10**12 + 7)]
     assert layout.range_lookup(codes, ranges.where(F.lit(False)), "code").collect() == []
+
+
+def test_headers_are_repeated_and_tall_items_are_errors(spark):
+    from quire.operators import layout
+
+    def pages(items, page=50.0):
+        frame = spark.createDataFrame([([float(h) for h, *_ in items], [x for _, x, _ in items], [t for *_, t in items])], "h array<double>, x array<boolean>, t array<int>")
+        return [tuple(r) for r in frame.select(layout.paginate_rows(F.col("h"), F.col("x"), F.col("t"), page, 2.0).alias("p")).first().p]
+
+    rows = [(10, True, 1), (20, False, 1), (20, False, 1), (5, True, 2), (30, False, 2), (30, False, None), (1, False, None)]
+    assert pages(rows) == [(0, 0.0), (0, 0.0), (1, 10.0), (1, 0.0), (2, 5.0), (3, 0.0), (3, 0.0)]
+    for bad in ([(60, False, None)], [(30, True, 1), (10, False, 1), (30, False, 1)]):
+        with pytest.raises(Exception, match="doesn't fit"):
+            pages(bad)
