@@ -145,23 +145,27 @@ def lows(hashes: np.ndarray) -> bytes:
 
 
 def _profiled(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, sig, bands) of documents, all of the set of their five-word shingles.
+    """(doc_id, digest, fp, sig, bands) of documents, all of the set of their five-word shingles.
 
-    digest tells sets apart, sig is two fingerprints by other hashes, and bands the hashes of lows().
+    digest tells sets apart, fp is the set's fingerprint, sig two more by other hashes, and bands the hashes of lows().
     """
 
     def profile(text):
         fives = np.unique(shingle_hashes(text, 5))
-        return set_digest(fives), b"".join(majority(mixed(fives, k)).to_bytes(8, "little") for k in (0, 1)), lows(fives)
+        return set_digest(fives), majority(fives), b"".join(majority(mixed(fives, k)).to_bytes(8, "little") for k in (0, 1)), lows(fives)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = zip(*map(profile, batch.column("text").to_pylist())) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(x, pa.binary()) for x in found]], names=["doc_id", "digest", "sig", "bands"])
+            digest, fp, sig, bands = zip(*map(profile, batch.column("text").to_pylist())) if batch.num_rows else ((), (), (), ())
+            fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(digest, pa.binary()), fps, pa.array(sig, pa.binary()), pa.array(bands, pa.binary())],
+                names=["doc_id", "digest", "fp", "sig", "bands"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, sig binary, bands binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, fp long, sig binary, bands binary")
 
 
 def _drawn(docs: DataFrame) -> DataFrame:
@@ -538,23 +542,28 @@ SIMILARITY = 0.8
 #: Bits of the 128 of a candidate's signature that may differ. Of sets of similarity 0.8 about 19 do, with a deviation of 4.1 (24 and 4.4
 #: for four shingles of five); of unrelated texts 64, with one of 5.7.
 SIG_BITS = 44
+#: Bits of the 64 of a fingerprint that may differ for a pair to be found by probes. Of sets of similarity 0.8 about 10 do, of 0.9 about 7;
+#: pairs that differ in more are left to the bands of least hashes.
+PROBE_RADIUS = 8
 
 
-def keep_one(docs: DataFrame, sig_bits: int = SIG_BITS, least: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, sig_bits: int = SIG_BITS, least: float = SIMILARITY, radius: int = PROBE_RADIUS) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, with all its columns.
 
     Documents of equal sets of five-word shingles are one class and enter once, under their smallest id. All else
-    is computed from the sets too, so that neither repeats nor the place of a difference count. Candidates share
-    one of BANDS bands of least hashes and differ in at most sig_bits of a 128-bit signature; what they reach is a
-    loose group. Within each, documents link if their sets have a similarity of least or more (the verification; only
+    is computed from the sets too, so that neither repeats nor the place of a difference count. Candidates have
+    fingerprints that differ in at most radius bits, found by the probes of links() as in near_duplicates(), or, as those of similar
+    sets may differ in more, share one of BANDS bands of least hashes; either way they differ in at most sig_bits of a 128-bit
+    signature. What they reach is a loose group. Sets of under LEAST_SET shingles have no candidates. Within each group, documents link if their sets have a similarity of least or more (the verification; only
     pairs whose sketches estimate less by over DOUBT are ruled out), and a group is what links reach. All members are
     compared with the smallest id of their loose group first; where some don't link with it, those are compared with all the others. Of rows with the smallest id of a group one stays, as all are
     one document. Rows without an id stay. Rows with a text of no word are one group.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(_profiled(docs).where("doc_id IS NOT NULL"))
-    classes = scratch.keep(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    loose = scratch.keep(components(candidates(classes, sig_bits, scratch), scratch))
+    classes = scratch.keep(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("fp", "sig", "bands")]))
+    probed = links(classes.where("length(bands) > 0"), radius, scratch, sig_bits)
+    loose = scratch.keep(components(probed.union(candidates(classes, sig_bits, scratch)), scratch))
     of = loose.select(F.col("node").alias("doc_id"))
     drawn = _drawn(docs.join(of, "doc_id", "left_semi")).dropDuplicates(["node", "digest"]).join(classes.select("node", "digest"), ["node", "digest"], "left_semi")
     members = scratch.keep(drawn.join(loose, "node").select("component", "node", "sketch", "hashes"))

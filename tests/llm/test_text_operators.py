@@ -556,3 +556,31 @@ def test_similarity_close_to_the_threshold_is_settled_by_the_sets(spark):
         over.append(316 + k % 9 >= 320)
     want = sorted([2 * k for k in range(120)] + [2 * k + 1 for k, near in enumerate(over) if not near])
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()) == want
+
+
+def test_near_copies_that_share_no_band(spark):
+    docs = []
+    for at, k in enumerate((131456, 280762, 535064)):  # of 45 and 36 shingles
+        words = [f"m{k}n{i}" for i in range(49)]
+        docs += [(2 * at, " ".join(words)), (2 * at + 1, " ".join(words[:40]))]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in docs]
+    for x, y in zip(sets[::2], sets[1::2]):
+        assert simhash.jaccard(x, y) == 0.8
+        assert (simhash.majority(x) ^ simhash.majority(y)).bit_count() <= 8
+        assert not (np.frombuffer(simhash.lows(x), np.int64) == np.frombuffer(simhash.lows(y), np.int64)).any()
+    docs += [(6, None), (7, "a"), (8, "a b c d e f"), (9, "a b c d e f g")]  # no word, and sets of one, two and three shingles
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, SCHEMA)).collect()) == [0, 2, 4, 6, 7, 8, 9]
+
+
+def test_probes_of_fingerprints_alone_find_all_near_copies_within_their_radius(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = []
+    for base in range(60):
+        words = [f"p{base}x{i}" for i in rng.integers(0, 10**6, 120)]
+        texts += [" ".join(words), " ".join(words[: 119 - 2 * (base % 10)])]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    far = [(simhash.majority(x) ^ simhash.majority(y)).bit_count() > 8 for x, y in zip(sets[::2], sets[1::2])]
+    assert 40 <= far.count(False) < 60
+    monkeypatch.setattr(simhash, "candidates", lambda classes, sig_bits, scratch: spark.createDataFrame([], "a long, b long"))
+    got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(3)).collect())
+    assert got == sorted([*range(0, 120, 2), *(2 * i + 1 for i, x in enumerate(far) if x)])
