@@ -42,7 +42,12 @@ def placement_summary(placements: DataFrame, image: str, order: list[str], liste
     if listed is None:
         return out
     rest = listed.groupBy(image).agg(F.min("page").alias("page")).join(met.select(image), image, "left_anti")
-    return out.unionByName(rest.select(image, F.lit(None).cast("double").alias("dpi_x"), F.lit(None).cast("double").alias("dpi_y"), "page", F.lit("NotPlaced").alias("kind")))
+    return out.unionByName(not_placed(rest, image))
+
+
+def not_placed(listed: DataFrame, image: str) -> DataFrame:
+    """Summaries of images (image, page) that are only listed, a row each."""
+    return listed.select(image, F.lit(None).cast("double").alias("dpi_x"), F.lit(None).cast("double").alias("dpi_y"), "page", F.lit("NotPlaced").alias("kind"))
 
 
 def fold(summaries: DataFrame, aliases: DataFrame, image: str) -> DataFrame:
