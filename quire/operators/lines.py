@@ -34,17 +34,6 @@ def with_bands(pages: DataFrame) -> DataFrame:
     return settled(pages, bands=F.expr(bands())).select("doc_id", "page", "words", "bands")
 
 
-def dominant_direction(words: str = "words") -> str:
-    """SQL: 0 right, 1 up, 2 left, 3 down: the direction with the most letters; of equals the one met first."""
-    snap = "if(abs(w.dx) >= abs(w.dy), if(w.dx >= 0, 0, 2), if(w.dy >= 0, 1, 3))"
-    votes = f"transform({words}, w -> named_struct('d', {snap}, 'n', w.n_letters, 'i', w.word))"
-    tally = ", ".join(
-        f"named_struct('n', aggregate({votes}, 0L, (s, v) -> s + if(v.d = {d}, v.n, 0)), 'i', -coalesce(array_min(transform(filter({votes}, v -> v.d = {d}), v -> v.i)), 2147483647), 'd', {d})"
-        for d in range(4)
-    )
-    return f"if(size({words}) > 0, array_max(array({tally})).d, 0)"
-
-
 def gutter(words: str = "words") -> str:
     """SQL: the place where a page parts into two columns, or null.
 

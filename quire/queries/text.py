@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assembly, lines, words
-from ..sources.tables import letters, letters_sql, spread, table
+from ..operators import assembly, lines, order
+from ..sources.tables import letters_sql, placed, spread, table
 from . import query
 
 #: Words of the flat letters: w(doc_id, page, word, text, n_letters, l, b, r, t).
@@ -25,18 +25,18 @@ g AS (
 )"""
 
 
-def _pages(spark: SparkSession, sf_dir: str, leading: float = 12.0, boxes: bool = True) -> DataFrame:
-    return words.page_words(letters(table(spark, sf_dir, "documents"), leading), boxes)
+def _pages(spark: SparkSession, sf_dir: str, leading: float = 12.0) -> assembly.Source:
+    return placed(table(spark, sf_dir, "documents"), leading)
 
 
 @query(f"WITH {letters_sql()}, {WORDS_SQL} SELECT doc_id, page, word, text, n_letters FROM w")
 def word_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.word_rows(letters(table(spark, sf_dir, "documents")), boxes=False)
+    return assembly.word_rows(_pages(spark, sf_dir), boxes=False)
 
 
 @query(f"WITH {letters_sql()}, {WORDS_SQL} SELECT doc_id, page, word, round(l, 4) AS l, round(b, 4) AS b, round(r, 4) AS r, round(t, 4) AS t FROM w")
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assembly.word_rows(letters(table(spark, sf_dir, "documents")))
+    rows = assembly.word_rows(_pages(spark, sf_dir))
     return rows.select("doc_id", "page", "word", *[F.round(c, 4).alias(c) for c in ("l", "b", "r", "t")])
 
 
@@ -56,8 +56,7 @@ a AS (
 @query(f"WITH RECURSIVE {letters_sql(4.0)}, {WORDS_SQL}, {BANDS_SQL} SELECT doc_id, page, word, CAST(band AS INTEGER) AS band FROM wb")
 def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading 4 at size 10, so that neighbouring rows share a band and only the anchor parts them."""
-    pages = lines.with_bands(_pages(spark, sf_dir, 4.0))
-    return pages.select("doc_id", "page", F.expr("inline(zip_with(words, bands, (w, b) -> named_struct('word', w.word, 'band', b)))"))
+    return assembly.band_rows(_pages(spark, sf_dir, 4.0))
 
 
 ORDER_SQL = f"WITH RECURSIVE {letters_sql(4.0)}, {WORDS_SQL}, {BANDS_SQL}"
@@ -67,24 +66,49 @@ ORDER_SQL = f"WITH RECURSIVE {letters_sql(4.0)}, {WORDS_SQL}, {BANDS_SQL}"
 SELECT doc_id, page, CAST(first(d ORDER BY n DESC, first_) AS INTEGER) AS direction FROM v GROUP BY doc_id, page""")
 def dominant_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words turned by their place, page and length, some not quite upright, so that all four directions win and tie."""
-    pages = _pages(spark, sf_dir).where("size(words) > 0")
+    pages = assembly.word_votes(_pages(spark, sf_dir)).where("size(words) > 0")
     turn = "cast((w.word * 7 + doc_id + w.n_letters) % 4 as int)"
     one = f"named_struct('word', w.word, 'n_letters', w.n_letters, 'dx', element_at(array(0.9D, 0.2D, -1.0D, -0.1D), {turn} + 1), 'dy', element_at(array(-0.3D, 0.8D, 0.0D, -0.9D), {turn} + 1))"
     turned = pages.select("doc_id", "page", F.expr(f"transform(words, w -> {one})").alias("words"))
-    return turned.select("doc_id", "page", F.expr(lines.dominant_direction()).alias("direction"))
+    return turned.select("doc_id", "page", order.dominant_direction().alias("direction"))
 
 
 def _two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of 60 words of a document each, two a row: even ones in a column at 40, odd ones in one at 320 if the document's id is even."""
-    docs = table(spark, sf_dir, "documents")
-    ws = spread(docs).select("doc_id", F.expr(r"filter(split(text, '[^\\x21-\\x7E]+'), x -> x <> '')").alias("ws")).where("size(ws) > 0")
-    pages = ws.select("doc_id", F.explode(F.expr("sequence(0, (size(ws) - 1) div 60)")).alias("page"), "ws").select("doc_id", "page", F.expr("slice(ws, page * 60 + 1, 60)").alias("ws"))
-    box = (
-        "named_struct('word', i, 'first', 0, 'last', 0, 'text', w, 'n_letters', length(w),"
-        " 'l', if(i % 2 = 1, if(doc_id % 2 = 0, 320.0D, 150.0D), 40.0D), 'b', 700.0D - 12 * (i div 2),"
-        " 'r', if(i % 2 = 1, if(doc_id % 2 = 0, 320.0D, 150.0D), 40.0D) + 6.0D * least(length(w), 30), 't', 710.0D - 12 * (i div 2), 'size', 10.0D, 'dx', 1.0D, 'dy', 0.0D, 'mcid', i)"
-    )
-    return pages.select("doc_id", "page", F.expr(f"transform(ws, (w, i) -> {box})").alias("words"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in assembly.pieces(batch, "text"):
+                texts = [x.encode() if x else b"" for x in part.column("text").to_pylist()]
+                data = np.frombuffer(b" ".join(texts), np.uint8)
+                shown = np.concatenate([[False], (data > 0x20) & (data < 0x7F), [False]])
+                edge = np.flatnonzero(shown[1:] != shown[:-1])
+                begin, end = edge[::2], edge[1::2]
+                size = end - begin
+                count = np.diff(np.searchsorted(begin, np.append(0, np.cumsum([len(x) + 1 for x in texts]))))  # of each document's words
+                many = -(-count // 60)
+                doc = np.repeat(np.arange(len(count)), many)
+                page = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                at = np.append((np.cumsum(count) - count)[doc] + page * 60, len(begin))
+                of = np.repeat(np.arange(len(doc)), np.diff(at))
+                word = np.arange(len(begin)) - at[of]
+                even = part.column("doc_id").to_numpy(zero_copy_only=False)[doc][of] % 2 == 0
+                left = np.where(word % 2 == 1, np.where(even, 320.0, 150.0), 40.0)
+                low = 700.0 - 12 * (word // 2)
+                kept = data[shown[1:-1]]
+                text = pa.StringArray.from_buffers(len(size), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(kept))
+                n, none = len(word), np.zeros(len(word), np.int32)
+                numbers = {"l": left, "b": low, "r": left + 6.0 * np.minimum(size, 30), "t": low + 10, "size": np.full(n, 10.0), "dx": np.ones(n), "dy": np.zeros(n)}
+                whole = {"word": word, "first": none, "last": none, "text": text, "n_letters": size, **numbers, "mcid": word}
+                held = {k: v if k == "text" else pa.array(v, pa.float64() if k in numbers else pa.int32()) for k, v in whole.items()}
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(page, pa.int32()), assembly.lists(at, held)], names=["doc_id", "page", "words"])
+
+    one = "struct<word: int, first: int, last: int, text: string, n_letters: int, l: double, b: double, r: double, t: double, size: double, dx: double, dy: double, mcid: int>"
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, page int, words array<{one}>")
 
 
 TWO_SQL = r"""
@@ -118,7 +142,7 @@ v0 AS (
 
 @query(f"WITH {TWO_SQL} SELECT e.doc_id, e.page, round(cut, 6) AS cut FROM e LEFT JOIN gut ON e.doc_id = gut.doc_id AND e.page = gut.page")
 def column_gutter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _two_columns(spark, sf_dir).select("doc_id", "page", F.round(F.expr(lines.gutter()), 6).alias("cut"))
+    return _two_columns(spark, sf_dir).select("doc_id", "page", F.round(order.gutter(), 6).alias("cut"))
 
 
 @query(f"""WITH {TWO_SQL}
@@ -146,10 +170,7 @@ PAGE_TEXT_SQL = f"""{ORDER_SQL}, ln AS (
 
 
 def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = lines.with_bands(_pages(spark, sf_dir, 4.0)).where("size(words) > 0")
-    flat = "zip_with(words, bands, (w, b) -> named_struct('band', b, 'left', w.l, 'word', w.word, 'col', 0, 'text', w.text))"
-    pages = pages.select("doc_id", "page", F.expr(f"array_sort({flat})").alias("ordered"))
-    return pages.select("doc_id", "page", F.expr(lines.page_text()).alias("page_text"))
+    return assembly.band_texts(_pages(spark, sf_dir, 4.0))
 
 
 @query(f"{PAGE_TEXT_SQL} SELECT doc_id, page, page_text FROM pt")

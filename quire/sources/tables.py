@@ -43,17 +43,67 @@ def page_texts(docs: DataFrame, letters: int = COLUMNS * ROWS) -> DataFrame:
     )
 
 
-def letters(docs: DataFrame, leading: float = LEADING) -> DataFrame:
-    """(doc_id, page, letters): positioned letters of every page, in content order.
+def _placed(batch, leading: float):
+    """(doc_id, page, Letters) of all pages of a batch (doc_id, text), some documents at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..operators.assembly import Letters, pieces
+
+    for part in pieces(batch, "text"):
+        texts = part.column("text")
+        raw = "".join(x for x in texts.to_pylist() if x)
+        code = np.frombuffer(raw.encode("utf-32-le"), np.uint32)
+        data = raw.encode()
+        size = np.ones(len(code), np.int32) if len(data) == len(code) else 1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF)
+        values = pa.StringArray.from_buffers(len(code), pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data))
+        long = np.array([len(x) if x else 0 for x in texts.to_pylist()], np.int64)
+        count = -(-long // (COLUMNS * ROWS))
+        doc = np.repeat(np.arange(len(long)), count)
+        page = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        at = np.append((np.cumsum(long) - long)[doc] + page * (COLUMNS * ROWS), len(code))
+        i = np.arange(len(code), dtype=np.int32) - np.repeat(at[:-1], np.diff(at)).astype(np.int32)
+        row, column = np.divmod(i, COLUMNS)
+        after = np.zeros(len(code), np.bool_)
+        after[1:] = (code[:-1] == 44) | (code[:-1] == 46)
+        x = LEFT + ADVANCE * column + (code % 5) * 0.4 + np.where(after & (column > 0), 3.2, 0.0)
+        one = [np.broadcast_to(v, len(code)) for v in (ADVANCE, SIZE, 1.0, 0.0)]
+        yield part.column("doc_id").take(pa.array(doc)), pa.array(page, pa.int32()), Letters(at, values, x, TOP - leading * row, *one)
+
+
+def placed(docs: DataFrame, leading: float = LEADING):
+    """The source (operators.assembly) of every page's positioned letters, which are made where they are read.
 
     Letter i stands in column i % 66 and row i div 66, moved right by (code point % 5) * 0.4, and by 3.2 more after a
     full stop or a comma in the same row.
     """
-    x = f"{LEFT}D + {ADVANCE}D * (i % {COLUMNS}) + (ascii(c) % 5) * 0.4D + if(i % {COLUMNS} > 0 AND get(cs, i - 1) IN ('.', ','), 3.2D, 0.0D)"
-    y = f"{TOP}D - {leading}D * (i div {COLUMNS})"
-    one = f"named_struct('value', c, 'x', {x}, 'y', {y}, 'adv', {ADVANCE}D, 'size', {SIZE}D, 'dx', 1.0D, 'dy', 0.0D, 'mcid', cast(null as int))"
-    pages = settled(page_texts(spread(docs.select("doc_id", "text"))), cs=F.split("page_text", ""))
-    return settled(pages, letters=F.expr(f"transform(cs, (c, i) -> {one})")).select("doc_id", "page", "letters")
+    from ..operators.assembly import Source
+
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def nested(keys: DataFrame | None) -> DataFrame:
+        if keys is None:
+            return letters(docs, leading)
+        some = docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
+        return letters(some, leading).join(keys.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+
+    return Source(spread(docs.select("doc_id", "text")), (kind, "int"), lambda batch: _placed(batch, leading), nested)
+
+
+def letters(docs: DataFrame, leading: float = LEADING) -> DataFrame:
+    """(doc_id, page, letters): the letters of placed as a row a page, in content order."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, page, found in _placed(batch, leading):
+                held = [found.values, *map(pa.array, (found.x, found.y, found.adv, found.size, found.dx, found.dy)), pa.nulls(len(found.values), pa.int32())]
+                rows = pa.ListArray.from_arrays(pa.array(found.at, pa.int32()), pa.StructArray.from_arrays(held, names=["value", "x", "y", "adv", "size", "dx", "dy", "mcid"]))
+                yield pa.RecordBatch.from_arrays([doc, page, rows], names=["doc_id", "page", "letters"])
+
+    one = "struct<value: string, x: double, y: double, adv: double, size: double, dx: double, dy: double, mcid: int>"
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, page int, letters array<{one}>")
 
 
 #: The same letters, flat, for DuckDB: l(doc_id, page, i, c, x, y).

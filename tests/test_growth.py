@@ -30,3 +30,41 @@ def test_a_supplier_with_the_number_of_a_part_is_listed(spark, tmp_path, name):
     for t, moved in (("part", "p_partkey + 999990 AS p_partkey"), ("lineitem", "l_partkey + 999990 AS l_partkey"), ("supplier", "s_suppkey AS s_suppkey")):
         duck.execute(f"COPY (SELECT * REPLACE ({moved}) FROM '{SF}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
     assert same(spark, tmp_path, name)
+
+
+def planned(spark, name):
+    return catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["word_assembly", "word_boxes", "line_bands", "page_text", "document_text", "column_gutter"])
+def test_no_letter_or_word_is_walked_by_a_lambda(spark, name):
+    """Letters and words are arrays from the text on: a lambda over them is interpreted, a field at a time."""
+    assert "generate explode" not in planned(spark, name).lower() and "struct(value" not in planned(spark, name)
+
+
+def test_bands_gutters_and_directions_by_arrays_equal_the_rules(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quire.operators import assembly, lines, order, words
+
+    r, pages = random.Random(7), []
+    for p in range(40):
+        out = [("a b. é"[r.randint(0, 5)], r.choice((10.0, 16.0, 22.0, 90.0, 400.0, 407.0)) + r.randint(0, 3), r.choice((0.0, 4.0, 7.0, 20.0, 24.0)), 6.0, r.choice((10.0, 10.0, 4.0)), 1.0, 0.0, None) for _ in range(r.randint(0, 50))]
+        pages.append((p, 0, None if p == 3 else out))
+    letter = "struct<value: string, x: double, y: double, adv: double, size: double, dx: double, dy: double, mcid: int>"
+    frame = spark.createDataFrame(pages, f"doc_id long, page int, letters array<{letter}>").repartition(3)
+    nested = words.page_words(frame).cache()
+    want = lines.with_bands(nested).selectExpr("doc_id", "page", "inline(zip_with(words, bands, (w, b) -> named_struct('word', w.word, 'band', b)))").collect()
+    assert len(want) > 200 and sorted(map(tuple, assembly.band_rows(frame).collect())) == sorted(map(tuple, want))
+    for columns in (True, False):
+        read = lines.in_reading_order(nested, columns=columns).select("doc_id", "page", F.expr(lines.page_text()).alias("text")).collect()
+        assert sorted(map(tuple, assembly.read_texts(frame, columns).collect())) == sorted((x.doc_id, x.page, x.text or "") for x in read)
+    both = nested.select(F.expr(lines.gutter()).alias("a"), order.gutter().alias("b")).collect()
+    assert all(x.a == x.b for x in both) and any(x.a is not None for x in both)
+    at, dx = [0, 2, 2, 5], np.array([1.0, 0.0, -1.0, 0.0, 0.1])
+    rows = spark.createDataFrame([([(i, 3, float(dx[i]), 0.5) for i in range(at[k], at[k + 1])],) for k in range(3)], "words array<struct<word: int, n_letters: int, dx: double, dy: double>>")
+    assert [x[0] for x in rows.coalesce(1).select(order.dominant_direction()).collect()] == [0, 0, 1]
