@@ -68,3 +68,24 @@ def test_bands_gutters_and_directions_by_arrays_equal_the_rules(spark):
     at, dx = [0, 2, 2, 5], np.array([1.0, 0.0, -1.0, 0.0, 0.1])
     rows = spark.createDataFrame([([(i, 3, float(dx[i]), 0.5) for i in range(at[k], at[k + 1])],) for k in range(3)], "words array<struct<word: int, n_letters: int, dx: double, dy: double>>")
     assert [x[0] for x in rows.coalesce(1).select(order.dominant_direction()).collect()] == [0, 0, 1]
+
+
+def test_boxes_meet_by_cells_of_both_axes(spark):
+    import random
+
+    from quire.operators import search
+
+    r = random.Random(3)
+    side = lambda n: [(r.randint(0, 2), i, float(x), float(y), x + r.choice((1.0, 5.0, 70.0, -4.0)), y + r.choice((1.0, 9.0, 200.0, -6.0))) for i in range(n) for x, y in [(r.randint(-60, 60), r.randint(-300, 300))]]
+    a, b = side(150), side(200)
+    schema = "page int, id long, l double, b double, r double, t double"
+    met = search.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "page", 10.0)
+    want = [(p[0], p[1], q[1]) for p in a for q in b if p[0] == q[0] and p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5]]
+    assert len(want) > 100 and sorted(map(tuple, met.collect())) == sorted(want)
+    assert "_y" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_pages_without_a_match_are_read_once(spark):
+    """Letters of pages are made for pages with a match alone; the text of all is read as arrays."""
+    assert "letters#" not in planned(spark, "match_boxes")
