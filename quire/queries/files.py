@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import words
+from ..operators import assembly
 from ..operators.revisions import last_wins
 from ..plans import images
+from ..scratch import kept
 from ..sources import parts, pdf, writer
 from ..sources.tables import COLUMNS, ROWS, spread, table
 from . import query
@@ -42,15 +43,17 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a file for each document, named by its id."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for b in batches:
-            yield pd.DataFrame({"path": b.path, "content": [_file(*x) for x in zip(b.text, b.source, b.lang)]})
+        for batch in batches:
+            for b in assembly.pieces(batch, "text"):
+                made = [_file(*x) for x in zip(*(b.column(c).to_pylist() for c in ("text", "source", "lang")))]
+                yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], names=["path", "content"])
 
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     blank = F.lit("")
     plain = docs.select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace(F.coalesce("text", blank), _PLAIN, "?").alias("text"), F.coalesce("source", blank).alias("source"), F.coalesce("lang", blank).alias("lang"))
-    return plain.mapInPandas(run, "path string, content binary")
+    return plain.mapInArrow(run, "path string, content binary")
 
 
 _PAGES_SQL = f"""t AS (SELECT doc_id, source, lang, regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E]', '?', 'g') AS text FROM documents),
@@ -65,8 +68,7 @@ def _id():
 SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY row_, k) - 1 AS INTEGER) AS word, x AS text FROM (SELECT doc_id, page, row_, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM r)""")
 def file_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content streams to letters to words."""
-    pages = pdf.letters(_files(spark, sf_dir)).withColumnRenamed("path", "doc_id")
-    return words.word_rows(words.page_words(pages, boxes=False)).select(F.col("doc_id").cast("long").alias("doc_id"), "page", "word", "text")
+    return assembly.word_rows(pdf.shown(_files(spark, sf_dir)), boxes=False).select(F.col("doc_id").cast("long").alias("doc_id"), "page", "word", "text")
 
 
 @query(f"WITH {_PAGES_SQL} SELECT doc_id, 4 + 3 * n AS dictionaries, 1 + n AS streams, n AS pages FROM c")
@@ -110,7 +112,7 @@ def file_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAGES_SQL} SELECT doc_id, 5 + 4 * n AS live, 1 AS anew, 7 + 4 * n AS entries FROM c")
 def file_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-reference entries of both revisions, and the objects that they give: the newest entry of a number counts."""
-    found = parts.entries(_files(spark, sf_dir))
+    found = kept(parts.entries(_files(spark, sf_dir)))  # files are made and read once
     newest = last_wins(found.withColumn("age", -F.col("revision")), ["path", "obj"], ["age"])
     live = newest.groupBy("path").agg(F.count_if(F.col("kind") != "Free").alias("live"), F.count_if((F.col("kind") != "Free") & (F.col("revision") == 0)).cast("int").alias("anew"))
     return live.join(found.groupBy("path").agg(F.count(F.lit(1)).alias("entries")), "path").select(_id(), "live", "anew", "entries")
@@ -150,10 +152,12 @@ def file_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import rules
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for b in batches:
-            yield pd.DataFrame({"path": b.doc_id.astype(str), "content": [_judged(int(n)) for n in b.doc_id]})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                ids = batch.column("doc_id").slice(at, 500).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(map(str, ids), pa.string()), pa.array([_judged(n) for n in ids], pa.binary())], names=["path", "content"])
 
-    files = table(spark, sf_dir, "documents").select("doc_id").mapInPandas(run, "path string, content binary")
+    files = spread(table(spark, sf_dir, "documents").select("doc_id")).mapInArrow(run, "path string, content binary")
     return rules.document_rules(parts.conformance(files), "path").select(_id(), "rule", "status")

@@ -89,3 +89,18 @@ def test_boxes_meet_by_cells_of_both_axes(spark):
 def test_pages_without_a_match_are_read_once(spark):
     """Letters of pages are made for pages with a match alone; the text of all is read as arrays."""
     assert "letters#" not in planned(spark, "match_boxes")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["file_words", "file_placements", "file_fields", "file_references", "file_conformance"])
+def test_files_are_read_in_arrow_batches(spark, name):
+    """Rows of many files leave together; a frame a file cost more than reading it."""
+    assert "MapInPandas" not in planned(spark, name) and "MapInArrow" in planned(spark, name)
+
+
+def test_rows_of_files_keep_their_path_over_batches(spark):
+    from quire.sources import pdf
+
+    files = spark.createDataFrame([(f"p{i}", bytearray(b"x" * i)) for i in range(5)], "path string, content binary").coalesce(1)
+    got = pdf.per_file(files, "path string, n int", lambda f: ((k,) for k in range(4000 * (len(f.data) % 4)))).groupBy("path").count().collect()
+    assert {r.path: r["count"] for r in got} == {f"p{i}": 4000 * (i % 4) for i in (1, 2, 3)}
