@@ -104,3 +104,14 @@ def test_rows_of_files_keep_their_path_over_batches(spark):
     files = spark.createDataFrame([(f"p{i}", bytearray(b"x" * i)) for i in range(5)], "path string, content binary").coalesce(1)
     got = pdf.per_file(files, "path string, n int", lambda f: ((k,) for k in range(4000 * (len(f.data) % 4)))).groupBy("path").count().collect()
     assert {r.path: r["count"] for r in got} == {f"p{i}": 4000 * (i % 4) for i in (1, 2, 3)}
+
+
+def test_codes_of_a_long_stream_take_time_by_the_byte():
+    import time
+
+    from quire.functions import codecs
+
+    data = bytes(range(256)) * 8192
+    began = time.thread_time()
+    assert codecs.hex_decode(data.hex().encode() + b">") == data
+    assert time.thread_time() - began < 0.3
